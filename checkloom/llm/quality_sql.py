@@ -13,8 +13,8 @@ def _verdict() -> str:
 
 SQL = rf"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), x -> x <> '') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \t-\r]')) AS ls FROM documents),
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - {WINDOW} + 2)) AS i, ws FROM w),
 named AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS s FROM win),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM named) WHERE c > 1),
@@ -24,7 +24,7 @@ q AS (
          CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(length(regexp_replace(t, '[^|]+', '', 'g')) AS BIGINT) AS n_bars,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words,
-         len(list_filter(ws, x -> list_contains([{', '.join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}], lower(x)))) AS n_stop
+         len(list_filter(ws, lambda x: list_contains([{', '.join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}], lower(x)))) AS n_stop
   FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
 m AS (
   SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checkloom.llm import quality_rules, quality_sql
+from checkloom.llm import line_dedup, quality_rules, quality_sql
 from checkloom.llm.common import table
 
 
@@ -10,5 +10,19 @@ def op7_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules}
-ORACLE_SQL = {"op7_quality_rules": quality_sql.SQL}
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+LINE_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT doc_id, i, ls[i] AS line, translate(regexp_replace(ls[i], '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+QUERIES = {"op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
+ORACLE_SQL = {"op9_line_dedup": LINE_SQL, "op7_quality_rules": quality_sql.SQL}
