@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checkloom.llm import line_dedup, quality_rules, quality_sql
+from checkloom.llm import line_dedup, quality_rules, quality_sql, substring_dedup
 from checkloom.llm.common import table
 
 
@@ -14,6 +14,22 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+cov AS (SELECT DISTINCT doc_id, i + j AS p FROM twice, (SELECT unnest(range(35)) AS j)),
+gone AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.p) AS t FROM word ANTI JOIN cov ON word.doc_id = cov.doc_id AND word.p = cov.p GROUP BY word.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
 LINE_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, ls FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 k AS (SELECT doc_id, i, ls[i] AS line, translate(regexp_replace(ls[i], '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
@@ -24,5 +40,5 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
-ORACLE_SQL = {"op9_line_dedup": LINE_SQL, "op7_quality_rules": quality_sql.SQL}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
+ORACLE_SQL = {"op2_substring_dedup": SUBSTRING_SQL, "op9_line_dedup": LINE_SQL, "op7_quality_rules": quality_sql.SQL}
