@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checkloom.llm import line_dedup, quality_rules, quality_sql, substring_dedup
+from checkloom.llm import line_dedup, ngram_join, quality_rules, quality_sql, substring_dedup
 from checkloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 SUBSTRING_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
@@ -40,5 +44,5 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLE_SQL = {"op2_substring_dedup": SUBSTRING_SQL, "op9_line_dedup": LINE_SQL, "op7_quality_rules": quality_sql.SQL}

@@ -63,10 +63,8 @@ class Words:
         """Hashes of all runs of `n` words, and which of them stay within one text (by position of the first word)."""
         total = max(0, len(self.hash) - n + 1)
         out = np.zeros(total, np.uint64)
-        c = np.uint64(1)
         for j in range(n):
-            out += self.hash[j : j + total] * c
-            c = c * np.uint64(0xA0761D6478BD642F)
+            out += self.hash[j : j + total] * np.uint64(pow(0xA0761D6478BD642F, j, 1 << 64))
         owner = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
         whole = owner[: total] == owner[n - 1 : n - 1 + total] if total else np.zeros(0, bool)
         return mix(out), whole
