@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checkloom.llm import line_dedup, ngram_join, quality_rules, quality_sql, substring_dedup
+from checkloom.llm import bpe_codec, line_dedup, ngram_join, packing, quality_rules, quality_sql, substring_dedup
 from checkloom.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op9_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe_codec(spark, sf_dir):
+    return bpe_codec.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -44,5 +52,5 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op10_bpe_codec": op10_bpe_codec, "op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
 ORACLE_SQL = {"op2_substring_dedup": SUBSTRING_SQL, "op9_line_dedup": LINE_SQL, "op7_quality_rules": quality_sql.SQL}
