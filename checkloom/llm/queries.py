@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checkloom.llm import bpe_codec, line_dedup, ngram_join, packing, quality_rules, quality_sql, substring_dedup
+from checkloom.llm import bpe_codec, embedding_dedup, line_dedup, ngram_join, packing, quality_rules, quality_sql, substring_dedup
 from checkloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_codec(spark, sf_dir):
     return bpe_codec.digest(table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,14 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op10_bpe_codec": op10_bpe_codec, "op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
-ORACLE_SQL = {"op2_substring_dedup": SUBSTRING_SQL, "op9_line_dedup": LINE_SQL, "op7_quality_rules": quality_sql.SQL}
+QUERIES = {"op4_embedding_dedup": op4_embedding_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op10_bpe_codec": op10_bpe_codec, "op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n),
+r AS (SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON r.m = l.x)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id) AS n_links, min(r.m) AS component_id, min(r.m) = e.vec_id AS kept
+FROM embeddings e JOIN r ON r.vec_id = e.vec_id GROUP BY e.vec_id
+"""
+
+ORACLE_SQL = {"op4_embedding_dedup": EMBEDDING_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op9_line_dedup": LINE_SQL, "op7_quality_rules": quality_sql.SQL}
