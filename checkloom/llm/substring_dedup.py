@@ -39,8 +39,14 @@ M = 8
 BUCKET_STRINGS = 2000
 _INDEX_BITS = np.uint64(32)
 
-PIECE = "doc_id long, text_hash long, minimiser long, start int, pid binary, packed binary"
-MARKED = "pid binary, repeats array<int>"
+#: A map task sends a string again only after so many others.
+SENT_MEMO = 400_000
+#: Hot minimisers up to this number (12 bytes each) are broadcast, more are joined.
+HOT_BROADCAST = 100_000
+
+PIECE = "doc_id long, text_hash long, minimiser long, pid long, start int"
+STRING = "minimiser long, pid long, packed binary"
+MARKED = "minimiser long, pid long, repeats array<int>"
 
 
 def super_kmers(words: Words, window: int = WINDOW, m: int = M) -> tuple[np.ndarray, ...]:
@@ -81,22 +87,44 @@ def _minimisers(window, m):
     return run
 
 
+def _suspects(twice, window, m, batch):
+    """For each group of texts: the rows, its words, and minimiser, document, first word, string and its hash of each
+    super-k-mer that may hold a repeat."""
+    for part, texts in groups(batch):
+        w = Words(texts)
+        mini, owner, starts, count = super_kmers(w, window, m)
+        hit = np.flatnonzero(twice.value.has(mix(mini)))
+        if len(hit):
+            packed = [b" ".join(w.data[w.starts[s] : w.ends[s + c + window - 2]].split()) for s, c in zip(starts[hit].tolist(), count[hit].tolist(), strict=True)]
+            pid = np.fromiter(map(xxhash.xxh3_64_intdigest, packed), np.uint64, len(packed)).view(np.int64)
+            yield part, w, mini[hit].view(np.int64), owner[hit], starts[hit], packed, pid
+
+
 def _pieces(twice, window, m):
+    """Where each suspect super-k-mer starts; (minimiser, pid) stand for its string."""
+    def run(batches):
+        for batch in batches:
+            for part, w, mini, owner, starts, _, pid in _suspects(twice, window, m, batch):
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("text_hash").take(own), pa.array(mini), pa.array(pid), pa.array((starts - w.bounds[owner]).astype(np.int32))], ["doc_id", "text_hash", "minimiser", "pid", "start"])
+
+    return run
+
+
+def _strings(twice, window, m):
+    """The strings themselves, each once for a task."""
     def run(batches):
+        sent: set[int] = set()
         for batch in batches:
-            for part, texts in groups(batch):
-                w = Words(texts)
-                mini, owner, starts, count = super_kmers(w, window, m)
-                hit = np.flatnonzero(twice.value.has(mix(mini)))
-                if not len(hit):
-                    continue
-                docs, hashes = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
-                packed = [b" ".join(w.data[w.starts[s] : w.ends[s + c + window - 2]].split()) for s, c in zip(starts[hit].tolist(), count[hit].tolist(), strict=True)]
-                own = owner[hit].tolist()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([docs[i] for i in own], pa.int64()), pa.array([hashes[i] for i in own], pa.int64()), pa.array(mini[hit].view(np.int64)),
-                    pa.array((starts[hit] - w.bounds[owner[hit]]).astype(np.int32)), pa.array([xxhash.xxh3_128_digest(p) for p in packed], pa.binary()), pa.array(packed, pa.binary()),
-                ], ["doc_id", "text_hash", "minimiser", "start", "pid", "packed"])
+            for _, _, mini, _, _, packed, pid in _suspects(twice, window, m, batch):
+                if len(sent) > SENT_MEMO:
+                    sent.clear()
+                new = []
+                for i, p in enumerate(pid.tolist()):
+                    if p not in sent:
+                        sent.add(p)
+                        new.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(mini[new]), pa.array(pid[new]), pa.array([packed[i] for i in new], pa.binary())], ["minimiser", "pid", "packed"])
 
     return run
 
@@ -129,26 +157,29 @@ def _count(window):
         return [(rows[k][0], sorted(v)) for k, v in marked.items()]
 
     def run(batches):
-        """Rows come sorted by bucket, so that one bucket at a time is held."""
-        held, key = [], None
+        """Rows come sorted by bucket and string, so that one bucket at a time is held, each string once."""
+        held, key, salts, out = [], None, None, []
         for batch in batches:
-            out = []
             for mini, salt, of, pid, packed, n in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "salt", "salts", "pid", "packed", "n")), strict=True):
                 if (mini, salt) != key:
-                    if held:
-                        out += repeats(held, salts)
+                    out += [(key[0], *r) for r in repeats(held, salts)] if held else []
                     held, key, salts = [], (mini, salt), (salt, of)
-                held.append((pid, packed, n))
+                if held and held[-1][0] == pid:
+                    held[-1][1] = held[-1][1] or packed
+                    held[-1][2] += n
+                else:
+                    held.append([pid, packed, n])
             if out:
                 yield _marked(out)
-        if held and (out := repeats(held, salts)):
+                out = []
+        if held and (out := [(key[0], *r) for r in repeats(held, salts)]):
             yield _marked(out)
 
     return run
 
 
 def _marked(rows):
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["pid", "repeats"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["minimiser", "pid", "repeats"])
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW, m: int = M, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
@@ -157,15 +188,17 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, m: int = M, bucket_st
     packed = docs.select("text").mapInArrow(_minimisers(window, m), seen_filter.PACKED)
     twice = seen_filter.repeated(packed, seen_filter.bits_for(input_bytes(docs), 0.4))
     pieces = cut(ids.mapInArrow(_pieces(twice, window, m), PIECE), "pieces")
-    strings = pieces.groupBy("minimiser", "pid").agg(F.first("packed").alias("packed"), F.count("*").alias("n"))
-    sizes = pieces.select("minimiser", "pid").distinct().groupBy("minimiser").agg(F.count("*").alias("k"), F.lit(1).alias("one"))
-    total = pieces.groupBy("minimiser").agg(F.count("*").alias("all")).where("all > 1")
-    sizes = sizes.join(total, "minimiser").select("minimiser", F.ceil(F.col("k") / bucket_strings).cast("int").alias("salts"))
-    dealt = strings.join(sizes, "minimiser").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    counts = pieces.groupBy("minimiser", "pid").agg(F.count("*").alias("n"))
+    hot = cut(counts.groupBy("minimiser").agg(F.count("*").alias("k")).where(F.col("k") > bucket_strings).select("minimiser", F.ceil(F.col("k") / bucket_strings).cast("int").alias("of")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot
+    strings = ids.mapInArrow(_strings(twice, window, m), STRING).select("minimiser", "pid", "packed", F.lit(0).cast("long").alias("n"))
+    rows = strings.union(counts.select("minimiser", "pid", F.lit(None).cast("binary").alias("packed"), "n"))
+    rows = rows.join(hot, "minimiser", "left").withColumn("salts", F.coalesce("of", F.lit(1)))
+    dealt = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = dealt.repartition(n, "minimiser", "salt").sortWithinPartitions("minimiser", "salt")
-    marked = buckets.select("minimiser", "salt", "salts", "pid", "packed", "n").mapInArrow(_count(window), MARKED)
-    found = pieces.select("doc_id", "text_hash", "start", "pid").join(marked, "pid")
+    buckets = dealt.select("minimiser", "salt", "salts", "pid", "packed", "n").repartition(n, "minimiser", "salt").sortWithinPartitions("minimiser", "salt", "pid")
+    marked = buckets.mapInArrow(_count(window), MARKED)
+    found = pieces.join(marked, ["minimiser", "pid"])
     starts = F.transform("repeats", lambda x: x + F.col("start"))
     return found.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(starts))).alias("starts"))
 
