@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 SHARDS = 64
 PROBES = 2
-#: Bits of one filter at most: 32 MB, which is also the bound of what is broadcast.
-MAX_BITS = 1 << 28
+#: Bits of one filter at most: 64 MB, which is also the bound of what is broadcast.
+MAX_BITS = 1 << 29
 MIN_BITS = 1 << 20
 PACKED = "shard int, hashes binary"
 
