@@ -15,17 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from checkloom.llm.textkit import groups
-from checkloom.llm.tokens import WordBpe, decode_names, tokenizer_json
+from checkloom.llm.tokens import codec, decode_names, tokenizer_json
 
 
 def _digest(source):
     def run(batches):
-        codec = WordBpe(source.value)
-        make = lambda ids: (len(ids), " ".join(map(str, ids)).encode(), decode_names(codec, ids).encode())
+        bpe = codec(source.value)
+        make = lambda ids: (len(ids), " ".join(map(str, ids)).encode(), decode_names(bpe, ids).encode())
         for batch in batches:
             for part, texts in groups(batch):
                 n, ids, text = [], [], []
-                for e in codec.entries(texts, make):
+                for e in bpe.entries(texts, make):
                     e = [x for x in e if x[0]]
                     n.append(sum(x[0] for x in e))
                     ids.append(hashlib.sha256(b" ".join([x[1] for x in e])).hexdigest())
@@ -37,11 +37,11 @@ def _digest(source):
 
 def _both(source):
     def run(batches):
-        codec = WordBpe(source.value)
+        bpe = codec(source.value)
         for batch in batches:
             for part, texts in groups(batch):
-                ids = [[i for x in e for i in x] for e in codec.entries(texts, tuple)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([np.asarray(x, np.int32) for x in ids], pa.list_(pa.int32())), pa.array([decode_names(codec, x) for x in ids])], [*part.schema.names, "ids", "decoded"])
+                ids = [[i for x in e for i in x] for e in bpe.entries(texts, tuple)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([np.asarray(x, np.int32) for x in ids], pa.list_(pa.int32())), pa.array([decode_names(bpe, x) for x in ids])], [*part.schema.names, "ids", "decoded"])
 
     return run
 

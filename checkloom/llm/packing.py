@@ -14,6 +14,7 @@ is whole: its pieces are consecutive; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from checkloom.llm.common import cut
 from checkloom.llm.textkit import groups
-from checkloom.llm.tokens import WordBpe, tokenizer_json
+from checkloom.llm.tokens import codec, tokenizer_json
 
 CAPACITY = 2048
 SHARD = 40_000
@@ -40,13 +41,13 @@ PIECES = "slot long, doc_id long, piece int, start long, length long, ids_crc32
 
 def _pieces(source, capacity):
     def run(batches):
-        codec = WordBpe(source.value)
+        bpe = codec(source.value)
         slot = TaskContext.get().partitionId() << 33
-        make = lambda ids: np.asarray(ids, "<u4").tobytes()
+        make = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
         for batch in batches:
             for part, texts in groups(batch):
                 out = []
-                for doc, e in zip(part.column("doc_id").to_pylist(), codec.entries(texts, make), strict=True):
+                for doc, e in zip(part.column("doc_id").to_pylist(), bpe.entries(texts, make), strict=True):
                     ids = b"".join(e) + b"\0\0\0\0"
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]

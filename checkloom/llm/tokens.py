@@ -10,14 +10,19 @@ from __future__ import annotations
 import json
 import re
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 from pathlib import Path
 
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-MEMO = 200_000
+MEMO = 300_000
 LONG = 2_000
 LEAF = 500
+#: Pieces that need no normaliser but lower case: printable ASCII and the letters of Latin-1, which are all composed.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The pre-tokenizer's pattern on such pieces in lower case.
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Tokens on each side of a join in the first window; doubled until both sides agree.
 MARGIN = 8
 
@@ -46,6 +51,12 @@ class WordBpe:
         self._final: BPE | None = None
         self.names: dict[int, str] = {}
         self.memo: dict[bytes, tuple] = {}
+        self.words: dict[str, list[int]] = {}
+        # the shortcut holds for this file's normaliser and pre-tokenizer only
+        steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        special = all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+        self.can_skip = special and steps == ["NFC", "Replace", "Lowercase"] and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def name(self, i: int) -> str:
         found = self.names.get(i)
@@ -112,22 +123,47 @@ class WordBpe:
             parts = list(pool.map(lambda p: self.join(*p), pairs)) + parts[n - n % 2 :]
         return parts[0] if parts else []
 
+    def _plain(self, text: str) -> list[int]:
+        """encode() of a text of PLAIN without special tokens: the library's model on its own words."""
+        ids: list[int] = []
+        for word in WORD.findall(text.lower()):
+            own = self.words.get(word)
+            if own is None:
+                own = self.words[word] = self._leaf(word if word.isascii() else byte_letters(word), True)
+            ids += own
+        return ids
+
     def entries(self, texts: list[bytes], make) -> list[list]:
         """make(ids) of every piece of each UTF-8 text between ASCII white space, memoised by piece."""
         split = [t.split() for t in texts]
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        missing = list({p for s in split for p in s} - memo.keys())
-        short = [p for p in missing if len(p) <= LONG]
-        for p, e in zip(short, self.tok.encode_batch_fast([p.decode() for p in short], add_special_tokens=False), strict=True):
-            memo[p] = make(e.ids)
-        for p in missing:
-            if len(p) > LONG:
-                memo[p] = make(self.encode(p.decode()))
+        if len(self.words) > MEMO:
+            self.words.clear()
+        for p in {p for s in split for p in s}.difference(memo):
+            text = p.decode()
+            plain = self.can_skip and len(p) <= LONG and "<|" not in text and PLAIN.fullmatch(text)
+            memo[p] = make(self._plain(text) if plain else self.encode(text))
         return [[memo[p] for p in s] for s in split]
 
 
+def byte_letters(word: str) -> str:
+    """The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the n-th other byte for U+0100 + n."""
+    return "".join(_LETTERS[b] for b in word.encode())
+
+
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
+
+
+@lru_cache(maxsize=1)
+def codec(source: str) -> WordBpe:
+    """One codec for a Python worker, with its memo, whatever number of tasks it runs."""
+    return WordBpe(source)
+
+
 def decode_names(codec: WordBpe, ids: list[int]) -> str:
     """The library's decode without a decoder: token strings joined by one space."""
     return " ".join(map(codec.name, ids))
