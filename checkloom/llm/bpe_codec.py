@@ -20,7 +20,7 @@ from checkloom.llm.tokens import codec, decode_names, tokenizer_json
 
 def _digest(source):
     def run(batches):
-        bpe = codec(source.value)
+        bpe = codec(source.value, "digest")
         make = lambda ids: (len(ids), " ".join(map(str, ids)).encode(), decode_names(bpe, ids).encode())
         for batch in batches:
             for part, texts in groups(batch):
@@ -37,7 +37,7 @@ def _digest(source):
 
 def _both(source):
     def run(batches):
-        bpe = codec(source.value)
+        bpe = codec(source.value, "both")
         for batch in batches:
             for part, texts in groups(batch):
                 ids = [[i for x in e for i in x] for e in bpe.entries(texts, tuple)]

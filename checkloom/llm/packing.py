@@ -41,7 +41,7 @@ PIECES = "slot long, doc_id long, piece int, start long, length long, ids_crc32
 
 def _pieces(source, capacity):
     def run(batches):
-        bpe = codec(source.value)
+        bpe = codec(source.value, "pieces")
         slot = TaskContext.get().partitionId() << 33
         make = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
         for batch in batches:

@@ -159,8 +159,8 @@ _LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(
 
 
 @lru_cache(maxsize=1)
-def codec(source: str) -> WordBpe:
-    """One codec for a Python worker, with its memo, whatever number of tasks it runs."""
+def codec(source: str, use: str) -> WordBpe:
+    """One codec for a Python worker and use: its memo holds what that use makes of the ids, over all tasks."""
     return WordBpe(source)
 
 
