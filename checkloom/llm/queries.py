@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checkloom.llm import bpe_codec, embedding_dedup, line_dedup, ngram_join, packing, quality_rules, quality_sql, substring_dedup
+from checkloom.llm import bpe_codec, embedding_dedup, html_extract, line_dedup, ngram_join, packing, quality_rules, quality_sql, substring_dedup, toxicity, url_filter
 from checkloom.llm.common import table
 
 
@@ -22,6 +22,18 @@ def op4_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe_codec(spark, sf_dir):
     return bpe_codec.digest(table(spark, sf_dir, "documents"))
 
@@ -56,7 +68,7 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op4_embedding_dedup": op4_embedding_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op10_bpe_codec": op10_bpe_codec, "op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
+QUERIES = {"op5_html_extraction": op5_html_extraction, "op6_toxicity": op6_toxicity, "op8_url_filter": op8_url_filter, "op4_embedding_dedup": op4_embedding_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op10_bpe_codec": op10_bpe_codec, "op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
 EMBEDDING_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
