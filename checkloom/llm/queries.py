@@ -69,6 +69,16 @@ FROM m GROUP BY doc_id
 """
 
 QUERIES = {"op5_html_extraction": op5_html_extraction, "op6_toxicity": op6_toxicity, "op8_url_filter": op8_url_filter, "op4_embedding_dedup": op4_embedding_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op10_bpe_codec": op10_bpe_codec, "op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules}
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.m = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.m) AS component_id FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 EMBEDDING_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
@@ -78,4 +88,4 @@ SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.x = e.vec_id) AS n_links, min(r
 FROM embeddings e JOIN r ON r.vec_id = e.vec_id GROUP BY e.vec_id
 """
 
-ORACLE_SQL = {"op4_embedding_dedup": EMBEDDING_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op9_line_dedup": LINE_SQL, "op7_quality_rules": quality_sql.SQL}
+ORACLE_SQL = {"op3_ngram_join": NGRAM_SQL, "op4_embedding_dedup": EMBEDDING_SQL, "op2_substring_dedup": SUBSTRING_SQL, "op9_line_dedup": LINE_SQL, "op7_quality_rules": quality_sql.SQL}

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 SHARDS = 64
 PROBES = 2
-#: Bits of one filter at most: 64 MB, which is also the bound of what is broadcast.
-MAX_BITS = 1 << 29
+#: Bits of one filter at most: 32 MB, which is also the bound of what is broadcast.
+MAX_BITS = 1 << 28
 MIN_BITS = 1 << 20
 PACKED = "shard int, hashes binary"
 
@@ -82,10 +82,12 @@ def _shards(bits: int) -> Callable:
 class Twice:
     """Membership in the twice-filter; made once on the driver and broadcast."""
 
-    def __init__(self, bits: int, shards: dict[int, bytes]):
-        self.bits = bits
-        empty = bytes(bits // 8)
-        self.data = np.frombuffer(b"".join(shards.get(s, empty) for s in range(SHARDS)), np.uint8)
+    def __init__(self, bits: int):
+        self.bits, self.data = bits, np.zeros(SHARDS * bits // 8, np.uint8)
+
+    def put(self, shard: int, packed: bytes) -> None:
+        size = self.bits // 8
+        self.data[shard * size : (shard + 1) * size] = np.frombuffer(packed, np.uint8)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         base = (hashes >> np.uint64(58)).astype(np.int64) * self.bits
@@ -100,5 +102,7 @@ def repeated(packed: DataFrame, total_bits: int):
     """A broadcast Twice over rows of schema PACKED. The driver gets total_bits / 8 bytes, MAX_BITS / 8 at most."""
     bits = max(8, total_bits // SHARDS)
     n = min(SHARDS, int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = packed.repartition(n, F.col("shard")).mapInArrow(_shards(bits), PACKED).collect()
-    return packed.sparkSession.sparkContext.broadcast(Twice(bits, {r.shard: bytes(r.hashes) for r in rows}))
+    twice = Twice(bits)
+    for r in packed.repartition(n, F.col("shard")).mapInArrow(_shards(bits), PACKED).toLocalIterator():
+        twice.put(r.shard, r.hashes)
+    return packed.sparkSession.sparkContext.broadcast(twice)
