@@ -57,7 +57,7 @@ def closed_itemsets(frequent: DataFrame) -> DataFrame:
 def subsets(items: Column) -> Column:
     """All non-empty subsets, each in the order of `items`."""
     n = F.size(items)
-    ids = F.sequence(F.lit(1), F.shiftleft(F.lit(1), n) - 1)
+    ids = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)
     pick = lambda m: F.filter(items, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1)
     return F.when(n > WIDEST, F.raise_error(F.lit("a set is too wide for subsets"))).otherwise(F.transform(ids, pick))
 

@@ -61,14 +61,14 @@ def reach(edges: DataFrame, seeds: DataFrame, excluded: DataFrame | None = None,
     seen = cut((without(seen) if mode == "drop" else seen).withColumn("level", F.lit(0)), "reach")
     frontier, level = seen, 0
     while max_level is None or level < max_level:
-        step = without(frontier).join(e, F.col("node") == F.col("src")).select("ep", F.col("tgt").alias("node")).distinct()
+        step = without(frontier).select("ep", "node").join(e, F.col("node") == F.col("src")).select("ep", F.col("tgt").alias("node")).distinct()
         step = without(step) if mode == "drop" else step
         level += 1
         frontier = cut(step.join(seen, ["ep", "node"], "left_anti").withColumn("level", F.lit(level)), "reach")
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
-    return seen
+        seen = seen.unionByName(frontier)
+    return seen.select("ep", "node", "level")
 
 
 def allowed_edges(edges: DataFrame, reached: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -81,14 +81,14 @@ def allowed_edges(edges: DataFrame, reached: DataFrame, excluded: DataFrame | No
 def reach_back(allowed: DataFrame, sinks: DataFrame) -> DataFrame:
     """(ep, sink, node): nodes from which each sink is reached over the entry point's allowed edges; sinks included."""
     turned = allowed.select("ep", F.col("tgt").alias("s"), F.col("src").alias("t"))
-    seen = cut(allowed.select("ep", F.col("tgt").alias("sink")).join(sinks.select("sink"), "sink", "left_semi").distinct().withColumn("node", F.col("sink")), "back")
+    seen = cut(allowed.select("ep", F.col("tgt").alias("sink")).join(sinks.select("sink"), "sink", "left_semi").distinct().select("ep", "sink", F.col("sink").alias("node")), "back")
     frontier = seen
     while True:
         step = frontier.join(turned, (frontier["ep"] == turned["ep"]) & (frontier["node"] == turned["s"])).select(frontier["ep"], "sink", F.col("t").alias("node")).distinct()
         frontier = cut(step.join(seen, ["ep", "sink", "node"], "left_anti"), "back")
         if frontier.isEmpty():
             return seen
-        seen = seen.union(frontier)
+        seen = seen.unionByName(frontier)
 
 
 def depth_sets(edges: DataFrame, reached: DataFrame) -> DataFrame:
