@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from checkloom.functions.matcher import member_matcher
+
 # Visibility words of the list format; m* test the method, c* its class.
 VISIBILITY = ("public", "private", "protected", "default")
 LINE = r"^([+-])\s*(\w+)\s+(?:\[([^\]]*)\]\s+)?(.+?)\s*$"
@@ -48,7 +52,7 @@ def _matches(methods: DataFrame, rules: DataFrame, ancestors: DataFrame | None)
     keys = m.select("sig", "name", "class", "modifiers", "class_modifiers", F.explode(_class_keys(F.col("class"))).alias("key"))
     path = rules.where(F.col("kind") == "ClassPath").select("idx", "include", "options", F.col("pattern").alias("key"))
     out.append(keys.join(path, "key").where(_visible(F.col("options"), F.col("modifiers"), "m") & _visible(F.col("options"), F.col("class_modifiers"), "c")).select("sig", "idx", "include"))
-    both = rules.where(F.col("kind").isin("MethodNameAndClass", "MethodSpecial")).select("idx", "include", "kind", F.split("pattern", r"\s+")[0].alias("key"), F.split("pattern", r"\s+")[1].alias("name"))
+    both = rules.where(F.col("kind") == "MethodNameAndClass").select("idx", "include", F.split("pattern", r"\s+")[0].alias("key"), F.split("pattern", r"\s+")[1].alias("name"))
     out.append(keys.join(both, ["key", "name"]).select("sig", "idx", "include"))
     if ancestors is not None:
         up = m.select("sig", "name", "subsig", F.col("class").alias("sub")).join(ancestors, "sub")
@@ -58,14 +62,31 @@ def _matches(methods: DataFrame, rules: DataFrame, ancestors: DataFrame | None)
             own = methods.select(F.col("class").alias("super"), "subsig", F.lit(True).alias("own"))
             over = hit.join(own.distinct(), ["super", "subsig"], "left")
             out.append(over.where(~F.array_contains(F.split("options", r"\s*,\s*"), "overrides") | F.col("own")).select("sig", "idx", "include"))
-        special = both.where(F.col("kind") == "MethodSpecial").withColumnRenamed("key", "super").drop("kind")
-        out.append(up.join(special, ["super", "name"]).select("sig", "idx", "include"))
+    # composite rules hold a matcher expression each; a list is a configuration file, so they are compiled one by one
+    for r in rules.where(F.col("kind") == "MethodSpecial").select("idx", "include", "pattern").collect():
+        out.append(_special(m, r, ancestors))
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
     return found
 
 
+def _special(methods: DataFrame, rule, ancestors: DataFrame | None) -> DataFrame:
+    """`[IncludeSubClasses=true] [ClassName=pattern] Method=matcher`: the class, its subclasses if asked for, the method."""
+    form = re.fullmatch(r"(?:IncludeSubClasses=(\w+)\s+)?(?:ClassName=(\S+)\s+)?Method=(.+)", rule.pattern)
+    if not form:
+        raise ValueError(f"malformed rule: {rule.pattern}")
+    below, cls, method = form.groups()
+    hit = methods.where(member_matcher(method, F.col("sig")))
+    if cls:
+        own = hit.where(class_path(F.lit(cls), F.col("class"))).select("sig")
+        if below and below.lower() == "true" and ancestors is not None:
+            subs = ancestors.where(class_path(F.lit(cls), F.col("super"))).select(F.col("sub").alias("class")).distinct()
+            own = own.unionByName(hit.join(subs, "class", "left_semi").select("sig"))
+        hit = own.distinct()
+    return hit.select("sig", F.lit(rule.idx).alias("idx"), F.lit(rule.include).alias("include"))
+
+
 def _class_keys(name: Column) -> Column:
     """The class and the wild-card patterns that cover it."""
     cuts = F.filter(F.transform(F.split(name, ""), lambda c, i: F.when(c.isin(".", "$"), i + 1)), lambda i: i.isNotNull())
