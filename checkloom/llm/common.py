@@ -1,79 +1,19 @@
-"""Shared helpers: table reading, materialised cuts in the shared folder, connected components."""
+"""Shared helpers: table reading, sizes, materialised cuts in the shared folder, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+from checkloom.operators.graph import components
+from checkloom.plans.shared import cut
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+__all__ = ["components", "cut", "input_bytes", "table"]
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: lineage ends there and lost executors cost nothing.
-
-    The files are left to the owner of the folder; a lazy result may still need them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/checkloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of `df` (file sizes for a scan), without running a job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def parts(df: DataFrame, mb_each: int = 8) -> int:
-    """Partition count that follows the input: one per `mb_each` MB, at least the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(input_bytes(df) // (mb_each << 20), 200_000))
-
-
-def text_column(docs: DataFrame):
-    return F.coalesce(F.col("text"), F.lit(""))
-
-
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star then one small-star step over undirected edges (a, b), a > b."""
-    both = edges.union(edges.select("b", "a"))
-    low = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
-    large = (both.join(low, both.a == low.u).where("b > u and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-    keep = low.where("m < u").select(F.col("u").alias("a"), F.col("m").alias("b"))
-    one = large.union(keep).distinct()
-    floor = one.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-    small = one.join(floor, one.a == floor.u).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return small.union(floor.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected links (a, b): rows (id, component), component the smallest id reachable.
-
-    Alternating large-star and small-star steps; every step is cut to the shared folder, nothing is collected but two
-    totals that tell whether the edges still change. Self links and repeats are harmless; an empty input gives no rows.
-    """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = cut(e, "edges")
-    total = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
-    before = e.agg(total.alias("t")).first().t
-    while before.n:
-        e = cut(_stars(e), "edges")
-        now = e.agg(total.alias("t")).first().t
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
