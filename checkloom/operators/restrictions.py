@@ -108,7 +108,7 @@ def in_arithmetic_chain(nodes: DataFrame, edges: DataFrame, constants: Column |
         plain = nodes.where(F.col("expr_op").isin(*CHAIN_OPS)).select("ep", F.col("node").alias("use"))
         if constants is not None:
             fit = edges.join(nodes.where((F.col("kind") == "const") & constants).select("ep", F.col("node").alias("def")), ["ep", "def"]).select("ep", "use").distinct()
-            plain = plain.join(fit, ["ep", "use"], "left_semi").unionByName(plain.where(F.lit(False)))
+            plain = plain.join(fit, ["ep", "use"], "left_semi")
         seen = cut(x.select("ep", "start", "node").distinct().withColumn("at", F.col("node")), "chain")
         frontier = seen
         while True:
