@@ -16,7 +16,7 @@ from pathlib import Path
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-MEMO = 300_000
+MEMO = 500_000
 LONG = 2_000
 LEAF = 500
 #: Pieces that need no normaliser but lower case: printable ASCII and the letters of Latin-1, which are all composed.
