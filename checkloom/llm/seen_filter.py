@@ -1,6 +1,6 @@
 """Two Bloom filters over a corpus: hashes seen once, and hashes seen twice or more.
 
-Map tasks send each hash (8 bytes, packed many to a row) to the shard that owns it; a shard adds it to its once-filter,
+Map tasks send 32 bits of each hash (packed many to a row) to the shard that owns it by 6 others; a shard adds it to its once-filter,
 or to its twice-filter if the once-filter has it already. Only the twice-filter is returned. It never misses a repeated
 hash. A false positive costs the caller one needless row, never a wrong result, so the filter may be of bounded size:
 `bits_for` follows the input up to MAX_BITS, and beyond that the share of false positives grows instead of memory.
@@ -36,7 +36,7 @@ def pack(hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
     edges = np.searchsorted(shard[order], np.arange(SHARDS + 1))
     for s in range(SHARDS):
         if edges[s] < edges[s + 1]:
-            yield s, hashes[order[edges[s] : edges[s + 1]]].tobytes()
+            yield s, hashes[order[edges[s] : edges[s + 1]]].astype(np.uint32).tobytes()
 
 
 def packed_batches(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -45,10 +45,11 @@ def packed_batches(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["shard", "hashes"])
 
 
-def places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Bit positions of each hash within its shard of `bits` bits."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(26)) | np.uint64(1)
-    return [((low + np.uint64(j) * high) & np.uint64(bits - 1)).astype(np.int64) for j in range(PROBES)]
+def places(low: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Bit positions of hashes, given by their low 32 bits, within a shard of `bits` bits."""
+    x = low.astype(np.uint64)
+    step = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) | np.uint64(1)
+    return [((x + np.uint64(j) * step) & np.uint64(bits - 1)).astype(np.int64) for j in range(PROBES)]
 
 
 class Shard:
@@ -72,7 +73,7 @@ def _shards(bits: int) -> Callable:
         held: dict[int, Shard] = {}
         for b in batches:
             for s, h in zip(b.column("shard").to_pylist(), b.column("hashes").to_pylist(), strict=True):
-                held.setdefault(s, Shard(bits)).add(np.frombuffer(h, np.uint64))
+                held.setdefault(s, Shard(bits)).add(np.frombuffer(h, np.uint32))
         for s, shard in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(shard.twice, bitorder="little").tobytes()], pa.binary())], ["shard", "hashes"])
 
@@ -92,7 +93,7 @@ class Twice:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         base = (hashes >> np.uint64(58)).astype(np.int64) * self.bits
         out = np.ones(len(hashes), bool)
-        for p in places(hashes, self.bits):
+        for p in places(hashes.astype(np.uint32), self.bits):
             at = base + p
             out &= ((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
         return out

@@ -61,7 +61,7 @@ def test_twice_filter_never_misses():
     once, twice = rng.integers(0, 2**63, 2000, np.uint64), rng.integers(0, 2**63, 500, np.uint64)
     shards = {}
     for s, b in seen_filter.pack(np.concatenate([once, twice, twice])):
-        shards.setdefault(s, seen_filter.Shard(1 << 12)).add(np.frombuffer(b, np.uint64))
+        shards.setdefault(s, seen_filter.Shard(1 << 12)).add(np.frombuffer(b, np.uint32))
     t = seen_filter.Twice(1 << 12)
     for s, shard in shards.items():
         t.put(s, np.packbits(shard.twice, bitorder="little").tobytes())
