@@ -464,8 +464,9 @@ _OPS = "op AS (SELECT o_custkey % 500 AS expr, l_linenumber AS pos, CAST(l_suppk
 @query(f"""WITH {_OPS}, a AS (SELECT expr, value AS v1 FROM op WHERE pos = 1), c AS (SELECT expr, value AS v2 FROM op WHERE pos = 2), e AS (SELECT expr, value AS v3 FROM op WHERE pos = 3), k AS (SELECT DISTINCT expr FROM op)
 SELECT k.expr, concat_ws(', ', v1, v2, v3) AS text FROM k LEFT JOIN a ON k.expr = a.expr LEFT JOIN c ON k.expr = c.expr LEFT JOIN e ON k.expr = e.expr""")
 def substitution_product(s, d):
-    x = B.table(s, d, "lineitem").where("l_linenumber <= 3").join(B.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joins.substitution_product(x.select((F.col("o_custkey") % 500).alias("expr"), F.col("l_linenumber").alias("pos"), (F.col("l_suppkey") % 4).cast("string").alias("value")))
+    # binding B10 whole: an order's lines are its operands, suppliers of one line its alternatives; the SQL above is of an older, smaller job
+    x = B.table(s, d, "lineitem").select(F.col("l_orderkey").alias("expr"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").cast("string").alias("value"))
+    return joins.substitution_product(x)
 
 
 @query("SELECT concat('o', o_orderkey) AS node, CAST(coalesce(p.n, 1) AS VARCHAR) AS n FROM orders LEFT JOIN (SELECT l_orderkey, product(k) AS n FROM (SELECT l_orderkey, l_linenumber, count(DISTINCT l_suppkey) AS k FROM lineitem GROUP BY 1, 2) GROUP BY 1) p ON p.l_orderkey = o_orderkey".replace("CAST(coalesce(p.n, 1) AS VARCHAR)", "CAST(CAST(coalesce(p.n, 1) AS BIGINT) AS VARCHAR)"))

@@ -222,3 +222,15 @@ def test_catalogue_runs_without_llm(spark):
 
     assert e.entry(spark).limit(1).collect()
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_substitution_product_takes_every_operand_and_value(spark):
+    from checkloom.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    ops: dict = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey").collect():
+        ops.setdefault(r.l_orderkey, {}).setdefault(r.l_linenumber, set()).add(str(r.l_suppkey))
+    want = Counter((e, ", ".join(v)) for e, by in ops.items() for v in itertools.product(*(by[p] for p in sorted(by))))
+    assert max(p for by in ops.values() for p in by) > 3 and len(ops) > 500
+    assert rows(QUERIES["substitution_product"](spark, sf)) == want
