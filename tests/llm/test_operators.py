@@ -286,6 +286,25 @@ def test_local_search_empties_bins():
     assert len(better) <= len(bins) and all(lengths[b].sum() <= 10 for b in better)
 
 
+def test_local_search_tries_every_underfull_bin(spark):
+    """Nearly full bins are partners too: 400 partners a bin left 3201 bins of these pieces."""
+    lengths = np.random.default_rng(1).integers(600, 766, 9000)
+    found = packing.improve(packing.best_fit(lengths, 2048), lengths, 2048)
+    assert sorted(i for b in found for i in b) == list(range(9000)) and all(lengths[b].sum() <= 2048 for b in found)
+    assert len(found) <= 3120
+
+
+def test_all_underfull_bins_go_up(spark, monkeypatch):
+    """More bins than PASS_UP can be improved by other shards: 701 bins when only these go up."""
+    monkeypatch.setattr(packing, "PASS_UP", 2)
+    lengths = np.random.default_rng(1).integers(300, 1101, 2000).tolist()
+    items = spark.createDataFrame(list(enumerate(lengths)), "slot long, length long")
+    got = packing.assign(items, shard_items=100).join(items, "slot").collect()
+    n = packing.check_layout([(r.sequence_id, r.offset, r.length) for r in got], 2048)
+    assert len({r.slot for r in got}) == len(got) == 2000
+    assert n <= 700
+
+
 def test_tree_concatenation_equals_library(monkeypatch):
     for name, value in (("LONG", 40), ("LEAF", 7), ("MARGIN", 1)):
         monkeypatch.setattr(tokens, name, value)
