@@ -3,8 +3,10 @@
 Two smoothed variable-order Markov models over the characters of host and path, one of accepted and one of rejected
 URLs, are counted over every URL on which a rule decides. A character's probability is interpolated from order ORDER
 down to uniform (Witten-Bell). The score is the difference of the log-likelihoods for each character; its threshold is
-calibrated on the held-out fifth of the decided URLs, balancing both error rates. Counts are hashed into SLOTS slots a
-class and aggregated before the shuffle, so the broadcast models have a fixed size whatever the corpus.
+calibrated on the held-out fifth of the decided URLs, balancing both error rates. Counts are exact: a table of contexts
+and the characters after them, which grows with the corpus and is aggregated before the shuffle. URLs are scored by
+chunks of 2^CHUNK rows: the distinct windows of a chunk are joined to their log-ratios, which are computed once for each
+distinct window, order by order, so that a key has at most ALPHABET rows.
 
 Cases: a null URL or one without `://` has empty host and path, no rule, score 0; very long URLs are scored whole;
 repeated rows count as often as they occur; without any decided URL the models are uniform and every verdict is allow;
@@ -18,14 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checkloom.llm.common import cut
 
 ORDER = 4
-SLOTS = 1 << 17
+#: Entries that a task counts before it sends them on.
+HELD = 1 << 18
+CHUNK = 14
 ALPHABET = 256
 FOLDS = 5
 BINS = 2000
@@ -66,88 +69,95 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def grams(url: str) -> list[tuple[int, int]]:
-    """(context slot, gram slot) of each character of `url` and each order from 0."""
+def windows(url: str) -> list[bytes]:
+    """Each character of `url`, and its end, after the ORDER bytes before it."""
     b = b"\x02" * ORDER + url.encode() + b"\x03"
-    out = []
-    for i in range(ORDER, len(b)):
-        for n in range(ORDER + 1):
-            out.append((xxhash.xxh3_64_intdigest(b[i - n : i], n) % SLOTS, xxhash.xxh3_64_intdigest(b[i - n : i + 1], n) % SLOTS))
-    return out
+    return [b[i - ORDER : i + 1] for i in range(ORDER, len(b))]
 
 
 def _count(batches):
-    held: dict[tuple[int, int, int], int] = {}
+    held: dict[tuple[int, bytes], int] = {}
 
     def send():
-        rows = [(k[0], k[1], k[2], n) for k, n in held.items()]
+        rows = [(*k, n) for k, n in held.items()]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["accepted", "context", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int64()), strict=True)], ["accepted", "window", "n"])
 
     for batch in batches:
         for accepted, url in zip(batch.column("accepted").to_pylist(), batch.column("url").to_pylist(), strict=True):
-            for c, g in grams(url):
-                held[accepted, c, g] = held.get((accepted, c, g), 0) + 1
-        if len(held) > 2 * SLOTS:
-            yield send()
+            for w in windows(url):
+                held[accepted, w] = held.get((accepted, w), 0) + 1
+            if len(held) > HELD:
+                yield send()
     if held:
         yield send()
 
 
-class Model:
-    """Log-probabilities of one class by hashed counts."""
+def train(decided: DataFrame) -> DataFrame:
+    """The models of the accepted (1) and rejected (0) rows (accepted int, url string): for each context of 0..ORDER bytes
+    and class c its count n<c>, its number of different next characters k<c>, and next: their counts by character."""
+    counts = decided.mapInArrow(_count, "accepted int, window binary, n long").groupBy("accepted", "window").agg(F.sum("n").alias("n"))
+    counts = cut(counts, "counts")
+    # suffixes of the windows are the grams of lower order
+    grams = counts.select("accepted", "n", F.explode(F.array(*[F.substring("window", i + 1, ORDER + 1 - i) for i in range(ORDER + 1)])).alias("gram"))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("accepted") == c, F.col("n"))), F.lit(0).cast("long")).alias(f"g{c}")
+    grams = grams.groupBy("gram").agg(of(0), of(1)).withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)")).withColumn("char", F.expr("hex(substring(gram, length(gram), 1))"))
+    seen = lambda c: F.sum((F.col(f"g{c}") > 0).cast("long")).alias(f"k{c}")
+    return cut(grams.groupBy("context").agg(F.sum("g0").alias("n0"), F.sum("g1").alias("n1"), seen(0), seen(1), F.map_from_entries(F.collect_list(F.struct("char", F.struct("g0", "g1")))).alias("next")), "contexts")
+
+
+def ratios(wanted: DataFrame, models: DataFrame) -> DataFrame:
+    """window, d: the log of the classes' probabilities of the last byte of each window of `wanted` (distinct)."""
+    orders = [wanted.select(F.col("window").alias("gram"))]
+    for _ in range(ORDER):
+        orders.append(orders[-1].select(F.expr("substring(gram, 2, length(gram) - 1)").alias("gram")).distinct())
+    known = None
+    for grams in reversed(orders):
+        x = grams.select("gram", F.expr("substring(gram, 1, length(gram) - 1)").alias("context")).join(models, "context", "left")
+        if known is None:
+            x = x.withColumn("q0", F.lit(1 / ALPHABET)).withColumn("q1", F.lit(1 / ALPHABET))
+        else:
+            x = x.withColumn("lower", F.expr("substring(gram, 2, length(gram) - 1)")).join(known, "lower")
+        x = x.withColumn("g", F.expr("try_element_at(next, hex(substring(gram, length(gram), 1)))"))
+        p = lambda c: F.when(F.col(f"n{c}") > 0, (F.coalesce(F.col("g")[f"g{c}"], F.lit(0)) + F.col(f"k{c}") * F.col(f"q{c}")) / (F.col(f"n{c}") + F.col(f"k{c}"))).otherwise(F.col(f"q{c}"))
+        known = x.select(F.col("gram").alias("lower"), p(0).alias("q0"), p(1).alias("q1"))
+    return known.select(F.col("lower").alias("window"), F.ln(F.col("q1") / F.col("q0")).alias("d"))
+
+
+def _wanted(batches):
+    chunk, held = None, set()
 
-    def __init__(self):
-        self.gram, self.context, self.kinds = (np.zeros(SLOTS, np.int64) for _ in range(3))
+    def send():
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * len(held), pa.int64()), pa.array(list(held), pa.binary())], ["__chunk", "window"])
 
-    def probability(self, slots: list[tuple[int, int]]) -> float:
-        p = 1 / ALPHABET
-        for c, g in slots:
-            total, kinds = self.context[c], self.kinds[c]
-            if total:
-                p = (self.gram[g] + kinds * p) / (total + kinds)
-        return p
+    for batch in batches:
+        for c, url in zip(batch.column("__chunk").to_pylist(), batch.column("__url").to_pylist(), strict=True):
+            if c != chunk or len(held) > HELD:
+                if held:
+                    yield send()
+                chunk, held = c, set()
+            if url:
+                held.update(windows(url))
+    if held:
+        yield send()
 
 
-def train(decided: DataFrame) -> dict[int, Model]:
-    """Models of the accepted (1) and rejected (0) rows (accepted int, url string); collects counts of fixed number."""
-    counts = decided.mapInArrow(_count, "accepted int, context int, gram int, n long").groupBy("accepted", "context", "gram").agg(F.sum("n").alias("n"))
-    counts = cut(counts, "counts")
-    models = {0: Model(), 1: Model()}
-    for r in counts.groupBy("accepted", "gram").agg(F.sum("n").alias("n")).collect():
-        models[r.accepted].gram[r.gram] = r.n
-    for r in counts.groupBy("accepted", "context").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
-        models[r.accepted].context[r.context], models[r.accepted].kinds[r.context] = r.n, r.k
-    return models
-
-
-def _score(models):
-    def run(batches):
-        memo: dict[tuple, float] = {}
-        for batch in batches:
-            out = []
-            for url in batch.column("__url").to_pylist():
-                slots, total = grams(url) if url else [], 0.0
-                steps = range(0, len(slots), ORDER + 1)
-                for i in steps:
-                    key = tuple(slots[i : i + ORDER + 1])
-                    d = memo.get(key)
-                    if d is None:
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        d = memo[key] = math.log(models.value[1].probability(key) / models.value[0].probability(key))
-                    total += d
-                out.append(total / max(1, len(steps)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
-
-    return run
-
-
-def score(rows: DataFrame, models: dict[int, Model]) -> DataFrame:
+def _score(rows: pa.Table, ratio: pa.Table) -> pa.Table:
+    d = dict(zip(ratio.column("window").to_pylist(), ratio.column("d").to_pylist(), strict=True))
+    out = []
+    for url in rows.column("__url").to_pylist():
+        w = windows(url) if url else []
+        out.append(math.fsum(d[x] for x in w) / max(1, len(w)))
+    return rows.drop_columns(["__chunk"]).append_column("score", pa.array(out, pa.float64()))
+
+
+def score(rows: DataFrame, models: DataFrame) -> DataFrame:
     """`rows` (with a string column __url) and score, the log-likelihood difference for each character."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+    chunks = cut(rows.withColumn("__chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK)), "urls")
+    wanted = cut(chunks.select("__chunk", "__url").mapInArrow(_wanted, "__chunk long, window binary").distinct(), "windows")
+    found = wanted.join(ratios(wanted.select("window").distinct(), models), "window").select("__chunk", "window", "d")
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", score double"
-    return rows.mapInArrow(_score(shared), schema)
+    return chunks.groupBy("__chunk").cogroup(found.groupBy("__chunk")).applyInArrow(_score, schema)
 
 
 def calibrate(scored: DataFrame) -> float:
