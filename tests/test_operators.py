@@ -234,3 +234,14 @@ def test_substitution_product_takes_every_operand_and_value(spark):
     want = Counter((e, ", ".join(v)) for e, by in ops.items() for v in itertools.product(*(by[p] for p in sorted(by))))
     assert max(p for by in ops.values() for p in by) > 3 and len(ops) > 500
     assert rows(QUERIES["substitution_product"](spark, sf)) == want
+
+
+def test_products_have_no_limit(spark):
+    """47^3 = 103,823 combinations, more than the 100,000 that became ALL."""
+    ops = spark.range(3 * 47).selectExpr("1L AS expr", "CAST(id % 3 AS int) AS pos", "concat('v', id div 3) AS value")
+    got = joins.substitution_product(ops)
+    assert (got.count(), got.distinct().count(), got.where("text = 'ALL'").count()) == (47**3, 47**3, 0)
+    leaves = spark.range(3 * 47).selectExpr("concat('s', id) AS node", "concat('s', id) AS pattern", "true AS allowed")
+    tops = spark.createDataFrame([("o", "f({0}, {1}, {2})", True)], "node string, pattern string, allowed boolean")
+    defs = spark.range(3 * 47).selectExpr("'o' AS use", "CAST(id % 3 AS int) AS operand", "concat('s', id) AS def")
+    assert mining.resolve(leaves.union(tops), defs).where("node = 'o'").select(F.size("values")).first()[0] == 47**3
