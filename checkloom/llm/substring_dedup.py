@@ -7,10 +7,11 @@ they lie in two super-k-mers of one bucket. Steps:
 1. once/twice Bloom filters over the minimisers of all super-k-mers: one seen once holds no repeated window;
 2. the others travel, packed as one string of words, to their minimiser's bucket. Equal strings are first merged
    (with partial aggregation), so that copies of a document count but do not pile up;
-3. a bucket sorts its windows, spelled out, and marks those that occur twice or more. A minimiser with many different
-   strings is dealt over several buckets by a hash of the window; each counts its own windows only, so the counts stay
-   exact whatever the share of one passage;
-4. documents meet the positions of their repeated windows, and lose the words these cover.
+3. a bucket sorts its windows, spelled out, and marks those that occur twice or more. The strings of a minimiser that has
+   many different ones are dealt over several tasks, each string to one, and their windows are counted by 128-bit digest
+   with partial sums: no task holds more than BUCKET_STRINGS strings, whatever the share of one minimiser or passage;
+4. documents meet the positions of their repeated windows, and lose the words these cover. The positions are a table of
+   their own: Catalyst broadcasts it if it is small, else texts shuffle once.
 
 Cases: null or empty texts, and texts under 35 words, have no window and keep all words (the kept text of null is
 empty); a row is a document, so repeated rows (with one doc_id or none) repeat each other's windows and get equal
@@ -30,23 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checkloom.llm import seen_filter
-from checkloom.llm.common import cut, input_bytes
+from checkloom.llm.common import cut, meet
 from checkloom.llm.textkit import Words, groups, mix
 
 WINDOW = 35
 M = 8
-#: A minimiser with more different strings than this is dealt over several buckets.
+#: A minimiser with more different strings than this is dealt over several tasks.
 BUCKET_STRINGS = 2000
 _INDEX_BITS = np.uint64(32)
 
 #: A map task sends a string again only after so many others.
 SENT_MEMO = 400_000
-#: Hot minimisers up to this number (12 bytes each) are broadcast, more are joined.
-HOT_BROADCAST = 100_000
-
 PIECE = "doc_id long, text_hash long, minimiser long, pid long, start int"
 STRING = "minimiser long, pid long, packed binary"
-MARKED = "minimiser long, pid long, repeats array<int>"
+MARKED = "minimiser long, pid long, repeats array<int>, windows binary, n long"
 
 
 def super_kmers(words: Words, window: int = WINDOW, m: int = M) -> tuple[np.ndarray, ...]:
@@ -78,45 +76,55 @@ def super_kmers(words: Words, window: int = WINDOW, m: int = M) -> tuple[np.ndar
     return grams[at[starts]], owner[starts], starts, count
 
 
-def _minimisers(window, m):
-    def run(batches):
-        for batch in batches:
-            for _, texts in groups(batch):
-                yield from seen_filter.packed_batches(seen_filter.pack(mix(super_kmers(Words(texts), window, m)[0])))
+def _group_hashes(window, m):
+    def run(batch):
+        for _, texts in groups(batch):
+            yield mix(super_kmers(Words(texts), window, m)[0])
 
     return run
 
 
-def _suspects(twice, window, m, batch):
+def _document_hashes(window, m):
+    def run(batch):
+        for part, texts in groups(batch):
+            mini, owner, _, _ = super_kmers(Words(texts), window, m)
+            edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+            for i, (d, h) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), strict=True)):
+                yield d, h, mix(mini[edges[i] : edges[i + 1]])
+
+    return run
+
+
+def _suspects(mask, window, m, batch):
     """For each group of texts: the rows, its words, and minimiser, document, first word, string and its hash of each
     super-k-mer that may hold a repeat."""
     for part, texts in groups(batch):
         w = Words(texts)
         mini, owner, starts, count = super_kmers(w, window, m)
-        hit = np.flatnonzero(twice.value.has(mix(mini)))
+        hit = np.flatnonzero(mask(mix(mini), owner, part.column("seen").to_pylist()))
         if len(hit):
             packed = [b" ".join(w.data[w.starts[s] : w.ends[s + c + window - 2]].split()) for s, c in zip(starts[hit].tolist(), count[hit].tolist(), strict=True)]
             pid = np.fromiter(map(xxhash.xxh3_64_intdigest, packed), np.uint64, len(packed)).view(np.int64)
             yield part, w, mini[hit].view(np.int64), owner[hit], starts[hit], packed, pid
 
 
-def _pieces(twice, window, m):
+def _pieces(mask, window, m):
     """Where each suspect super-k-mer starts; (minimiser, pid) stand for its string."""
     def run(batches):
         for batch in batches:
-            for part, w, mini, owner, starts, _, pid in _suspects(twice, window, m, batch):
+            for part, w, mini, owner, starts, _, pid in _suspects(mask, window, m, batch):
                 own = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(own), part.column("text_hash").take(own), pa.array(mini), pa.array(pid), pa.array((starts - w.bounds[owner]).astype(np.int32))], ["doc_id", "text_hash", "minimiser", "pid", "start"])
 
     return run
 
 
-def _strings(twice, window, m):
+def _strings(mask, window, m):
     """The strings themselves, each once for a task."""
     def run(batches):
         sent: set[int] = set()
         for batch in batches:
-            for _, _, mini, _, _, packed, pid in _suspects(twice, window, m, batch):
+            for _, _, mini, _, _, packed, pid in _suspects(mask, window, m, batch):
                 if len(sent) > SENT_MEMO:
                     sent.clear()
                 new = []
@@ -135,15 +143,13 @@ def _windows(packed: bytes, window: int) -> list[bytes]:
 
 
 def _count(window):
-    def repeats(rows, salts):
-        """rows: (pid, packed, occurrences) of one bucket. Windows are sorted; equal neighbours are repeats."""
-        salt, of = salts
-        spelled = []
-        for k, (_, packed, n) in enumerate(rows):
-            for i, w in enumerate(_windows(packed, window)):
-                if of == 1 or xxhash.xxh3_64_intdigest(w) % of == salt:
-                    spelled.append((w, n, k, i))
-        spelled.sort()
+    def repeats(key, rows):
+        """rows: (pid, packed, occurrences) of one bucket. Windows are sorted; equal neighbours are repeats. A bucket that
+        holds a part of a minimiser's strings returns their windows' digests instead."""
+        mini, dealt = key
+        if dealt:
+            return [(mini, pid, None, b"".join(map(xxhash.xxh3_128_digest, _windows(packed, window))), n) for pid, packed, n in rows]
+        spelled = sorted((w, n, k, i) for k, (_, packed, n) in enumerate(rows) for i, w in enumerate(_windows(packed, window)))
         marked: dict[int, list[int]] = {}
         a = 0
         while a < len(spelled):
@@ -154,53 +160,72 @@ def _count(window):
                 for _, _, k, i in spelled[a:b]:
                     marked.setdefault(k, []).append(i)
             a = b
-        return [(rows[k][0], sorted(v)) for k, v in marked.items()]
+        return [(mini, rows[k][0], sorted(v), None, None) for k, v in marked.items()]
 
     def run(batches):
-        """Rows come sorted by bucket and string, so that one bucket at a time is held, each string once."""
-        held, key, salts, out = [], None, None, []
+        """Rows come sorted by bucket and string, so that one bucket at a time is held, each string once; of a dealt
+        minimiser one string at a time."""
+        held, key, out = [], None, []
         for batch in batches:
-            for mini, salt, of, pid, packed, n in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "salt", "salts", "pid", "packed", "n")), strict=True):
-                if (mini, salt) != key:
-                    out += [(key[0], *r) for r in repeats(held, salts)] if held else []
-                    held, key, salts = [], (mini, salt), (salt, of)
-                if held and held[-1][0] == pid:
+            for mini, dealt, pid, packed, n in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "dealt", "pid", "packed", "n")), strict=True):
+                new = not held or held[-1][0] != pid
+                if (mini, dealt) != key or (dealt and new):
+                    out += repeats(key, held) if held else []
+                    held, key, new = [], (mini, dealt), True
+                if new:
+                    held.append([pid, packed, n])
+                else:
                     held[-1][1] = held[-1][1] or packed
                     held[-1][2] += n
-                else:
-                    held.append([pid, packed, n])
             if out:
                 yield _marked(out)
                 out = []
-        if held and (out := [(key[0], *r) for r in repeats(held, salts)]):
+        if held and (out := repeats(key, held)):
             yield _marked(out)
 
     return run
 
 
 def _marked(rows):
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["minimiser", "pid", "repeats"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64()), strict=True)], ["minimiser", "pid", "repeats", "windows", "n"])
+
+
+def _each_window(batches):
+    for batch in batches:
+        for mini, pid, windows, n in zip(*(batch.column(c).to_pylist() for c in ("minimiser", "pid", "windows", "n")), strict=True):
+            k = len(windows) // 16
+            yield pa.RecordBatch.from_arrays([pa.array([windows[16 * i : 16 * i + 16] for i in range(k)], pa.binary()), pa.array([mini] * k, pa.int64()), pa.array([pid] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64())], ["digest", "minimiser", "pid", "i", "n"])
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW, m: int = M, bucket_strings: int = BUCKET_STRINGS) -> DataFrame:
+def _dealt_repeats(marked: DataFrame) -> DataFrame:
+    """minimiser, pid, repeats of the strings that came as digests of their windows."""
+    each = marked.where("windows is not null").select("minimiser", "pid", "windows", "n").mapInArrow(_each_window, "digest binary, minimiser long, pid long, i int, n long")
+    twice = cut(each.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"), "twice")
+    return each.join(twice, "digest", "left_semi").groupBy("minimiser", "pid").agg(F.sort_array(F.collect_list("i")).alias("repeats"))
+
+
+def repeated_starts(docs: DataFrame, window: int = WINDOW, m: int = M, bucket_strings: int = BUCKET_STRINGS, broadcast_bits: int | None = None) -> DataFrame:
     """doc_id, text_hash, starts: the first words (from 0) of the repeated windows, one row per document that has any."""
     ids = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    packed = docs.select("text").mapInArrow(_minimisers(window, m), seen_filter.PACKED)
-    twice = seen_filter.repeated(packed, seen_filter.bits_for(input_bytes(docs), 0.4))
-    pieces = cut(ids.mapInArrow(_pieces(twice, window, m), PIECE), "pieces")
+    seen = seen_filter.repeated(docs, _group_hashes(window, m), _document_hashes(window, m), broadcast_bits)
+    known = seen.join(ids)
+    pieces = cut(known.mapInArrow(_pieces(seen.test(), window, m), PIECE), "pieces")
     counts = pieces.groupBy("minimiser", "pid").agg(F.count("*").alias("n"))
-    hot = cut(counts.groupBy("minimiser").agg(F.count("*").alias("k")).where(F.col("k") > bucket_strings).select("minimiser", F.ceil(F.col("k") / bucket_strings).cast("int").alias("of")), "hot")
-    hot = F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot
-    strings = ids.mapInArrow(_strings(twice, window, m), STRING).select("minimiser", "pid", "packed", F.lit(0).cast("long").alias("n"))
+    many = cut(counts.groupBy("minimiser").agg(F.count("*").alias("k")).where(F.col("k") > bucket_strings).select("minimiser", F.ceil(F.col("k") / bucket_strings).cast("int").alias("of")), "many")
+    strings = known.mapInArrow(_strings(seen.test(), window, m), STRING).select("minimiser", "pid", "packed", F.lit(0).cast("long").alias("n"))
     rows = strings.union(counts.select("minimiser", "pid", F.lit(None).cast("binary").alias("packed"), "n"))
-    rows = rows.join(hot, "minimiser", "left").withColumn("salts", F.coalesce("of", F.lit(1)))
-    dealt = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    rows = rows.join(many, "minimiser", "left")
+    dealt = F.coalesce(1 + F.pmod(F.xxhash64("pid"), F.col("of")), F.lit(0)).cast("int")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = dealt.select("minimiser", "salt", "salts", "pid", "packed", "n").repartition(n, "minimiser", "salt").sortWithinPartitions("minimiser", "salt", "pid")
-    marked = buckets.mapInArrow(_count(window), MARKED)
-    found = pieces.join(marked, ["minimiser", "pid"])
+    buckets = rows.select("minimiser", dealt.alias("dealt"), "pid", "packed", "n").repartition(n, "minimiser", "dealt").sortWithinPartitions("minimiser", "dealt", "pid")
+    marked = cut(buckets.mapInArrow(_count(window), MARKED), "marked")
+    whole = marked.where("windows is null").select("minimiser", "pid", "repeats")
+    if not many.isEmpty():
+        whole = whole.union(cut(_dealt_repeats(marked), "dealt"))
+    found = pieces.join(whole, ["minimiser", "pid"])
     starts = F.transform("repeats", lambda x: x + F.col("start"))
-    return found.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(starts))).alias("starts"))
+    # a set: rows of one doc_id and text have the same starts, however many they are
+    return found.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set(starts))).alias("starts"))
 
 
 def _kept_words(text: bytes, starts: list[int] | None, window: int) -> tuple[int, list[bytes]]:
@@ -232,23 +257,16 @@ def _apply(window):
     return run
 
 
-def _with_starts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    d = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("starts").alias("__starts"))
-    return docs.join(d, docs["doc_id"].eqNullSafe(d["__d"]) & (F.xxhash64(docs["text"]) == d["__h"]), "left").drop("__d", "__h")
-
-
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row per row of `docs`."""
-    x = _with_starts(docs.select("doc_id", "text"), repeated_starts(docs, window)).withColumnRenamed("__starts", "starts")
+    x = meet(docs.select("doc_id", "text"), cut(repeated_starts(docs, window), "starts"), "starts", "starts").select("row.doc_id", "text", "starts")
     return x.mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").drop("kept_text")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` with the repeated words taken out of `text` (single spaces then join the others; other texts stay as they
     are); n_chars, if present, follows the new text."""
-    x = _with_starts(docs, repeated_starts(docs, window))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    x = x.select(whole.alias("row"), "text", F.col("__starts").alias("starts"))
+    x = meet(docs, cut(repeated_starts(docs, window), "starts"), "starts", "starts")
     schema = x.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
     y = x.mapInArrow(_apply(window), schema)
     new = {"text": F.col("kept_text")}

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checkloom.llm import bpe_codec, embedding_dedup, html_extract, line_dedup, ngram_join, packing, quality_rules, queries, seen_filter, substring_dedup, tokens, toxicity, url_filter
-from checkloom.llm.common import components
+from checkloom.llm.common import components, meet
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sig long, class string, text_hash long, id long, q string, lines string, starts string, `__gone` int, row string, `a.b` int"
@@ -57,16 +57,51 @@ def reference_words(t):
 
 
 def test_twice_filter_never_misses():
+    """Also when a shard gets many times what its first layer is made for; false positives stay few."""
     rng = np.random.default_rng(1)
-    once, twice = rng.integers(0, 2**63, 2000, np.uint64), rng.integers(0, 2**63, 500, np.uint64)
+    once, twice, group = (rng.integers(0, 2**63, n, np.uint64) * np.uint64(2) for n in (40_000, 5000, 300))
     shards = {}
-    for s, b in seen_filter.pack(np.concatenate([once, twice, twice])):
-        shards.setdefault(s, seen_filter.Shard(1 << 12)).add(np.frombuffer(b, np.uint32))
-    t = seen_filter.Twice(1 << 12)
-    for s, shard in shards.items():
-        t.put(s, np.packbits(shard.twice, bitorder="little").tobytes())
-    assert t.has(twice).all()
-    assert t.has(once).mean() < 0.1
+    for part in (np.concatenate([once[:20_000], twice, group, group]), once[20_000:], np.concatenate([twice[::-1], twice])):
+        for b in seen_filter.packed(part, 8):
+            for s, h, g in zip(*(b.column(c).to_pylist() for c in ("shard", "hashes", "again")), strict=True):
+                h = np.frombuffer(h, np.uint64)
+                again = np.unpackbits(np.frombuffer(g, np.uint8), count=len(h), bitorder="little").astype(bool)
+                shards.setdefault(s, seen_filter.Shard(layer=64)).add(h, again)
+    found = {x for shard in shards.values() for x in shard.repeated().tolist()}
+    assert set(twice.tolist()) | set(group.tolist()) <= found
+    assert len(found & set(once.tolist())) < 0.15 * len(once)
+    bloom = seen_filter.Bloom(len(found), 8)
+    for s, own in seen_filter.split(np.array(sorted(found), np.uint64), 8):
+        bits = np.zeros(bloom.segment, bool)
+        for p in seen_filter.places(np.array(sorted(found), np.uint64)[own], bloom.segment):
+            bits[p] = True
+        bloom.put(s, np.packbits(bits, bitorder="little").tobytes())
+    assert bloom.has(twice).all()
+    assert bloom.has(rng.integers(0, 2**63, 10_000, np.uint64) * np.uint64(2) + np.uint64(1)).mean() < 0.1
+
+
+@pytest.mark.parametrize("bits", [0, None])
+def test_filter_by_shuffle_and_by_broadcast(spark, docs, bits):
+    """Past the bound of the broadcast the hashes meet the table shard by shard: same results."""
+    rows = edge_rows()
+    same(line_dedup.digest(docs, broadcast_bits=bits).collect(), brute_lines(rows))
+    starts = {(r.doc_id, r.text_hash): tuple(sorted(r.starts)) for r in substring_dedup.repeated_starts(docs, broadcast_bits=bits).collect()}
+    assert starts == {(r.doc_id, r.text_hash): tuple(sorted(r.starts)) for r in substring_dedup.repeated_starts(docs).collect()}
+    near = near_rows()
+    same(ngram_join.similar(frame(spark, near), broadcast_bits=bits).collect(), ngram_join.brute_force(near))
+
+
+def test_clashing_columns_and_repeated_rows(spark, docs):
+    names = ["__d", "__h", "__starts", "__gone", "__lines", "d", "h", "fd", "fh", "gone", "row", "starts", "kept_text", "n_words", "n_removed", "n_lines", "n_dropped", "k", "o", "t", "comp", "name", "id", "seen", "text_hash", "class"]
+    x = docs.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for f in (line_dedup.drop_lines, substring_dedup.remove_repeats, ngram_join.keep_representatives, quality_rules.keep_good):
+        out = f(x)
+        assert out.columns == x.columns
+        assert out.select(*names).distinct().collect() == [tuple(range(len(names)))]
+    many = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same line\n" + "word " * 40).alias("text"))
+    assert line_dedup.digest(many).select("n_dropped").distinct().collect() == [(2,)]
+    assert substring_dedup.digest(many).select("n_removed").distinct().collect() == [(42,)]
+    assert ngram_join.keep_representatives(many).count() == 1
 
 
 def test_components(spark):
@@ -112,7 +147,10 @@ def test_quality_rules(spark, docs, none):
     assert kept.columns == docs.columns
     same(kept.select("doc_id", "text").collect(), [(i, t) for i, t in edge_rows() if brute_quality(t)[-1]])
     assert quality_rules.judge(none).count() == 0
-    assert "Python" not in quality_rules.judge(docs)._jdf.queryExecution().executedPlan().toString()
+    for df in (quality_rules.judge(docs), kept):
+        plan = df._jdf.queryExecution()
+        assert "Python" not in plan.executedPlan().toString()
+        assert plan.optimizedPlan().toString().count("split(") == 2  # words and lines, each once
 
 
 # --- 9 line dedup ----------------------------------------------------------------------------------------------------
@@ -143,7 +181,7 @@ def test_line_dedup(spark, docs, none):
 def test_substring_dedup(spark, docs, none, bucket, monkeypatch):
     rows = edge_rows()
     found = substring_dedup.repeated_starts(docs, bucket_strings=bucket)
-    marked = substring_dedup._with_starts(docs.select("doc_id", "text"), found).withColumnRenamed("__starts", "starts")
+    marked = meet(docs.select("doc_id", "text"), found, "starts", "starts").select("row.doc_id", "text", "starts")
     got = marked.mapInArrow(substring_dedup._apply(35), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").drop("kept_text")
     want = [(i, *x) for (i, _), x in zip(rows, substring_dedup.brute_force([t for _, t in rows]), strict=True)]
     same(got.collect(), want)
