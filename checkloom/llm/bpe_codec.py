@@ -1,9 +1,9 @@
-"""BPE encoding and decoding of whole texts (see tokens.py for the method).
+"""BPE encoding and decoding of whole texts by tree concatenation (see tokens.py for the method).
 
 Cases: null and empty texts have no ids and decode to the empty string; special tokens spelled in a text are their
-ids, as in the library; very long texts are handled piece by piece, very long pieces by tree concatenation; every row
-is handled alone, so ties and repeats need no care; an empty table gives an empty result; `encode` keeps extra columns
-and needs only that they aren't named like its own results.
+ids, as in the library, also across a cut; very long texts and very long runs without white space are trees like others;
+every row is handled alone, so ties and repeats need no care; an empty table gives an empty result; `encode` keeps extra
+columns of any name, but those named ids or decoded, which its results replace.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checkloom.llm.textkit import groups
 from checkloom.llm.tokens import codec, decode_names, tokenizer_json
@@ -25,8 +27,8 @@ def _digest(source):
         for batch in batches:
             for part, texts in groups(batch):
                 n, ids, text = [], [], []
-                for e in bpe.entries(texts, make):
-                    e = [x for x in e if x[0]]
+                for t in texts:
+                    e = [x for x in bpe.tree(t, make) if x[0]]
                     n.append(sum(x[0] for x in e))
                     ids.append(hashlib.sha256(b" ".join([x[1] for x in e])).hexdigest())
                     text.append(hashlib.sha256(b" ".join([x[2] for x in e])).hexdigest())
@@ -40,7 +42,7 @@ def _both(source):
         bpe = codec(source.value, "both")
         for batch in batches:
             for part, texts in groups(batch):
-                ids = [[i for x in e for i in x] for e in bpe.entries(texts, tuple)]
+                ids = [[i for x in bpe.tree(t, tuple) for i in x] for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([np.asarray(x, np.int32) for x in ids], pa.list_(pa.int32())), pa.array([decode_names(bpe, x) for x in ids])], [*part.schema.names, "ids", "decoded"])
 
     return run
@@ -49,13 +51,9 @@ def _both(source):
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """`docs` with ids array<int> and decoded string."""
     source = docs.sparkSession.sparkContext.broadcast(tokenizer_json(path))
-    return docs.mapInArrow(_both(source), _wider(docs))
-
-
-def _wider(docs: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    y = x.mapInArrow(_both(source), T.StructType([*x.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    return y.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("ids", "decoded")], "ids", "decoded")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

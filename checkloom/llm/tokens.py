@@ -1,8 +1,11 @@
-"""BPE encoding and decoding with a tokenizer file, exact to the tokenizers library, word by word.
-
-The pre-tokenizer drops white space and no token spans it, so a text's ids are those of its white-space separated
-pieces; equal pieces are encoded once (a bounded memo). A piece without white space that is longer than LONG
-characters, which the library would merge as one, is encoded by tree concatenation (`tree_encode`).
+"""BPE encoding and decoding with a tokenizer file, exact to the tokenizers library, by tree concatenation.
+
+A text is halved until its parts have LEAF bytes at most, whatever stands at the cuts; the leaves are encoded on their
+own, and joined two by two up the tree. A join looks at a window around the cut that grows until both sides agree: until
+it ends at white space on either side, which no token spans, so that what lies beyond is the same in the part and in the
+whole. The window's middle is encoded anew, the rest of both parts stays. Runs between white space are encoded once
+(a bounded memo). A run of over LONG characters, which the library would merge as one word, is halved as well: its leaves
+are encoded in parallel, and its windows are of tokens and grow until the encodings of both sides agree (`tree_encode`).
 """
 
 from __future__ import annotations
@@ -16,9 +19,13 @@ from pathlib import Path
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-MEMO = 500_000
-LONG = 2_000
-LEAF = 500
+MEMO = 150_000
+#: Bytes of a leaf of the tree over a text, and characters of a leaf, and of the longest run that is none, of the tree over a run.
+LEAF = 512
+LONG = 512
+#: Bytes on each side of a cut in the first window.
+REACH = 16
+_WHITE = b" \t\n\x0b\x0c\r"
 #: Pieces that need no normaliser but lower case: printable ASCII and the letters of Latin-1, which are all composed.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: The pre-tokenizer's pattern on such pieces in lower case.
@@ -133,19 +140,69 @@ class WordBpe:
             ids += own
         return ids
 
+    def entry(self, piece: bytes, make):
+        """make(ids) of a UTF-8 piece without ASCII white space, memoised."""
+        found = self.memo.get(piece)
+        if found is None:
+            text = piece.decode()
+            plain = self.can_skip and len(piece) <= LONG and "<|" not in text and PLAIN.fullmatch(text)
+            found = self.memo[piece] = make(self._plain(text) if plain else self.encode(text))
+        return found
+
+    def _room(self) -> None:
+        for held in (self.memo, self.words):
+            if len(held) > MEMO:
+                held.clear()
+
     def entries(self, texts: list[bytes], make) -> list[list]:
-        """make(ids) of every piece of each UTF-8 text between ASCII white space, memoised by piece."""
-        split = [t.split() for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        if len(self.words) > MEMO:
-            self.words.clear()
-        for p in {p for s in split for p in s}.difference(memo):
-            text = p.decode()
-            plain = self.can_skip and len(p) <= LONG and "<|" not in text and PLAIN.fullmatch(text)
-            memo[p] = make(self._plain(text) if plain else self.encode(text))
-        return [[memo[p] for p in s] for s in split]
+        """make(ids) of every piece of each UTF-8 text between ASCII white space."""
+        self._room()
+        entry = self.entry
+        return [[entry(p, make) for p in t.split()] for t in texts]
+
+    def tree(self, text: bytes, make) -> list:
+        """The same of one text, by tree concatenation."""
+        self._room()
+        edges = cuts(text)
+        parts = []
+        for a, b in zip(edges, edges[1:]):
+            own = text[a:b].split()
+            parts.append((a, b, own, [self.entry(p, make) for p in own]))
+        while len(parts) > 1:
+            parts = [self._concatenate(text, *parts[i : i + 2], make) for i in range(0, len(parts) - 1, 2)] + parts[len(parts) - len(parts) % 2 :]
+        return parts[0][3] if parts else []
+
+    def _concatenate(self, text: bytes, left: tuple, right: tuple, make) -> tuple:
+        begin, cut, pieces, made = left
+        _, end, after, made_after = right
+        if pieces and after and text[cut - 1] not in _WHITE and text[cut] not in _WHITE:
+            reach = REACH
+            while True:
+                a, b = max(begin, cut - reach), min(end, cut + reach)
+                before, behind = text[a:cut].split(), text[cut:b].split()
+                agree = (a == begin or len(before) > 1 or text[a] in _WHITE) and (b == end or len(behind) > 1 or text[b - 1] in _WHITE)
+                if agree:
+                    break
+                reach *= 2
+            middle = before[-1] + behind[0]
+            pieces[-1], made[-1] = middle, self.entry(middle, make)
+            after, made_after = after[1:], made_after[1:]
+        pieces += after
+        made += made_after
+        return begin, end, pieces, made
+
+
+def cuts(text: bytes) -> list[int]:
+    """Edges of the leaves: halves of halves of LEAF bytes at most; a character stays whole."""
+    n = 1 << max(0, -(-len(text) // LEAF) - 1).bit_length()
+    out = [0]
+    for i in range(1, n):
+        at = len(text) * i // n
+        while at < len(text) and text[at] & 0xC0 == 0x80:
+            at += 1
+        if at > out[-1]:
+            out.append(at)
+    return [*out, len(text)] if text else []
 
 
 def byte_letters(word: str) -> str:

@@ -344,12 +344,25 @@ def test_all_underfull_bins_go_up(spark, monkeypatch):
 
 
 def test_tree_concatenation_equals_library(monkeypatch):
-    for name, value in (("LONG", 40), ("LEAF", 7), ("MARGIN", 1)):
+    for name, value in (("LONG", 40), ("LEAF", 7), ("MARGIN", 1), ("REACH", 1)):
         monkeypatch.setattr(tokens, name, value)
     codec, tok, rng = tokens.WordBpe(tokens.tokenizer_json()), library(), random.Random(3)
     for _ in range(400):
         text = "".join(rng.choice(rng.choice(["abc", "etaoinshrdlu", "aé漢ß1!?", "'s't", "İΣ."])) for _ in range(rng.randint(30, 300))) + rng.choice(["", "<|endoftext|>", "<|startoftext|>abc"])
         assert [i for p in codec.entries([text.encode()], tuple)[0] for i in p] == tok.encode(text, add_special_tokens=False).ids
+        text = "".join(rng.choice([text[i : i + 9], " ", "\n", "\u00a0", "e\u0301", "<|endoftext|>", "it's", "  "]) for i in range(0, len(text), 9))
+        assert [i for p in codec.tree(text.encode(), tuple) for i in p] == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_tree_runs_on_real_texts(spark):
+    """Windows are encoded anew at cuts within words of real texts."""
+    codec, tok, joins = tokens.WordBpe(tokens.tokenizer_json()), library(), []
+    plain = codec._concatenate
+    codec._concatenate = lambda *a: joins.append(1) or plain(*a)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()
+    for r in rows:
+        assert [i for p in codec.tree((r.text or "").encode(), tuple) for i in p] == tok.encode(r.text or "", add_special_tokens=False).ids
+    assert len(joins) > 2 * len(rows)
 
 
 def test_codec(spark, docs, none):
@@ -360,7 +373,8 @@ def test_codec(spark, docs, none):
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     same(bpe_codec.digest(docs).collect(), want)
     assert bpe_codec.digest(none).count() == 0
-    full = bpe_codec.encode(docs.drop("id", "a.b"))
+    full = bpe_codec.encode(docs.withColumn("decoded", F.lit(1)))
+    assert full.columns == [*docs.columns, "ids", "decoded"]
     assert all(r.ids == tok.encode(r.text or "", add_special_tokens=False).ids for r in full.collect())
 
 
