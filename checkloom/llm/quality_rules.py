@@ -78,54 +78,60 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).when(once(words), F.lit(0).cast("long")).otherwise(exact(words))
 
 
-def measures(docs: DataFrame, name: str = "q") -> DataFrame:
-    """`docs` with one struct column `name` of all measures."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _parts(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t-\r]"))
-    base = docs.withColumn(name, F.struct(words_of(text).alias("w"), lines.alias("l")))
-    w, l = F.col(f"{name}.w"), F.col(f"{name}.l")
+    return F.struct(text.alias("t"), words_of(text).alias("w"), lines.alias("l"))
+
+
+def _measured(parts: Column) -> Column:
+    text, w, lines = parts["t"], parts["w"], parts["l"]
     chars = F.length(F.regexp_replace(text, SPACES, "")).cast("long")
     n = F.size(w).cast("long")
     symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long")
     bars = F.length(F.regexp_replace(text, r"[^|]+", "")).cast("long")
-    dup = (F.size(l) - F.size(F.array_distinct(l))).cast("long")
+    dup = (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
     stop = F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return base.withColumn(name, F.struct(
+    return F.struct(
         n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), dup.alias("n_dup_lines"),
         _repeat_words(w).alias("n_repeat_words"), ratio(chars, n).alias("mean_word_chars"),
-        ratio(symbols, chars).alias("symbol_ratio"), ratio(dup, F.size(l)).alias("dup_line_ratio"),
+        ratio(symbols, chars).alias("symbol_ratio"), ratio(dup, F.size(lines)).alias("dup_line_ratio"),
         ratio(stop, n).alias("stop_ratio"), ratio(bars, n).alias("bar_ratio"),
-    ))
+    )
 
 
-def base_failed(q: str = "q") -> Column:
-    return (F.col(f"{q}.n_words") < 20) | (100 * F.col(f"{q}.n_repeat_words") > 30 * F.col(f"{q}.n_words"))
+def base_failed(q: Column) -> Column:
+    return (q["n_words"] < 20) | (100 * q["n_repeat_words"] > 30 * q["n_words"])
 
 
-def passes(rules=RULES, q: str = "q") -> Column:
+def passes(q: Column, rules=RULES) -> Column:
     """The threshold table as one boolean expression over the measures."""
     out = F.lit(True)
     for r in rules:
-        m, bad = F.col(f"{q}.{r.measure}"), F.lit(False)
+        m, bad = q[r.measure], F.lit(False)
         if r.low is not None:
             bad = bad | (m < r.low)
         if r.high is not None:
             bad = bad | (m > r.high)
-        out = out & ~((F.col(f"{q}.n_words") >= r.from_words) & bad)
+        out = out & ~((q["n_words"] >= r.from_words) & bad)
     return out
 
 
+def verdict(text: Column, body) -> Column:
+    """body(measures of `text`), in one expression that computes words, lines and measures once, wherever it stands."""
+    return let(let(_parts(F.coalesce(text, F.lit(""))), _measured), body)
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, the five base counts, base_failed, kept (base rule and threshold table), one row per input row."""
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    q = measures(docs.select("doc_id", "text"))
-    return q.select("doc_id", *[F.col(f"q.{c}").alias(c) for c in counts], base_failed().alias("base_failed"), (~base_failed() & passes(rules)).alias("kept"))
+    row = lambda q: F.struct(*[q[c].alias(c) for c in COUNTS], base_failed(q).alias("base_failed"), (~base_failed(q) & passes(q, rules)).alias("kept"))
+    q = docs.select("doc_id", verdict(F.col("text"), row).alias("q"))
+    return q.select("doc_id", *[F.col(f"q.{c}").alias(c) for c in (*COUNTS, "base_failed", "kept")])
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of `docs` that pass, with their columns as they were."""
-    name = "q"
-    while name in docs.columns:
-        name += "_"
-    return measures(docs, name).where(~base_failed(name) & passes(rules, name)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(verdict(F.col("text"), lambda q: ~base_failed(q) & passes(q, rules)))
