@@ -1,18 +1,22 @@
 """HTML extraction: flat text blocks with word count and link density of their neighbours, classified by a decision tree.
 
-A page is cut at block tags into blocks; scripts, styles, comments, forms' controls and markup are no text. A block's
-features are its words and link density, those of the block before and after, and where it stands (in an article, in a
-navigating or supporting element, in a heading, under a class or id that names such a part). A small CART tree, trained
-on the labelled blocks of EXAMPLES when the module is first used, tells main text from the rest.
-
-Cases: null or empty html gives an empty text; unclosed and stray tags never lose text; character references are
-decoded, white space in a block is one space; very long pages are read in one pass; every row is handled alone, so
-repeated rows need no care; an empty table gives an empty result; other columns are ignored.
+A page is cut at block tags into blocks. A block's features are its words and link density, those of the two blocks
+before and after it and of the container it lies in, whether it ends as a sentence does, and where it stands (within an
+article, within elements that HTML names for supporting parts, as a heading or list item, under a class, id or role that
+names a part). A CART tree, trained on the labelled table that `labelled` makes from page plans, tells main text from the
+rest. In many plans only link density and neighbours tell the two apart: link lists without nav, comments between
+author and reply links, headings of link lists, pages of bare div elements.
+
+Cases: null or empty html gives an empty text; character references are decoded, white space in a block is one space;
+scripts and styles are no text, also without an end tag; other elements without an end tag, and stray end tags, lose no
+text; a tag that never ends is text; pages of any length are read in one linear pass, malformed ones too; every row is
+handled alone, so repeated rows need no care; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from functools import lru_cache
 
@@ -20,38 +24,124 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|title|button|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-# Elements of the HTML standard that begin a new block.
+# Elements of the HTML standard that begin a new block, and groups of them.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-SUPPORT_TAGS = frozenset("nav header footer aside form menu dialog".split())
+SUPPORT_TAGS = frozenset("nav footer aside form menu dialog head search".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CONTAINERS = frozenset("article aside body center details dialog div fieldset footer form header main menu nav search section td".split())
+#: No text of theirs is shown as text of the page; the first two swallow the rest of a page when they have no end tag.
+RAW = ("script", "style", "noscript", "template", "svg", "textarea", "select", "title", "button", "iframe", "object")
 # Words that name supporting parts in class, id and role attributes.
-PART = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|banner|promo|promotion|sponsor|sponsored|sidebar|menu|nav|navbar|navigation|breadcrumb|"
-    r"footer|header|masthead|cookie|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommended|"
-    r"comment|comments|disqus|reply|replies|respond|widget|pagination|pager|toolbar|complementary|contentinfo|search)s?(?:$|[\s_-])",
-    re.I,
+PARTS = frozenset(
+    "ad ads advert advertisement banner promo promotion sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies "
+    "consent notice alert popup modal newsletter subscribe signup login share social related recommended comment comments disqus reply replies respond widget "
+    "pagination pager toolbar complementary contentinfo".split()
 )
-ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NOT_A_PART = ("no", "has", "with", "without", "hide", "is")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+LINK_END = re.compile(r"</a[\s>]", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_ENDS = re.compile("[.!?…:;][\"'”’)»]*$")
+
+FEATURES = (
+    "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "words_two_before", "link_density_two_before",
+    "words_two_after", "link_density_two_after", "container_words", "container_link_density", "sentence", "article", "support", "part", "heading", "item",
+)
+NEIGHBOURS = tuple(i for i, f in enumerate(FEATURES) if f.endswith(("before", "after")))
+
+
+def pieces(page: str):
+    """(text, None, "", False) and ("", tag, attributes, closing) in page order, in one pass over the page."""
+    at, n = 0, len(page)
+    last = {c: page.rfind(c) for c in (">", '"', "'")}
+    close: dict[str, re.Pattern | None] = {}
+    quotes = True
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last[">"]:
+            break
+        if lt > at:
+            yield page[at:lt], None, "", False
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        closing = page.startswith("/", lt + 1)
+        name = NAME.match(page, lt + 1 + closing)
+        if not name:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/"):
+                at = page.find(">", lt) + 1
+            else:
+                yield "<", None, "", False
+                at = lt + 1
+            continue
+        # the end of the tag: the first > outside quotes; a quote without an end is a character like others
+        end = name.end()
+        while quotes:
+            m = QUOTE_OR_END.search(page, end)
+            if not m:
+                quotes = False
+            elif m.group() == ">":
+                end = m.start()
+                break
+            else:
+                end = page.find(m.group(), m.end()) + 1 if last[m.group()] > m.start() else m.end()
+        if not quotes:
+            end = page.find(">", name.end())
+        at = end + 1
+        tag = name.group().lower()
+        if tag in RAW and not closing:
+            if tag not in close:
+                close[tag] = re.compile(f"</{tag}[^>]*>", re.I)
+            m = close[tag].search(page, at) if close[tag] else None
+            if m:
+                at = m.end()
+            elif tag in RAW[:2]:
+                return
+            else:
+                close[tag] = None
+            continue
+        yield "", tag, page[name.end() : end], closing
+    if at < n:
+        yield page[at:], None, "", False
+
+
+def names_part(attributes: str) -> bool:
+    """Whether a class, id or role names a supporting part: one of PARTS as the word that a name begins or ends with."""
+    if HIDDEN.search(attributes):
+        return True
+    for m in ATTRIBUTE.finditer(attributes):
+        for token in next((g for g in m.groups()[1:] if g is not None), "").lower().split():
+            words = re.split("[-_]+", token)
+            if words[0] not in _NOT_A_PART and (words[0] in PARTS or words[-1] in PARTS):
+                return True
+    return False
+
+
+class _Open:
+    """An open element: what it says about the blocks within."""
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_main", "in_support", "in_heading", "in_list")
+    __slots__ = ("article", "container", "part", "support", "tag")
+
+    def __init__(self, tag, article, support, part, container):
+        self.tag, self.article, self.support, self.part, self.container = tag, article, support, part, container
 
 
 def blocks(page: str) -> list[tuple[str, tuple]]:
     """(text, features) of each block in page order."""
-    stack: list[tuple[str, int, int]] = []  # tag, in main, in support
-    found: list[tuple[str, int, int, int, int, int]] = []
+    top = _Open("", 0, 0, 0, 0)
+    stack, opened = [top], {}
+    found: list[tuple] = []
     text: list[str] = []
-    linked, in_link, heading, item = 0, 0, 0, 0
-    main = support = 0
-    at = 0
+    boxes = [[0, 0]]  # words and linked words of each container
+    linked = heading = item = 0
+    link_depth = -1  # the depth of the open link
+    has_article = False
+    ends_left = len(LINK_END.findall(page))  # a link without an end tag is none
 
     def flush():
         nonlocal linked
@@ -60,113 +150,167 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             s = " ".join((html.unescape(joined) if "&" in joined else joined).split())
             text.clear()
             if s:
-                n = s.count(" ") + 1
-                found.append((s, n, min(linked, n), main, support, heading, item))
+                n, own = s.count(" ") + 1, stack[-1]
+                hit = min(linked, n)
+                boxes[own.container][0] += n
+                boxes[own.container][1] += hit
+                found.append((s, n, hit / n, own, heading, item))
         linked = 0
 
-    def add(raw):
-        nonlocal linked
-        if raw:
+    def leave(k):
+        """Closes the elements from the k-th on."""
+        nonlocal link_depth
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+        if link_depth >= len(stack):
+            link_depth = -1
+
+    for raw, tag, attributes, closing in pieces(page):
+        if tag is None:
             text.append(raw)
-            if in_link:
+            if link_depth >= 0:
                 linked += len(raw.split())
-
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = m.group(3) or m.group(6)
-        if not name:
-            if m.group(1) and m.group(1).lower() == "title":
-                flush()
             continue
-        tag, closing = name.lower(), bool(m.group(2) or m.group(5))
         if tag == "a":
-            in_link = 0 if closing else 1
+            ends_left -= closing
+            link_depth = -1 if closing or ends_left <= 0 else len(stack) - 1
             continue
         if tag not in BLOCK_TAGS:
             if tag == "br":
                 text.append(" ")
-            elif not closing and tag == "section":
-                flush()
             continue
         flush()
-        heading = 0 if closing else int(tag in HEADINGS)
+        heading = int(tag in HEADINGS and not closing)
         if tag == "li":
-            item = 0 if closing else 1
-        if tag in VOID or tag in HEADINGS or tag in ("p", "li", "td", "th", "tr", "dt", "dd"):
-            attributes = m.group(4) or m.group(7) or ""
-            if not closing and attributes and not heading:
-                stack = [x for x in stack if x[0] != "p"] if tag == "p" else stack
-                if _names_part(attributes):
-                    stack.append((tag, main, support))
-                    support = 1
-                    continue
-            if (closing or tag == "p") and stack and stack[-1][0] == tag:
-                _, main, support = stack.pop()
+            item = int(not closing)
+        if tag in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    _, main, support = stack[i]
-                    del stack[i:]
-                    in_link = 0
-                    break
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                leave(k)
             continue
-        stack.append((tag, main, support))
-        attributes = m.group(4) or m.group(7) or ""
-        if tag in MAIN_TAGS and not (attributes and _names_part(attributes)):
-            main = 1
-        elif tag in SUPPORT_TAGS or (attributes and _names_part(attributes)):
+        if stack[-1].tag == "p" or (tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1].tag == tag):
+            leave(len(stack) - 1)
+        own = stack[-1]
+        article, support = own.article, own.support
+        part = own.part or int(bool(attributes) and tag not in ("html", "body") and names_part(attributes))
+        if tag in MAIN_TAGS:
+            has_article = True
+            article, support = 1, 0
+            part = int(bool(attributes) and names_part(attributes))
+        elif tag in SUPPORT_TAGS or (tag == "header" and not article):
             support = 1
-    add(page[at:])
+        container = own.container
+        if tag in CONTAINERS:
+            container = len(boxes)
+            boxes.append([0, 0])
+        stack.append(_Open(tag, article, support, part, container))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
+    none = ("", 0, 0.0)
     out = []
-    for k, (s, n, l, mn, sp, hd, it) in enumerate(found):
-        b = found[k - 1] if k else ("", 0, 0)
-        a = found[k + 1] if k + 1 < len(found) else ("", 0, 0)
-        out.append((s, (n, l / n, b[1], b[2] / max(1, b[1]), a[1], a[2] / max(1, a[1]), mn, sp, hd, it)))
+    for k, (s, n, density, own, hd, it) in enumerate(found):
+        near = [found[j] if 0 <= j < len(found) else none for j in (k - 1, k + 1, k - 2, k + 2)]
+        words, links = boxes[own.container]
+        place = own.article if has_article else -1
+        out.append((s, (n, density, *[x for b in near for x in b[1:3]], words - links, links / max(1, words), int(bool(_ENDS.search(s))), place, own.support, own.part, hd, it)))
     return out
 
 
-def _names_part(attributes: str) -> bool:
-    if HIDDEN.search(attributes):
-        return True
-    return any(PART.search(next(filter(None, m.groups()), "")) for m in ATTRIBUTE.finditer(attributes))
-
-
-def _say(n: int) -> str:
-    return " ".join(("some words of running text that a reader came for " * (n // 10 + 1)).split()[:n])
-
-
-def _page(*parts: str) -> str:
-    return "<html><head><title>t</title></head><body>" + "".join(parts) + "</body></html>"
-
-
-def _menu(n: int) -> str:
-    return "<ul>" + "".join(f"<li><a href='/{i}'>-part {i}</a></li>" for i in range(n)) + "</ul>"
-
-
-def examples() -> list[str]:
-    """The labelled table, as pages: the first character of a block tells main text (+) from the rest (-)."""
-    p = lambda n, mark="+": f"<p>{mark}{_say(n)}</p>"
-    pages = []
-    for n in (1, 3, 8, 20, 60, 200):
-        body = f"<h1>+{_say(6)}</h1>" + p(n) + p(2) + f"<h2>+{_say(3)}</h2>" + p(n * 2) + f"<ul><li>+{_say(n)}</li><li>+{_say(4)}</li></ul>" + f"<p>+see <a href='x'>{_say(2)}</a></p>"
-        foot = f"<footer><p>-{_say(9)}</p><p>-{_say(30)}</p></footer>"
-        pages += [
-            _page(f"<nav>{_menu(6)}</nav><div class='ad'>-{_say(n)}</div><article>{body}</article>", foot),
-            _page(f"<header><h1>-{_say(3)}</h1><p>-{_say(n)}</p></header><main>{body}<div class='comments'>{p(n, '-')}{p(40, '-')}</div></main><aside>{p(n, '-')}{_menu(3)}</aside>", foot),
-            _page(f"<div id='menu'>{_menu(5)}</div><article>{body}<aside>{p(25, '-')}</aside><form><p>-{_say(8)}</p></form></article><div class='cookie-notice'>-{_say(n)}</div>", foot),
-            _page(f"<div class='top'>{_menu(8)}</div><div id='content'><h1>+{_say(5)}</h1>{p(max(20, n))}{p(15)}{p(max(25, n))}<p>+{_say(12)} <a href='q'>{_say(2)}</a> {_say(10)}</p></div><div>{_menu(6)}</div><div>-{_say(5)}</div>", foot),
-            _page(f"<div>{_menu(4)}</div><div class='sidebar'>{p(n, '-')}</div><div>{p(max(30, n))}{p(max(22, n))}</div><section class='comments'>{p(n, '-')}{p(35, '-')}</section>", foot),
-        ]
-    return pages
+# --- the labelled table ------------------------------------------------------------------------------------------------
+
+
+class Plan:
+    """Makes one labelled page: the first character of a block tells main text (+) from the rest (-)."""
+
+    def __init__(self, rng: random.Random):
+        self.rng = rng
+
+    def say(self, n: int, mark: str, end: bool = True) -> str:
+        return mark + " ".join(["word"] * n) + (self.rng.choice([".", ".", "!", "?"]) if end else "")
+
+    def some(self) -> int:
+        return int(self.rng.choice([1, 2, 3, 5, 8, 14, 25, 45, 80, 160]) * self.rng.uniform(0.7, 1.6)) or 1
+
+    def tag(self, name: str, inner: str, kind: str = "") -> str:
+        return f"<{name}{f' class={chr(34)}{kind}{chr(34)}' if kind else ''}>{inner}</{name}>"
+
+    def link(self, n: int, mark: str = "") -> str:
+        return f"<a href='/{n}'>{self.say(n, mark, False)}</a>"
+
+    def menu(self, item: str = "li") -> str:
+        """Links: short ones for a menu, long ones for a list of headlines."""
+        most = self.rng.choice([1, 3, 9])
+        inner = "".join(self.tag(item, self.link(self.rng.randint(1, most), "-")) for _ in range(self.rng.randint(2, 9)))
+        return self.tag("ul", inner) if item == "li" else inner
+
+    def headed_links(self) -> str:
+        return self.tag(self.rng.choice(["h2", "h3", "p"]), self.say(self.rng.randint(1, 4), "-", False)) + self.menu(self.rng.choice(["li", "li", "p", "div"]))
+
+    def comments(self) -> str:
+        """Comments stand between the links of their authors and those for replies."""
+        out = "".join(self.tag("p", self.link(self.rng.randint(1, 2), "-")) + self.tag("p", self.say(self.some(), "-")) + self.tag("p", self.link(1, "-")) for _ in range(self.rng.randint(1, 5)))
+        return out
+
+    def named(self, inner: str) -> str:
+        return self.tag(self.rng.choice(["div", "section"]), inner, self.rng.choice(["ad", "comments", "cookie-notice", "site-footer", "sidebar", "social-share", "comment-list"]))
+
+    def plain(self, mark: str) -> str:
+        return "".join(self.tag("p", self.say(self.some(), mark)) for _ in range(self.rng.randint(1, 4)))
+
+    def body(self, ending: float) -> str:
+        """Main text: a heading, paragraphs of any length, headings, lists, a few links within sentences."""
+        r = self.rng
+        end = lambda: r.random() < ending
+        out = [self.tag("h1", self.say(r.randint(1, 12), "+", r.random() < 0.3))] if r.random() < 0.7 else []
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 13])):
+            kind = r.random()
+            if kind < 0.66:
+                out.append(self.tag("p", self.say(self.some(), "+", end())))
+            elif kind < 0.78:
+                n = self.some() + 4
+                out.append(self.tag("p", self.say(n, "+", False) + " " + self.link(r.randint(1, max(1, n // 4))) + " " + self.say(r.randint(1, n), "", end())))
+            elif kind < 0.88:
+                out.append(self.tag("h2", self.say(r.randint(1, 6), "+", False)) + self.tag("p", self.say(self.some(), "+", end())))
+            else:
+                out.append(self.tag("ul", "".join(self.tag("li", self.say(self.some(), "+", end())) for _ in range(r.randint(1, 4)))))
+        return "".join(out)
+
+    def page(self) -> str:
+        r = self.rng
+        top = r.choice([lambda: self.tag("nav", self.menu()), lambda: self.tag("div", self.menu()), lambda: self.tag("header", self.tag("h1", self.say(2, "-", False)) + self.menu()), lambda: self.tag("div", self.menu("span") and self.menu("div"))])()
+        foot = r.choice([lambda: self.tag("footer", self.say(self.some(), "-")), lambda: self.tag("div", self.menu()), lambda: self.named(self.plain("-")), lambda: self.tag("footer", self.menu() + self.plain("-"))])()
+        if r.random() < 0.6:
+            inner = self.body(r.choice([0.3, 0.95]))
+            extra = [self.tag("p", self.link(1, "-") + " " + self.link(1)), self.headed_links(), self.named(self.plain("-")), self.comments(), self.tag("aside", self.plain("-")), self.tag("form", self.plain("-")), self.tag("nav", self.menu()), self.tag("footer", self.plain("-"))]
+            after = r.sample(extra, r.choice([0, 0, 0, 1, 1, 2]))
+            main = self.tag(r.choice(["article", "article", "main"]), inner + "".join(after), r.choice(["", "", "post search-results"]))
+            around = [self.named(self.plain("-")), self.tag("div", self.say(self.some(), "-"), r.choice(["", "ad", "top"])), self.tag("aside", self.plain("-")), self.tag("div", self.comments())]
+            before, behind = r.sample(around, r.randint(0, 2)), r.sample(around, r.randint(0, 2))
+            return "<body>" + top + "".join(before) + main + "".join(behind) + foot
+        inner = self.body(0.95)
+        while inner.count(" ") < 40:
+            inner += self.tag("p", self.say(self.some() + 12, "+"))
+        extra = [self.tag("div", self.headed_links()), self.named(self.plain("-")), self.comments(), self.tag("aside", self.plain("-")), self.tag("form", self.plain("-")), self.tag("div", self.tag("p", self.say(r.randint(1, 5), "-", False)))]
+        after = r.sample(extra, r.randint(0, 3))
+        main = self.tag("div", inner, r.choice(["", "content", "post-body", "page has-sidebar search-results"]))
+        return "<body>" + top + main + "".join(after) + foot
+
+
+def labelled(pages: int = 1500, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table, by rule: features of the blocks of `pages` planned pages, and whether they are main text."""
+    rows = [(f, s[0] == "+") for k in range(pages) for s, f in blocks(Plan(random.Random(seed * 100_003 + k)).page())]
+    return np.array([f for f, _ in rows], float), np.array([y for _, y in rows], float)
 
 
 class Tree:
     """A CART classifier: Gini impurity, axis-parallel splits, bounded depth and leaf size."""
 
-    def __init__(self, depth: int = 7, leaf: int = 3):
+    def __init__(self, depth: int = 12, leaf: int = 4):
         self.depth, self.leaf, self.root = depth, leaf, None
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Tree:
@@ -202,21 +346,24 @@ class Tree:
 
 @lru_cache(maxsize=1)
 def classifier() -> Tree:
-    rows = [(f, s[0] == "+") for page in examples() for s, f in blocks(page)]
-    return Tree().fit(np.array([f for f, _ in rows], float), np.array([y for _, y in rows], float))
+    return Tree().fit(*labelled())
 
 
-def main_text(page: str | None) -> str:
-    tree = classifier()
+def main_text(page: str | None, tree: Tree | None = None) -> str:
+    tree = tree or classifier()
     return "\n".join(s for s, f in blocks(page or "") if tree.predict(f) >= 0.5)
 
 
-def _extract(batches):
-    for batch in batches:
-        texts = [main_text(p) for p in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _extract(tree):
+    def run(batches):
+        for batch in batches:
+            texts = [main_text(p, tree.value) for p in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row per row of `pages`."""
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    """page_id, url, text, n_chars: one row per row of `pages`. The tree is trained on the driver, once a process."""
+    tree = pages.sparkSession.sparkContext.broadcast(classifier())
+    return pages.select("page_id", "url", "html").mapInArrow(_extract(tree), "page_id long, url string, text string, n_chars long")

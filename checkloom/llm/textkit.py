@@ -13,7 +13,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 WHITE = b" \t\n\x0b\x0c\r"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are hashed in groups of about so many bytes, which bounds the arrays at about 100 bytes for each of them.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

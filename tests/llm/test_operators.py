@@ -382,12 +382,54 @@ def test_codec(spark, docs, none):
 
 
 def test_html_extraction(spark):
-    assert all((html_extract.classifier().predict(f) >= 0.5) == (s[0] == "+") for p in html_extract.examples() for s, f in html_extract.blocks(p))
-    page = "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><nav><a href='/'>Home</a></nav><article><h1>A &amp; B</h1><p>First&nbsp;  par <b>bold<br>text</p><p>It&#39;s short.<form><input><p>Sign up now</p></form></article><div class='comments'><p>Nice post this was</p></div><footer>&copy; x</footer></body>"
-    rows = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<article><p>" + "word " * 20000 + "</article>"), (1, "u", page)]
+    page = "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body class='has-sidebar'><nav><a href='/'>Home</a></nav><article><h1>A &amp; B</h1><p>First&nbsp;  par <b>bold<br>text</p><p>It&#39;s short.<form><input><p>Sign up now</p></form></article><div class='comments'><p>Nice post this was</p></div><footer>&copy; x</footer></body>"
+    rows = [(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<article><p>" + "word " * 200_000 + "</article>"), (1, "u", page)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))).collect()
     text = "A & B\nFirst par bold text\nIt's short."
-    same(got, [(1, "u", text, len(text))] * 2 + [(2, "u", "", 0), (3, None, "", 0), (4, "u", " ".join(["word"] * 20000), 99999)])
+    same(got, [(1, "u", text, len(text))] * 2 + [(2, "u", "", 0), (3, None, "", 0), (4, "u", " ".join(["word"] * 200_000), 999_999)])
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_against_labels_of_other_pages(spark):
+    """Held-out pages: whole texts as labelled by their plans, and what is lost without link density or neighbours."""
+    pages = [html_extract.Plan(random.Random(k)).page() for k in range(400)]
+    want = ["\n".join(s for s, _ in html_extract.blocks(p) if s[0] == "+") for p in pages]
+    right = lambda tree: np.mean([html_extract.main_text(p, tree) == w for p, w in zip(pages, want, strict=True)])
+    assert right(html_extract.classifier()) > 0.95
+    x, y = html_extract.labelled()
+    for gone in ([i for i, f in enumerate(html_extract.FEATURES) if "link_density" in f], list(html_extract.NEIGHBOURS)):
+        less = x.copy()
+        less[:, gone] = 0
+        tree = html_extract.Tree().fit(less, y)
+        plain = tree.predict
+        tree.predict = lambda row, gone=gone, plain=plain: plain([0 if i in gone else v for i, v in enumerate(row)])
+        assert right(tree) < right(html_extract.classifier()) - 0.05
+
+
+def test_html_of_bare_and_odd_pages():
+    say = lambda n: " ".join(["word"] * n) + "."
+    menu = "<div><ul><li><a href=1>Home</a></li><li><a href=2>About</a></li><li><a href=3>More</a></li></ul></div>"
+    bare = f"<body>{menu}<div id='content'><h1>Why rivers bend</h1><p>Rivers bend. Nobody asked why.</p><p>{say(90)}</p><ul><li>One small thing.</li></ul></div><footer>(c) x</footer>"
+    assert html_extract.main_text(bare) == f"Why rivers bend\nRivers bend. Nobody asked why.\n{say(90)}\nOne small thing."
+    inner = f"<h1>Title here</h1><p>{say(30)}</p><div class='search-results'><p>{say(14)}</p></div><p><a href=1>Older</a> <a href=2>Newer</a></p>"
+    text = f"Title here\n{say(30)}\n{say(14)}"
+    assert html_extract.main_text(f"<div class='layout has-comments'><article>{inner}</article></div>") == text
+    assert html_extract.main_text(f"<div class='comments'><article>{inner}</article></div>") == text
+    assert html_extract.main_text(f"<article>{inner}<button>Share") == text + "\nShare"
+
+
+@pytest.mark.parametrize("odd", ["<p ", "<a x='", "<button ", "<button>", "<!-- ", "<a \"'> ", "<div>", "</section>", "<p>x", "<", "<script", "<a b=\"", "<ul><li>", "&lt;", "<textarea>"])
+def test_html_is_linear_and_loses_no_text(odd):
+    import time
+
+    html_extract.classifier()
+    began = time.process_time()
+    html_extract.main_text("<article><p>" + odd * (1_000_000 // len(odd)))
+    assert time.process_time() - began < 30
+    end = "" if odd in ("<!-- ", "<script", "<p ", "<a x='", "<button ", "<a b=\"") else odd * 20
+    assert "first words" in html_extract.main_text(f"<article><p>first words of a text.</p>{end}<p>and the last words of it.</p></article>")
+    got = html_extract.main_text(f"<article><p>first words of a text.</p>{end}<p>and the last words of it.</p></article>")
+    assert "and the last words of it." in got
 
 
 # --- 6 toxicity ------------------------------------------------------------------------------------------------------
