@@ -114,3 +114,29 @@ def value_masked(x: Column, signature: str) -> Column:
         return s.map(one, na_action="ignore")
 
     return F.pandas_udf(mask, T.StringType())(x)
+
+
+# Calls of which a comparison with a constant says no more than the call itself.
+PERMISSION_CALLS = (
+    "<com.android.server.pm.PackageManagerService: int checkUidPermission(java.lang.String,int)>",
+    "<com.android.server.pm.PackageManagerService: int checkPermission(java.lang.String,java.lang.String,int)>",
+    "<android.app.ApplicationPackageManager: int checkSignatures(java.lang.String,java.lang.String)>",
+    "<com.android.server.pm.PackageManagerService: int checkSignatures(java.lang.String,java.lang.String)>",
+    "<android.app.AppOpsManager: int checkOpNoThrow(int,int,java.lang.String)>",
+    "<android.app.AppOpsManager: int noteOpNoThrow(int,int,java.lang.String)>",
+    "<android.app.AppOpsManager: int permissionToOpCode(java.lang.String)>",
+    "<com.android.server.am.ActivityManagerService$IntentFirewallInterface: int checkComponentPermission(java.lang.String,int,int,int,boolean)>",
+    "<com.android.server.pm.PackageManagerService: int checkUidSignatures(int,int)>",
+    "<com.android.server.firewall.IntentFirewall$AMSInterface: int checkComponentPermission(java.lang.String,int,int,int,boolean)>",
+    "<com.android.server.AppOpsService: int noteOperation(int,int,java.lang.String)>",
+    "<com.android.server.AppOpsService: int startOperation(android.os.IBinder,int,int,java.lang.String)>",
+    "<com.android.server.AppOpsService: int checkOperation(int,int,java.lang.String)>",
+    "<android.content.pm.PackageManager: int checkSignatures(java.lang.String,java.lang.String)>",
+)
+
+
+def unwrap_permission_check(op1: Column, op2: Column, calls: tuple[str, ...] = PERMISSION_CALLS) -> Column:
+    """The operand that calls one of `calls`, if the other one is a constant number; null for other pairs."""
+    number = lambda x: x.rlike(r"^-?\d+(\.\d+)?$")
+    listed = lambda x: F.exists(F.array(*[F.lit(c) for c in calls]), lambda c: F.contains(x, c))
+    return F.when(number(op1) & listed(op2), op2).when(listed(op1) & number(op2), op1)

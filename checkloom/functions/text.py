@@ -38,6 +38,12 @@ def case_order(x: Column) -> list[Column]:
     return [F.lower(x).asc_nulls_first(), x.asc_nulls_first()]
 
 
+def member_order(sig: Column) -> list[Column]:
+    """Sort keys of methods and fields: class, name, arguments, type; case-insensitive first; nulls first."""
+    p = signature_parts(sig)
+    return [k for x in (p["full_class"], p["name"], F.array_join(p["args"], ","), p["type"]) for k in case_order(x)]
+
+
 def with_key(name: Column, key: Column) -> Column:
     return F.concat(name, F.lit("_"), key)
 
@@ -78,6 +84,61 @@ def largest_remainder(values: list[float], total: int = 100) -> list[int]:
     return out
 
 
+def abbreviate(x: Column, width: int) -> Column:
+    """At most `width` characters, the last three as dots where some are left out."""
+    return F.when(F.length(x) > width, F.concat(F.substring(x, 1, max(0, width - 3)), F.lit("..."))).otherwise(x)
+
+
+def capitalize(x: Column) -> Column:
+    """The first letter of each word in upper case, the others as they are."""
+    return F.array_join(F.transform(F.split(x, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+
+
+def capitalize_fully(x: Column) -> Column:
+    return F.initcap(F.lower(x))
+
+
+def center(x: Column, width: int, fill: str = " ") -> Column:
+    left = F.floor((F.lit(width) - F.length(x)) / 2).cast("int")
+    return F.when(F.length(x) >= width, x).otherwise(F.rpad(F.concat(F.repeat(F.lit(fill), left), x), width, fill))
+
+
+def left_pad(x: Column, width: int, fill: str = " ") -> Column:
+    return F.when(F.length(x) >= width, x).otherwise(F.lpad(x, width, fill))
+
+
+def right_pad(x: Column, width: int, fill: str = " ") -> Column:
+    return F.when(F.length(x) >= width, x).otherwise(F.rpad(x, width, fill))
+
+
+def remove_end(x: Column, end: str) -> Column:
+    return F.when(F.endswith(x, F.lit(end)), F.substring(x, F.lit(1), F.length(x) - len(end))).otherwise(x)
+
+
+# Names of the primitive types.
+PRIMITIVES = ("boolean", "byte", "char", "short", "int", "long", "float", "double")
+
+
+def type_of_text(x: Column) -> Column:
+    """struct(kind, base, dims) of a type's text: primitive, void, null or class, with [] as dimensions of an array."""
+    base = F.regexp_replace(x, r"(\[\])+$", "")
+    dims = ((F.length(x) - F.length(base)) / 2).cast("int")
+    kind = F.when(base.isin(*PRIMITIVES), "primitive").when(base == "void", "void").when(base == "null_type", "null").otherwise("class")
+    return F.struct(F.when(dims > 0, "array").otherwise(kind).alias("kind"), base.alias("base"), dims.alias("dims"))
+
+
+def typed_value(x: Column, typ: str) -> Column:
+    """A text as a value of a type (as its text again); null if it is none."""
+    carrier = {"boolean": "boolean", "byte": "tinyint", "short": "smallint", "char": "int", "int": "int", "long": "bigint", "float": "float", "double": "double"}[typ]
+    return x.try_cast(carrier).cast("string")
+
+
+def sorted_entries(pairs: Column, by: str = "key", falling: bool = False) -> Column:
+    """A map's entries as an array, by key or by value then key, rising or falling."""
+    rows = F.transform(F.map_entries(pairs), lambda e: F.struct(*([e["value"].alias("value")] if by == "value" else []), e["key"].alias("key"), e["value"].alias("v")))
+    return F.transform(F.sort_array(rows, asc=not falling), lambda e: F.struct(e["key"].alias("key"), e["v"].alias("value")))
+
+
 def swap_case(x: Column) -> Column:
     return F.array_join(F.transform(F.split(x, ""), lambda c: F.when(c == F.upper(c), F.lower(c)).otherwise(F.upper(c))), "")
 

@@ -6,17 +6,15 @@ rules' counts, which gives closed forms over plain supports (no pass over the tr
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from checkloom.operators import closed
 from checkloom.plans.shared import cut
 
 MIN_SUPPORT, MIN_SIZE, MIN_CONFIDENCE = 2, 2, 0.85
 MAX_GROWTH, EMPTY_SHARE = 5.0, 0.5
-#: Subsets of a set are enumerated up to this size; wider sets are an error, not a cap: collapse items first.
-WIDEST = 20
 
 
 def baskets(facts: DataFrame, ep: str, item: str) -> DataFrame:
@@ -34,107 +32,85 @@ def collapse(rows: DataFrame) -> DataFrame:
     return tids.groupBy("eps").agg(F.sort_array(F.collect_list("item")).alias("items")).select(F.col("items")[0].alias("class_id"), "items", "eps")
 
 
-def frequent_itemsets(rows: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(items, support): all itemsets held by `min_support` baskets or more (FP-growth)."""
-    n = rows.count()
-    if n < min_support:
-        return rows.select("items", F.lit(0).cast("long").alias("support")).limit(0)
-    model = FPGrowth(itemsCol="items", minSupport=(min_support - 0.5) / n, minConfidence=1.0).fit(rows.select("items"))
-    return model.freqItemsets.select(F.sort_array("items").alias("items"), F.col("freq").alias("support")).where(F.col("support") >= min_support)
-
-
-def _without_one(items: Column) -> Column:
-    return F.transform(items, lambda x: F.filter(items, lambda y: y != x))
-
-
-def closed_itemsets(frequent: DataFrame) -> DataFrame:
-    """Those without a superset of equal support: one more item is enough to tell."""
-    f = frequent
-    smaller = f.where(F.size("items") > 1).select(F.explode(_without_one(F.col("items"))).alias("items"), "support").distinct()
-    return f.join(smaller, ["items", "support"], "left_anti")
-
-
-def subsets(items: Column) -> Column:
-    """All non-empty subsets, each in the order of `items`."""
-    n = F.size(items)
-    ids = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)
-    pick = lambda m: F.filter(items, lambda _, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1)
-    return F.when(n > WIDEST, F.raise_error(F.lit("a set is too wide for subsets"))).otherwise(F.transform(ids, pick))
+def closed_itemsets(rows: DataFrame, min_support: int = MIN_SUPPORT, min_size: int = 1, group: str | None = None) -> DataFrame:
+    """([group,] items, support): itemsets of `min_size` classes or more that `min_support` baskets hold and no larger set
+    of equal support has. Items that always occur together are one class; all of a class's items are given."""
+    out = closed.closed_itemsets(rows, min_support, min_size, group)
+    return out.select(*([F.col("grp").alias(group)] if group else []), "items", "support")
 
 
-def rules(rows: DataFrame, frequent: DataFrame | None = None, min_confidence: float = MIN_CONFIDENCE, min_size: int = MIN_SIZE) -> DataFrame:
-    """(items, lhs, rhs, support, confidence, lift, conviction, dconf, jaccard): leave-one-out rules of each distinct
-    basket that no other entry point's basket contains, or that has one item.
+def rules(rows: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_size: int = MIN_SIZE, group: str | None = None) -> DataFrame:
+    """([group,] items, lhs, rhs, support, confidence, lift, conviction, dconf, jaccard): leave-one-out rules of each distinct
+    basket that no other entry point's basket contains, or that has one item (class of items). With `group`, each value of
+    that column is an input of its own."""
+    out = closed.rules(rows, min_confidence, min_size, group, MIN_SUPPORT)
+    return out.withColumnRenamed("grp", group) if group else out.drop("grp")
 
-    A rule lhs -> rhs comes from a closed set of `min_size` items or more. Pairs of closed set and lhs are joined on
-    supports and filtered first; a basket finds its rules by its own subsets: equi-joins only.
-    """
-    n = rows.count()
-    freq = cut(frequent_itemsets(rows) if frequent is None else frequent, "frequent")
-    single = rows.groupBy("items").agg(F.count("*").alias("own"))
-    closed = closed_itemsets(freq).where(F.size("items") >= min_size)
-    cand = closed.select(F.col("items").alias("whole"), "support", F.explode(subsets(F.col("items"))).alias("lhs")).where(F.size("lhs") < F.size("whole"))
-    conf = F.col("support") / (F.col("sup_lhs") - 1)
-    cand = cand.join(freq.select(F.col("items").alias("lhs"), F.col("support").alias("sup_lhs")), "lhs").withColumn("confidence", conf).where(F.col("confidence") >= min_confidence)
-    cand = cand.withColumn("rhs", F.array_except("whole", "lhs")).join(freq.select(F.col("items").alias("rhs"), F.col("support").alias("sup_rhs")), "rhs")
-    held = single.join(freq, "items", "left").select("items", F.coalesce("support", F.lit(1).cast("long")).alias("sup"))
-    targets = held.where((F.col("sup") == 1) | (F.size("items") == 1))
-    found = targets.withColumn("lhs", F.explode(subsets(F.col("items")))).join(cand, "lhs").where(~F.arrays_overlap("items", "rhs"))
-    share = F.col("sup_rhs") / F.lit(n - 1)
-    return found.select(
-        "items", "lhs", "rhs", "support", "confidence", (F.col("confidence") / share).alias("lift"),
-        F.when(F.col("confidence") == 1, 1.0).otherwise((1 - share) / (1 - F.col("confidence"))).alias("conviction"),
-        F.when(F.size("items") == F.size("lhs"), -1.0).otherwise((F.col("sup") - 1) / (F.col("sup_lhs") - 1)).alias("dconf"),
-        (F.size("lhs") / F.size("items")).alias("jaccard"),
-    )
 
-
-def classify_rhs(found: DataFrame, simple: DataFrame) -> DataFrame:
-    """Rules with rhs split into `missing` and `alt` (same simplified form in the basket). simple: item, simplified.
-    Rules whose missing forms are MAX_GROWTH times the lhs or more go."""
-    r = found.withColumn("rule", F.xxhash64("items", "lhs", "rhs"))
-    t = r.select("rule", F.explode("items").alias("item")).join(simple, "item").groupBy("rule").agg(F.collect_set("simplified").alias("have"))
-    m = r.select("rule", F.explode("rhs").alias("item")).join(simple, "item").join(t, "rule")
+def classify_rhs(found: DataFrame, simple: DataFrame, group: str | None = None) -> DataFrame:
+    """Rules with rhs split into `missing` and `alt` (same simplified form in the basket), and jaccard of the whole sets.
+    simple: item, simplified; an item without a row is its own form. Rules whose missing forms are MAX_GROWTH times the
+    lhs or more go. A rule is told by its sets themselves."""
+    key = [*([group] if group else []), "items", "lhs", "rhs"]
+    form = lambda c: found.select(*key, F.explode(c).alias("item")).join(simple, "item", "left").select(*key, "item", F.coalesce("simplified", "item").alias("simplified"))
+    t = form("items").groupBy(*key).agg(F.collect_set("simplified").alias("have"))
+    m = form("rhs").join(t, key)
     alt = F.array_contains("have", F.col("simplified"))
-    s = m.groupBy("rule").agg(
+    s = m.groupBy(*key).agg(
         F.sort_array(F.collect_set(F.when(~alt, F.col("item")))).alias("missing"), F.sort_array(F.collect_set(F.when(alt, F.col("item")))).alias("alt"),
         F.countDistinct(F.when(~alt, F.col("simplified"))).alias("forms"),
     )
-    return r.join(s, "rule").where((F.col("forms") / F.size("lhs")) < MAX_GROWTH).drop("rule", "forms")
+    out = found.join(s, key).where((F.col("forms") / F.size("lhs")) < MAX_GROWTH).drop("forms")
+    return out.withColumn("jaccard", F.size("lhs") / F.size("items"))
 
 
 RANK = ("jaccard", "confidence", "support", "lhs", "rhs", "dconf", "lift")
 
 
-def without_redundant(found: DataFrame, by: str = "items") -> DataFrame:
+def without_redundant(found: DataFrame, by: str | tuple[str, ...] = "items") -> DataFrame:
     """Drops a rule whose rhs is within the rhs of an earlier rule of its basket, ranked by RANK descending. Subset is
     transitive, so the greedy pass equals a test against all earlier rules; candidates meet on one shared item."""
-    w = W.partitionBy(by).orderBy(*[F.col(c).desc() for c in RANK])
+    by = [by] if isinstance(by, str) else list(by)
+    w = W.partitionBy(*by).orderBy(*[F.col(c).desc() for c in RANK])
     r = cut(found.withColumn("rank", F.row_number().over(w)), "ranked")
-    one = r.select(by, "rank", "rhs", F.col("rhs")[0].alias("item"))
-    two = r.select(by, F.col("rank").alias("before"), F.col("rhs").alias("wide"), F.explode("rhs").alias("item"))
-    out = one.join(two, [by, "item"]).where((F.col("before") < F.col("rank")) & (F.size(F.array_except("rhs", "wide")) == 0)).select(by, "rank").distinct()
-    return r.join(out, [by, "rank"], "left_anti")
+    one = r.select(*by, "rank", "rhs", F.col("rhs")[0].alias("item"))
+    two = r.select(*by, F.col("rank").alias("before"), F.col("rhs").alias("wide"), F.explode("rhs").alias("item"))
+    out = one.join(two, [*by, "item"]).where((F.col("before") < F.col("rank")) & (F.size(F.array_except("rhs", "wide")) == 0)).select(*by, "rank").distinct()
+    return r.join(out, [*by, "rank"], "left_anti")
 
 
 def missing_antecedent(found: DataFrame) -> DataFrame:
     return found.withColumn("unmatched", F.array_except("items", "lhs"))
 
 
+def unmatched_by_form(found: DataFrame, simple: DataFrame) -> DataFrame:
+    """(items, lhs, rhs, simplified, unmatched): the basket's items outside the antecedent, grouped by simplified form."""
+    key = ["items", "lhs", "rhs"]
+    each = missing_antecedent(found).select(*key, F.explode("unmatched").alias("item")).join(simple, "item", "left")
+    return each.groupBy(*key, F.coalesce("simplified", "item").alias("simplified")).agg(F.sort_array(F.collect_set("item")).alias("unmatched"))
+
+
+def ranked_itemsets(sets: DataFrame) -> DataFrame:
+    """Itemsets by support, then items, both falling."""
+    return sets.orderBy(F.col("support").desc(), F.col("items").desc())
+
+
 def other_eps(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """(items, lhs, rhs, eps): entry points whose baskets hold lhs and rhs: counted matches on single items."""
+    """(items, lhs, rhs, eps): entry points whose baskets hold lhs and rhs. A whole meets the baskets that hold its first
+    and last item, an equi-join on a pair, and is then compared item by item."""
     r = found.select("items", "lhs", "rhs", F.sort_array(F.concat("lhs", "rhs")).alias("whole")).distinct()
-    wanted = r.select("whole").distinct()
-    each = rows.select("ep", F.explode("items").alias("item"))
-    match = wanted.select("whole", F.explode("whole").alias("item")).join(each, "item").groupBy("whole", "ep").agg(F.count("*").alias("k")).where(F.col("k") == F.size("whole"))
+    wanted = r.select("whole", F.col("whole")[0].alias("p"), F.element_at("whole", -1).alias("q")).distinct()
+    both = F.flatten(F.transform("items", lambda p: F.transform(F.filter("items", lambda q: q > p), lambda q: F.struct(p.alias("p"), q.alias("q")))))
+    each = rows.select("ep", "items", F.explode(both).alias("pq")).select("ep", F.col("items").alias("basket"), "pq.p", "pq.q")
+    match = wanted.join(each, ["p", "q"]).where(F.size(F.array_except("whole", "basket")) == 0)
     eps = match.groupBy("whole").agg(F.sort_array(F.collect_list("ep")).alias("eps"))
     return r.join(eps, "whole").select("items", "lhs", "rhs", "eps")
 
 
-def empty_target_itemsets(rows: DataFrame, frequent: DataFrame, share: float = EMPTY_SHARE) -> DataFrame:
+def empty_target_itemsets(rows: DataFrame, share: float = EMPTY_SHARE) -> DataFrame:
     """(items, support, share): what an entry point without checks is told: closed sets of half of the group or more."""
     n = rows.count()
-    return closed_itemsets(frequent).select("items", "support", (F.col("support") / n).alias("share")).where(F.col("share") >= share)
+    return closed_itemsets(rows).select("items", "support", (F.col("support") / n).alias("share")).where(F.col("share") >= share)
 
 
 def set_diff(a: Column, b: Column) -> Column:

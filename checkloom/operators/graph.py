@@ -102,12 +102,12 @@ def on_paths(allowed: DataFrame, sinks: DataFrame) -> DataFrame:
     return reach_back(allowed, sinks).select("ep", "node").distinct()
 
 
-def first_paths(edges: DataFrame, seeds: DataFrame, max_level: int = 50, leaves_only: bool = False) -> DataFrame:
+def first_paths(edges: DataFrame, seeds: DataFrame, max_level: int | None = None, leaves_only: bool = False) -> DataFrame:
     """(ep, node, path): for each node the least, in array order, of the shortest paths from the entry point."""
     e = edges.select("src", "tgt").distinct()
     seen = cut(seeds.select("ep", "node", F.array("node").alias("path")), "paths")
     frontier, level = seen, 0
-    while level < max_level:
+    while max_level is None or level < max_level:
         level += 1
         step = frontier.join(e, F.col("node") == F.col("src")).select("ep", F.col("tgt").alias("node"), F.concat("path", F.array("tgt")).alias("path"))
         step = step.join(seen, ["ep", "node"], "left_anti").groupBy("ep", "node").agg(F.min("path").alias("path"))
@@ -164,10 +164,24 @@ def missing_eps(seen: DataFrame, group_size: int) -> DataFrame:
     return seen.withColumn("missing", F.lit(group_size) - F.col("eps"))
 
 
+def depth_bucket(depth: Column, max_depth: Column, buckets: int = 4) -> Column:
+    """The number, from 1, of the depth's bucket: the k-th ends at floor(max_depth * k / buckets). Less deep graphs have
+    fewer buckets; a depth beyond max_depth is an error."""
+    most = F.greatest(max_depth.cast("long"), F.lit(1))
+    k = F.greatest(F.when(F.lit(buckets) > most, most - 1).otherwise(F.lit(buckets)), F.lit(1))
+    own = F.greatest(F.ceil(depth * k / most), F.lit(1))
+    return F.when(depth > most, F.raise_error(F.lit("a depth is beyond the largest"))).otherwise(own)
+
+
 def skewed_average(depth: Column, value: Column, max_depth: Column, buckets: int = 4) -> Column:
-    """Aggregate: average of `value` weighted by 1 / (number of its depth bucket), rounded."""
-    bucket = F.least(F.floor((depth * buckets) / (max_depth + 1)), F.lit(buckets - 1)) + 1
-    return F.round(F.sum(value / bucket) / F.sum(F.lit(1) / bucket), 6)
+    """Aggregate: average of `value` weighted by 1 / (number of its depth bucket), rounded half up to a whole number."""
+    bucket = depth_bucket(depth, max_depth, buckets)
+    return F.floor(F.sum(value / bucket) / F.sum(F.lit(1) / bucket) + 0.5).cast("int")
+
+
+def whole_average(total: Column, count: Column) -> Column:
+    """total / count without the fraction; 0 of none."""
+    return F.when(count > 0, F.floor(total / count)).otherwise(0).cast("long")
 
 
 def ambiguous_dispatch(edges: DataFrame) -> DataFrame:
@@ -222,5 +236,157 @@ def expansion_count(defs: DataFrame, roots: DataFrame) -> DataFrame:
     return done
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): for every node on a cycle the largest node of its strongly connected component.
+
+    Nodes that no cycle can hold are peeled off first. Then the largest id spreads along the edges; nodes of one colour
+    from which the colour's own node is reached are its component, and go. Repeated on the rest, level by level.
+    """
+    e = cut(edges.select("src", "tgt").where("src is not null and tgt is not null").distinct(), "scc")
+    found = cut(e.where("src = tgt").select(F.col("src").alias("node"), F.col("src").alias("component")), "scc")
+    loops = found
+    e = cut(e.where("src <> tgt"), "scc")
+    parts = []
+    while True:
+        before = -1
+        while (n := e.count()) != before:
+            before = n
+            e = cut(e.join(e.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi").select("src", "tgt"), "scc")
+        if not before:
+            break
+        color = cut(e.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")), "scc")
+        total, last = F.sum(F.xxhash64("node", "color").cast("decimal(38,0)")), None
+        while (now := color.agg(total.alias("t")).first().t) != last:
+            last = now
+            spread = color.join(e, color["node"] == e["src"]).select(F.col("tgt").alias("node"), "color")
+            color = cut(color.unionByName(spread).groupBy("node").agg(F.max("color").alias("color")), "scc")
+        same = e.join(color.select(F.col("node").alias("src"), F.col("color").alias("cs")), "src").join(color.select(F.col("node").alias("tgt"), F.col("color").alias("ct")), "tgt").where("cs = ct")
+        back = cut(same.select(F.col("tgt").alias("at"), F.col("src").alias("node"), F.col("cs").alias("color")), "scc")
+        own = cut(color.where("node = color"), "scc")
+        frontier = own
+        while True:
+            step = frontier.select(F.col("node").alias("at")).join(back, "at").select("node", "color").distinct()
+            frontier = cut(step.join(own, ["node", "color"], "left_anti"), "scc")
+            if frontier.isEmpty():
+                break
+            own = own.unionByName(frontier)
+        own = cut(own.select("node", F.col("color").alias("component")), "scc")
+        several = own.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+        parts.append(own.join(several, "component", "left_semi").select("node", "component"))
+        gone = own.select("node")
+        e = cut(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "tgt"), "tgt", "left_anti").select("src", "tgt"), "scc")
+    for p in parts:
+        found = found.unionByName(p)
+    return found.groupBy("node").agg(F.max("component").alias("component")) if parts else loops
+
+
+def visits_by_ep(allowed: DataFrame, reached: DataFrame) -> DataFrame:
+    """(ep, node, visits, depths): how often edges of the closure meet each node, and at which depths."""
+    at = allowed.join(reached.select("ep", F.col("node").alias("src"), F.col("level").alias("from")), ["ep", "src"])
+    met = at.groupBy("ep", F.col("tgt").alias("node")).agg(F.count("*").alias("visits"), F.collect_set(F.col("from") + 1).alias("d"))
+    out = reached.join(met, ["ep", "node"], "left")
+    return out.select("ep", "node", F.coalesce("visits", F.lit(0)).cast("long").alias("visits"), F.sort_array(F.array_union(F.array("level"), F.coalesce("d", F.array().cast("array<int>")))).alias("depths"))
+
+
+def edited_call_graph(edges: DataFrame, excluded: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges without class initialisers and excluded callers, led from proxies to entry points; and (step, n): how many
+    edges each step left."""
+    init = lambda c: F.contains(F.col(c), F.lit("<clinit>"))
+    one = cut(edges.select("src", "tgt").distinct(), "edit")
+    two = cut(one.where(~init("src") & ~init("tgt")), "edit")
+    three = cut(two.join(excluded.select(F.col("node").alias("src")).distinct(), "src", "left_anti").select("src", "tgt"), "edit")
+    four = cut(three.join(targets, three["tgt"] == targets["method"], "left").select("src", F.coalesce("ep", "tgt").alias("tgt")).distinct(), "edit")
+    steps = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("step"), "n") for k, df in (("all", one), ("initialisers", two), ("excluded", three), ("rewritten", four))]
+    return four, union_all(steps)
+
+
+def logic_graph(allowed: DataFrame, sources: DataFrame, queries: DataFrame, cap: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, color) and edges (src, tgt, weight) of what leads to sources and context queries (node) inside the entry
+    points' closures: an edge weighs one more for each further entry point, up to `cap`."""
+    sinks = sources.select(F.col("node").alias("sink")).union(queries.select("node")).distinct()
+    on = reach_back(allowed, sinks).select("ep", "node").distinct()
+    e = allowed.join(on.withColumnRenamed("node", "src"), ["ep", "src"], "left_semi").join(on.withColumnRenamed("node", "tgt"), ["ep", "tgt"], "left_semi")
+    e = cut(e.groupBy("src", "tgt").agg(F.least(F.count("*"), F.lit(cap)).alias("weight")), "logic")
+    mark = lambda df, c: df.select(F.col("node").alias("id"), F.lit(True).alias(c)).distinct()
+    eps = allowed.select(F.col("ep").alias("node"))
+    n = e.select(F.col("src").alias("id")).union(e.select("tgt")).distinct().join(mark(eps, "ep"), "id", "left").join(mark(queries, "query"), "id", "left").join(mark(sources, "source"), "id", "left")
+    return n.select("id", F.when(F.col("ep"), "green").when(F.col("query"), "red").when(F.col("source"), "blue").otherwise("white").alias("color")), e
+
+
+def query_subgraphs(edges: DataFrame, queries: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(ep, cq, method): methods that each entry point's context queries (ep, cq) reach."""
+    pair = F.struct("ep", "cq")
+    r = reach(edges, queries.select(pair.alias("ep"), F.col("cq").alias("node")), excluded)
+    return r.select(F.col("ep.ep").alias("ep"), F.col("ep.cq").alias("cq"), F.col("node").alias("method"))
+
+
+def forward_predicates(uses: DataFrame, seeds: DataFrame, branches: DataFrame) -> DataFrame:
+    """(seed, unit): branch statements reached from seeds by def -> use. uses: def, use; seeds: unit; branches: unit."""
+    r = reach(uses.select(F.col("def").alias("src"), F.col("use").alias("tgt")), seeds.select(F.col("unit").alias("ep"), F.col("unit").alias("node")))
+    return r.select(F.col("ep").alias("seed"), F.col("node").alias("unit")).join(branches.select("unit"), "unit", "left_semi").select("seed", "unit")
+
+
+def backward_predicates(units: DataFrame, seeds: DataFrame, callers: DataFrame, depends: DataFrame, defs: DataFrame, exits: DataFrame, inner: DataFrame, branches: DataFrame) -> DataFrame:
+    """(seed, unit): branches that decide whether a seed runs, or on what it depends: the closure over callers on the way
+    to the entry point, iterated control dependences, definitions of used locals, and exits of callees and the calls in them.
+
+    units: unit, method; callers: method, call; depends, defs: unit, on; exits: call, unit (ends of a called method); inner:
+    call, unit (calls within it). A state is a unit and whether it lies on the way up; only such states go to callers, and
+    only others enter the calls.
+    """
+    key = lambda c, up: F.concat(F.col(c).cast("string"), F.lit(f"|{up}"))
+    up = units.join(callers, "method").select(key("unit", 1).alias("src"), key("call", 1).alias("tgt"))
+    side = depends.select("unit", "on").union(defs.select("unit", "on"))
+    into = exits.select("call", "unit").union(inner.select("call", "unit"))
+    edges = union_all([up, side.select(key("unit", 1).alias("src"), key("on", 0).alias("tgt")), side.select(key("unit", 0).alias("src"), key("on", 0).alias("tgt")), into.select(key("call", 0).alias("src"), key("unit", 0).alias("tgt"))])
+    r = reach(edges, seeds.select(F.col("unit").alias("ep"), key("unit", 1).alias("node")))
+    found = r.select(F.col("ep").alias("seed"), F.regexp_replace("node", r"\|[01]$", "").alias("unit")).distinct()
+    return found.join(branches.select(F.col("unit").cast("string").alias("unit")).distinct(), "unit", "left_semi").select("seed", "unit")
+
+
+def parameter_definitions(params: DataFrame, args: DataFrame) -> DataFrame:
+    """(use, def): a method's parameter is defined by the argument of each of its calls. params: node, method, pos; args:
+    callee, pos, def."""
+    return params.join(args, (params["method"] == args["callee"]) & (params["pos"] == args["pos"])).select(F.col("node").alias("use"), "def").distinct()
+
+
+def def_use_graph(seeds: DataFrame, local: DataFrame, params: DataFrame, args: DataFrame) -> DataFrame:
+    """(use, def): definitions that the seeds (node) need, within methods and over parameters."""
+    every = local.select("use", "def").union(parameter_definitions(params, args)).distinct()
+    r = reach(every.select(F.col("use").alias("src"), F.col("def").alias("tgt")), seeds.select(F.lit(0).alias("ep"), "node")).select(F.col("node").alias("use"))
+    return every.join(r, "use", "left_semi").select("use", "def")
+
+
+def without_receivers(graph: DataFrame, seeds: DataFrame, receivers: DataFrame) -> DataFrame:
+    """The graph (use, def) without what only receivers (use, def) bring in: their edges go, the rest is closed anew."""
+    left = graph.join(receivers.select("use", "def"), ["use", "def"], "left_anti")
+    r = reach(left.select(F.col("use").alias("src"), F.col("def").alias("tgt")), seeds.select(F.lit(0).alias("ep"), "node")).select(F.col("node").alias("use"))
+    return left.join(r, "use", "left_semi").select("use", "def")
+
+
+def gathered(used: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kind, value, n_eps, n_starts): fields, methods and strings that starts use. used: ep, start, node; nodes: ep, node,
+    kind, value."""
+    return used.join(nodes, ["ep", "node"]).groupBy("kind", "value").agg(F.countDistinct("ep").alias("n_eps"), F.countDistinct("ep", "start").alias("n_starts"))
+
+
+def entry_points(parents: DataFrame, root: str, methods: DataFrame, blocks: DataFrame, calls: DataFrame) -> DataFrame:
+    """(stub, ep, tx_ids): what the transaction methods of the subclasses of `root` call in each transaction's block.
+    methods: class, method (their transaction methods); blocks: method, tx, stmt; calls: method, stmt, target."""
+    stubs = subclasses(parents).where((F.col("super") == root) & (F.col("sub") != root)).select(F.col("sub").alias("class"))
+    own = methods.join(stubs, "class", "left_semi")
+    hit = own.join(blocks, "method").join(calls, ["method", "stmt"])
+    return hit.groupBy(F.col("class").alias("stub"), F.col("target").alias("ep")).agg(F.sort_array(F.collect_set("tx")).alias("tx_ids"))
+
+
+def transaction_blocks(flow: DataFrame, cases: DataFrame, ends: DataFrame) -> DataFrame:
+    """(method, tx, stmt): statements that a transaction's first one reaches before the branches join. flow: method, src,
+    tgt; cases: method, tx, stmt; ends: method, stmt (where the branches join)."""
+    key = F.struct("method", "tx")
+    at = lambda c: F.struct("method", F.col(c).alias("stmt"))
+    r = reach(flow.select(at("src").alias("src"), at("tgt").alias("tgt")), cases.select(key.alias("ep"), at("stmt").alias("node")), ends.select(at("stmt").alias("node")), mode="drop")
+    return r.select(F.col("ep.method").alias("method"), F.col("ep.tx").alias("tx"), F.col("node.stmt").alias("stmt"))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

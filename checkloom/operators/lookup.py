@@ -79,3 +79,28 @@ def in_subgraph(methods: DataFrame, table: DataFrame) -> DataFrame:
 def split_sizes(rows: DataFrame, key: str) -> DataFrame:
     """Rows with the size of their key's group: singletons and groups in one pass."""
     return rows.join(rows.groupBy(key).agg(F.count("*").alias("group_size")), key)
+
+
+def ranked_methods(methods: DataFrame) -> DataFrame:
+    """Methods (method, n_eps, checks, depth) by entry points falling, average checks falling, average depth rising."""
+    return methods.orderBy(F.col("n_eps").desc(), F.col("checks").desc(), F.col("depth").asc(), "method")
+
+
+def large_files(files: DataFrame, least: int) -> DataFrame:
+    """(path, ep): files (path, length, text) of over `least` bytes and the entry point that their comment names."""
+    return files.where(F.col("length") > least).select("path", F.regexp_extract("text", r"<!--\s*(<[^>]*>)", 1).alias("ep"))
+
+
+def list_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, name): what one list has more often than the other."""
+    return a.exceptAll(b).select(F.lit("first").alias("side"), "name").union(b.exceptAll(a).select(F.lit("second"), "name"))
+
+
+def invoke_signatures(nodes: DataFrame) -> DataFrame:
+    """(target, n): called signatures and how often."""
+    return nodes.where("kind = 'invoke'").groupBy("target").agg(F.count("*").alias("n"))
+
+
+def predicates_by_kind(starts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(kind, n_eps, n): control predicates by the kind of their statement."""
+    return starts.join(nodes.select("ep", F.col("node").alias("start"), "kind"), ["ep", "start"]).groupBy("kind").agg(F.countDistinct("ep").alias("n_eps"), F.count("*").alias("n"))

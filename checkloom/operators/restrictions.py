@@ -73,6 +73,35 @@ def keep_in_query_subgraph(starts: DataFrame, sources: DataFrame, queries: DataF
     return starts.join(found.distinct(), ["ep", "start"], "left_semi")
 
 
+Entry = Callable[[DataFrame], DataFrame]
+
+
+def all_entries(*entries: Entry) -> Entry:
+    """Starts that every entry keeps. An entry takes and gives a table (ep, start, ..)."""
+    def run(starts):
+        for e in entries:
+            starts = e(starts)
+        return starts
+
+    return run
+
+
+def any_entry(*entries: Entry) -> Entry:
+    """Starts that some entry keeps."""
+    def run(starts):
+        kept = entries[0](starts).select("ep", "start")
+        for e in entries[1:]:
+            kept = kept.unionByName(e(starts).select("ep", "start"))
+        return starts.join(kept.distinct(), ["ep", "start"], "left_semi")
+
+    return run
+
+
+def not_entry(entry: Entry) -> Entry:
+    """Starts that the entry drops."""
+    return lambda starts: starts.join(entry(starts).select("ep", "start"), ["ep", "start"], "left_anti")
+
+
 def keep_loop_header(starts: DataFrame, positions: DataFrame, loops: DataFrame, children: DataFrame) -> DataFrame:
     """Starts at an exit of a loop that is simple, or that test a length, an increment or a listed method directly.
     positions: ep, start, method, idx; loops: method, exit_idx, simple; children: ep, start, child_kind."""
@@ -172,13 +201,13 @@ def used_beside(nodes: DataFrame, edges: DataFrame, kind: str, matcher: Column)
     return run
 
 
-def number_used(nodes: DataFrame, edges: DataFrame, test: Column, cases: DataFrame | None = None) -> Restriction:
-    """Nodes whose user has a numeric operand for which `test` (over du_nodes) holds, or a switch case of `cases`
-    (ep, use) that does; the highest case counts as well."""
+def number_used(nodes: DataFrame, edges: DataFrame, test: Callable[[Column], Column], cases: DataFrame | None = None) -> Restriction:
+    """Nodes whose user has a numeric operand for which `test` holds, or a switch case of `cases` (ep, use, value) for
+    which it does; the highest case counts as well."""
     def run(x):
-        use = edges.join(nodes.where((F.col("kind") == "const") & test).select("ep", F.col("node").alias("def")), ["ep", "def"], "left_semi").select("ep", "use")
+        use = edges.join(nodes.where((F.col("kind") == "const") & test(F.col("const"))).select("ep", F.col("node").alias("def")), ["ep", "def"], "left_semi").select("ep", "use")
         if cases is not None:
-            use = use.unionByName(cases.select("ep", "use"))
+            use = use.unionByName(cases.where(test(F.col("value"))).select("ep", "use"))
         own = edges.join(use.distinct(), ["ep", "use"], "left_semi").select("ep", F.col("def").alias("node")).distinct()
         return x.join(own, ["ep", "node"], "left_semi").select("ep", "start", "node")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checkloom.functions.matcher import member_matcher
+from checkloom.operators.graph import reach
 
 # Visibility words of the list format; m* test the method, c* its class.
 VISIBILITY = ("public", "private", "protected", "default")
@@ -106,10 +107,42 @@ def decide_classes(classes: DataFrame, rules: DataFrame, default: bool = False,
 
 
 def runtime_excluded(entry_points: DataFrame) -> DataFrame:
-    """(ep, node): for each entry point every other entry point of the table (entry_points: ep, stub): one row for each
-    stub and node is enough, joined by the caller on demand."""
-    other = entry_points.select(F.col("ep").alias("node"), "stub")
-    return entry_points.select("ep", "stub").join(other, "stub").where("ep <> node").select("ep", "node")
+    """(stub, node): the entry points of each stub, which every other entry point of the stub excludes: one row each, not
+    one for each pair. `without_runtime_excluded` applies it."""
+    return entry_points.select("stub", F.col("ep").alias("node")).distinct()
+
+
+def without_runtime_excluded(reached: DataFrame, entry_points: DataFrame, special: DataFrame | None = None) -> DataFrame:
+    """Rows (ep, node) whose node is no other entry point of the entry point's stub; special: (ep, node) that binders and
+    callbacks exclude for one entry point."""
+    own = reached.join(entry_points.select("ep", "stub").distinct(), "ep")
+    out = own.join(runtime_excluded(entry_points).withColumn("other", F.lit(True)), ["stub", "node"], "left")
+    out = out.where(F.col("other").isNull() | (F.col("ep") == F.col("node"))).drop("stub", "other")
+    return out if special is None else out.join(special.select("ep", "node").distinct(), ["ep", "node"], "left_anti")
+
+
+def restricted_entry_points(entry_points: DataFrame, edges: DataFrame, stubs: list[str] | None = None, classes: list[str] | None = None) -> DataFrame:
+    """Entry points (ep, stub, class) of the listed stubs or classes and all that these refer to, directly or not, over
+    edges (ep, ref_ep); without lists all of them."""
+    if stubs is None and classes is None:
+        return entry_points
+    seed = entry_points.where(F.col("stub").isin(stubs or []) | F.col("class").isin(classes or [])).select("ep")
+    g = edges.select(F.col("ep").alias("src"), F.col("ref_ep").alias("tgt"))
+    found = reach(g, seed.select(F.lit(0).alias("ep"), F.col("ep").alias("node"))).select(F.col("node").alias("ep"))
+    return entry_points.join(found, "ep", "left_semi")
+
+
+# What a proxy class has that goes through no binder, and packages of proxies that are none.
+UNWANTED_PROXIES = ("android.test.mock.", "com.android.uiautomator.testrunner.")
+GENERATED = ("android.os.IBinder asBinder()", "java.lang.String getInterfaceDescriptor()")
+
+
+def proxy_methods(methods: DataFrame) -> DataFrame:
+    """Methods (class, name, subsig) of proxies that go through the binder."""
+    wanted = ~F.col("subsig").isin(*GENERATED) & ~F.col("name").isin("<init>", "<clinit>") & ~F.col("name").rlike(r"^access\$\d{3}$")
+    for prefix in UNWANTED_PROXIES:
+        wanted = wanted & ~F.startswith("class", F.lit(prefix))
+    return methods.where(wanted)
 
 
 def excluded_edges(edges: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -49,10 +49,11 @@ def event_rows(spark, d) -> DataFrame:
 EVENT_ROWS = "e AS (SELECT DISTINCT concat(user_id, '/', CAST(CAST(ts AS DATE) AS VARCHAR)) AS ep, event_type AS item FROM events)"
 EVENT_BASKETS = EVENT_ROWS + ", b AS (SELECT ep, list_sort(list(item)) AS items FROM e GROUP BY ep)"
 
-ITEMSETS = """sub AS (SELECT list_filter(items, lambda x, i: ((m >> CAST(i - 1 AS INTEGER)) & 1) = 1) AS s FROM (SELECT items, unnest(range(1, CAST(pow(2, len(items)) AS BIGINT))) AS m FROM b)),
-freq AS (SELECT s AS items, count(*) AS support FROM sub GROUP BY s HAVING count(*) >= 2),
+#: Needs WITH RECURSIVE: a basket's subsets grow item by item.
+ITEMSETS = """sub AS (SELECT ep, items, 0 AS k, CAST([] AS VARCHAR[]) AS s FROM b UNION ALL SELECT ep, items, k + 1, u.s FROM (SELECT ep, items, k, unnest([s, list_append(s, items[k + 1])]) AS s FROM sub WHERE k < len(items)) u),
+freq AS MATERIALIZED (SELECT s AS items, count(*) AS support FROM sub WHERE k = len(items) AND len(s) > 0 GROUP BY s HAVING count(*) >= 2),
 smaller AS (SELECT DISTINCT list_filter(items, lambda y: y <> x) AS items, support FROM (SELECT items, support, unnest(items) AS x FROM freq WHERE len(items) > 1)),
-closed AS (SELECT f.* FROM freq f ANTI JOIN smaller s ON f.items = s.items AND f.support = s.support)"""
+closed AS MATERIALIZED (SELECT f.* FROM freq f ANTI JOIN smaller s ON f.items = s.items AND f.support = s.support)"""
 
 RULES = """n AS (SELECT count(*) AS n FROM b),
 cand0 AS (SELECT items AS whole, support, list_filter(items, lambda x, i: ((m >> CAST(i - 1 AS INTEGER)) & 1) = 1) AS lhs FROM (SELECT items, support, unnest(range(1, CAST(pow(2, len(items)) AS BIGINT) - 1)) AS m FROM closed WHERE len(items) >= 2)),

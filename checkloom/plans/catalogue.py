@@ -1,4 +1,4 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables and their SQL; more of them in the modules imported at the end."""
 
 from __future__ import annotations
 
@@ -9,24 +9,11 @@ from checkloom.functions.text import joined_keys, split_words, unbase64_url
 from checkloom.operators import cfg, consistency, graph, joins, lookup, pairs, restrictions, rule_lists
 from checkloom.operators import values as mining
 from checkloom.plans import bindings as B
+from checkloom.plans.registry import ORACLE_SQL, QUERIES, query
 from checkloom.plans.shared import cut
 from checkloom.sources import check_text, reports
 from checkloom.streaming import manifest
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 # --- baskets, look-ups, dumps ---------------------------------------------------------------------------------------
 
 
@@ -45,11 +32,11 @@ def pair_sources(s, d):
     return lookup.pair_sources(B.facts(s, d))
 
 
-@query(f"""WITH {B.FACTS}, x AS (SELECT o_orderpriority AS stub, o_orderkey AS ep, EXISTS (SELECT 1 FROM f WHERE f.ep = o_orderkey AND key = 'R') AS has FROM orders)
+@query("""WITH x AS (SELECT o_orderpriority AS stub, o_orderkey AS ep, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has FROM orders)
 SELECT count(*) AS n_stubs, CAST(sum(CASE WHEN k > 0 THEN 1 ELSE 0 END) AS BIGINT) AS stubs_with, CAST(sum(n) AS BIGINT) AS n_eps, CAST(sum(k) AS BIGINT) AS eps_with FROM (SELECT stub, count(*) AS n, count(*) FILTER (has) AS k FROM x GROUP BY stub)""")
 def stub_stats(s, d):
     eps = B.table(s, d, "orders").select(F.col("o_orderpriority").alias("stub"), F.col("o_orderkey").alias("ep"))
-    return lookup.statistics(eps, B.facts(s, d).where("key = 'R'"))
+    return lookup.statistics(eps, B.facts(s, d))
 
 
 @query(f"WITH {B.FACTS} SELECT source, string_agg(DISTINCT key, '|' ORDER BY key) AS keys FROM f WHERE op1 = 'Brand#2' AND op2 = 'ECONOMY' GROUP BY source")
@@ -113,16 +100,15 @@ def collapse_items(s, d):
     return consistency.collapse(B.event_rows(s, d)).select("class_id", B.text("items").alias("items"), F.size("eps").alias("n_eps"))
 
 
-@query(f"WITH {B.ORDER_BASKETS}, {B.ITEMSETS} SELECT array_to_string(items, ',') AS items, support FROM closed WHERE len(items) >= 2")
+@query(f"WITH RECURSIVE {B.ORDER_BASKETS}, {B.ITEMSETS} SELECT array_to_string(items, ',') AS items, support FROM closed WHERE len(items) >= 2")
 def closed_itemsets(s, d):
-    c = consistency.closed_itemsets(cut(consistency.frequent_itemsets(B.order_baskets(s, d)), "frequent"))
-    return c.where(F.size("items") >= 2).select(B.text("items").alias("items"), "support")
+    return consistency.closed_itemsets(B.order_baskets(s, d), min_size=2).select(B.text("items").alias("items"), "support")
 
 
-@query(f"WITH {B.EVENT_BASKETS}, {B.ITEMSETS} SELECT array_to_string(items, ',') AS items, support FROM closed WHERE len(items) >= 2")
+@query(f"WITH RECURSIVE {B.EVENT_BASKETS}, {B.ITEMSETS} SELECT array_to_string(items, ',') AS items, support FROM closed WHERE len(items) >= 2")
 def closed_itemsets_events(s, d):
     rows = consistency.baskets(B.event_rows(s, d), "ep", "item")
-    return consistency.closed_itemsets(cut(consistency.frequent_itemsets(rows), "frequent")).where(F.size("items") >= 2).select(B.text("items").alias("items"), "support")
+    return consistency.closed_itemsets(rows, min_size=2).select(B.text("items").alias("items"), "support")
 
 
 _NUMBERS = ("confidence", "lift", "conviction", "dconf", "jaccard")
@@ -133,7 +119,7 @@ def _rule_columns(df):
 
 
 _RULE_SQL = "array_to_string(items, ',') AS items, array_to_string(lhs, ',') AS lhs, array_to_string(rhs, ',') AS rhs, support, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NUMBERS)
-_ALL_RULES = f"WITH {B.ORDER_BASKETS}, {B.ITEMSETS}, {B.RULES}"
+_ALL_RULES = f"WITH RECURSIVE {B.ORDER_BASKETS}, {B.ITEMSETS}, {B.RULES}"
 
 
 @query(f"{_ALL_RULES} SELECT {_RULE_SQL} FROM rules")
@@ -182,17 +168,17 @@ def other_eps(s, d):
     return out.select(*[B.text(c).alias(c) for c in ("items", "lhs", "rhs")], B.text(F.transform("eps", lambda x: x.cast("string"))).alias("eps"))
 
 
-@query(f"""WITH b AS (SELECT user_id AS ep, list_sort(list(DISTINCT event_type)) AS items FROM events GROUP BY 1), {B.ITEMSETS}
+@query(f"""WITH RECURSIVE b AS (SELECT user_id AS ep, list_sort(list(DISTINCT event_type)) AS items FROM events GROUP BY 1), {B.ITEMSETS}
 SELECT array_to_string(items, ',') AS items, support, round(support / (SELECT count(*) FROM b), 6) AS share FROM closed WHERE support / (SELECT count(*) FROM b) >= 0.5""")
 def empty_target_itemsets(s, d):
     rows = consistency.baskets(B.table(s, d, "events"), "user_id", "event_type")
-    out = consistency.empty_target_itemsets(rows, cut(consistency.frequent_itemsets(rows), "frequent"))
+    out = consistency.empty_target_itemsets(rows)
     return out.select(B.text("items").alias("items"), "support", F.round("share", 6).alias("share"))
 
 
 _VENDOR = f"""WITH {B.FACTS}, r AS (SELECT source AS ep, key, op2 AS antecedent, list_sort(list(DISTINCT op1)) AS consequent FROM f GROUP BY 1, 2, 3),
-v AS (SELECT * FROM r WHERE key = 'N'), a AS (SELECT * FROM r WHERE key = 'R')
-SELECT v.ep, v.antecedent, array_to_string(list_filter(v.consequent, lambda x: NOT list_contains(a.consequent, x)), ',') AS plus, array_to_string(list_filter(a.consequent, lambda x: NOT list_contains(v.consequent, x)), ',') AS minus,
+v AS (SELECT * FROM r WHERE key <> 'R'), a AS (SELECT * FROM r WHERE key = 'R')
+SELECT v.key AS vendor, v.ep, v.antecedent, array_to_string(list_filter(v.consequent, lambda x: NOT list_contains(a.consequent, x)), ',') AS plus, array_to_string(list_filter(a.consequent, lambda x: NOT list_contains(v.consequent, x)), ',') AS minus,
   array_to_string(list_filter(v.consequent, lambda x: list_contains(a.consequent, x)), ',') AS same FROM v JOIN a ON v.ep = a.ep AND v.antecedent = a.antecedent WHERE v.consequent <> a.consequent"""
 
 
@@ -200,8 +186,8 @@ SELECT v.ep, v.antecedent, array_to_string(list_filter(v.consequent, lambda x: N
 def vendor_diff(s, d):
     r = B.facts(s, d).groupBy(F.col("source").alias("ep"), "key", "op2").agg(F.sort_array(F.collect_set("op1")).alias("consequent"))
     r = r.select("ep", "key", F.concat_ws("/", "key", "op2").alias("rule_id"), F.array("op2").alias("antecedent"), "consequent")
-    out = consistency.vendor_diff(r.where("key = 'N'"), r.where("key = 'R'"))
-    return out.select("ep", F.col("antecedent")[0].alias("antecedent"), *[B.text(c).alias(c) for c in ("plus", "minus", "same")])
+    out = consistency.vendor_diff(r.where("key <> 'R'"), r.where("key = 'R'"))
+    return out.select(F.split("rule_id", "/")[0].alias("vendor"), "ep", F.col("antecedent")[0].alias("antecedent"), *[B.text(c).alias(c) for c in ("plus", "minus", "same")])
 
 
 _NEXT = f"WITH {B.ORDER_BASKETS}, x AS (SELECT p.ep, p.items AS a, q.items AS c FROM b p JOIN b q ON q.ep = p.ep + 1)"
@@ -361,12 +347,13 @@ def size_histogram(s, d):
     return graph.size_histogram(B.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("size")), "size")
 
 
-@query("""WITH x AS (SELECT c_mktsegment AS k, CAST(floor(o_totalprice / 50000) AS BIGINT) AS depth, o_orderkey % 97 AS v FROM orders JOIN customer ON o_custkey = c_custkey), y AS (SELECT *, least(floor(depth * 4 / 11), 3) + 1 AS b FROM x)
-SELECT k, round(sum(v / b) / sum(1 / b), 6) AS average FROM y GROUP BY k""")
+@query("""WITH x AS (SELECT c_mktsegment AS k, CAST(floor(o_totalprice / 50000) AS BIGINT) AS depth FROM orders JOIN customer ON o_custkey = c_custkey), e AS (SELECT max(depth) AS m FROM x),
+b AS (SELECT i, CASE WHEN i = 1 THEN 0 ELSE m * (i - 1) // 4 + 1 END AS lo, m * i // 4 AS hi FROM e, (SELECT unnest([1, 2, 3, 4]) AS i))
+SELECT k, CAST(floor(sum(depth / i) / sum(1 / i) + 0.5) AS INTEGER) AS average FROM x JOIN b ON depth BETWEEN lo AND hi GROUP BY k""")
 def depth_weighted(s, d):
     x = B.table(s, d, "orders").join(B.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    x = x.select(F.col("c_mktsegment").alias("k"), F.floor(F.col("o_totalprice") / 50000).alias("depth"), (F.col("o_orderkey") % 97).alias("v"))
-    return x.groupBy("k").agg(graph.skewed_average(F.col("depth"), F.col("v"), F.lit(10)).alias("average"))
+    x = x.select(F.col("c_mktsegment").alias("k"), F.floor(F.col("o_totalprice") / 50000).alias("depth"))
+    return x.crossJoin(F.broadcast(x.agg(F.max("depth").alias("most")))).groupBy("k").agg(graph.skewed_average(F.col("depth"), F.col("depth"), F.col("most")).alias("average"))
 
 
 _COMMON = f"WITH {B.RING}, o AS (SELECT DISTINCT o_orderpriority AS ep, src, tgt FROM ring JOIN orders ON l_orderkey = o_orderkey), c AS (SELECT src, tgt FROM o GROUP BY 1, 2 HAVING count(*) = (SELECT count(DISTINCT ep) FROM o))"
@@ -458,13 +445,14 @@ def edge_rewrite(s, d):
     return joins.rewrite_edges(B.dag(s, d), t)
 
 
-_OPS = "op AS (SELECT o_custkey % 500 AS expr, l_linenumber AS pos, CAST(l_suppkey % 4 AS VARCHAR) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <= 3 GROUP BY 1, 2, 3)"
+_OPS = "op AS (SELECT DISTINCT l_orderkey AS expr, l_linenumber AS pos, CAST(l_suppkey AS VARCHAR) AS value FROM lineitem)"
 
 
-@query(f"""WITH {_OPS}, a AS (SELECT expr, value AS v1 FROM op WHERE pos = 1), c AS (SELECT expr, value AS v2 FROM op WHERE pos = 2), e AS (SELECT expr, value AS v3 FROM op WHERE pos = 3), k AS (SELECT DISTINCT expr FROM op)
-SELECT k.expr, concat_ws(', ', v1, v2, v3) AS text FROM k LEFT JOIN a ON k.expr = a.expr LEFT JOIN c ON k.expr = c.expr LEFT JOIN e ON k.expr = e.expr""")
+@query(f"""WITH RECURSIVE {_OPS}, n AS (SELECT *, dense_rank() OVER (PARTITION BY expr ORDER BY pos) AS k FROM op), m AS (SELECT expr, max(k) AS m FROM n GROUP BY expr),
+w AS (SELECT expr, k, value AS text FROM n WHERE k = 1 UNION ALL SELECT w.expr, n.k, concat(w.text, ', ', n.value) FROM w JOIN n ON n.expr = w.expr AND n.k = w.k + 1)
+SELECT w.expr, w.text FROM w JOIN m ON w.expr = m.expr AND w.k = m.m""")
 def substitution_product(s, d):
-    # binding B10 whole: an order's lines are its operands, suppliers of one line its alternatives; the SQL above is of an older, smaller job
+    # binding B10 whole: an order's lines are its operands, suppliers of one line its alternatives
     x = B.table(s, d, "lineitem").select(F.col("l_orderkey").alias("expr"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").cast("string").alias("value"))
     return joins.substitution_product(x)
 
@@ -488,6 +476,29 @@ def fold_values(s, d):
     )
 
 
+def _wrapped_sql(x: str, bits: int) -> str:
+    """x (a hugeint) wrapped around to so many bits."""
+    turn, half = 1 << bits, 1 << (bits - 1)
+    return f"CAST(((({x}) + {half}) % {turn} + {turn}) % {turn} - {half} AS BIGINT)"
+
+
+_BIG = "SELECT l_orderkey, l_linenumber, CAST(l_partkey AS HUGEINT) * 4611686018427 + l_orderkey AS p, CAST(l_suppkey AS HUGEINT) * 922337203685477 AS q, CAST(2147480000 + l_partkey AS HUGEINT) AS i, CAST(l_suppkey * 1000 AS HUGEINT) AS j FROM lineitem"
+
+
+@query(f"""WITH x AS ({_BIG}) SELECT l_orderkey, l_linenumber, {_wrapped_sql("p * 1000 + q", 64)} AS added, {_wrapped_sql("p - q * 9999", 64)} AS taken, {_wrapped_sql("p * q", 64)} AS product, CAST({_wrapped_sql("i + j", 32)} AS INTEGER) AS int_added,
+  CAST({_wrapped_sql("i * j", 32)} AS INTEGER) AS int_product, CAST({_wrapped_sql("i", 8)} AS TINYINT) AS as_byte, CAST({_wrapped_sql("i", 16)} AS SMALLINT) AS as_short, CAST(i % 65536 AS INTEGER) AS as_char, CAST(NULL AS BIGINT) AS rest, CAST({_wrapped_sql("CAST(-2147483648 AS HUGEINT) * -1", 32)} AS INTEGER) AS quotient FROM x""")
+def fold_overflow(s, d):
+    """Arithmetic beyond the types' ranges wraps around, division by zero is null, with ANSI on or off."""
+    x = B.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 4611686018427 + F.col("l_orderkey")).alias("p"), (F.col("l_suppkey") * 922337203685477).alias("q"), (F.col("l_partkey") + 2147480000).alias("i"), (F.col("l_suppkey") * 1000).cast("int").alias("j"))
+    p, q, i, j = (F.col(c) for c in "pqij")
+    f = lambda op, a, b, t="long": values.fold(op, a, b, t, t, t)
+    i = values.cast_to(i, "int")
+    return x.select(
+        "l_orderkey", "l_linenumber", f("+", f("*", p, F.lit(1000)), q).alias("added"), f("-", p, f("*", q, F.lit(9999))).alias("taken"), f("*", p, q).alias("product"), f("+", i, j, "int").alias("int_added"), f("*", i, j, "int").alias("int_product"),
+        values.cast_to(i, "byte").alias("as_byte"), values.cast_to(i, "short").alias("as_short"), values.cast_to(i, "char").alias("as_char"), f("%", p, p - p).alias("rest"), f("/", F.lit(-2147483648), F.lit(-1), "int").alias("quotient"),
+    )
+
+
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 = 0 THEN 'ALL' WHEN l_partkey % 5 = 1 THEN 'NONE' ELSE CAST(l_partkey AS VARCHAR) END AS a, CASE WHEN l_suppkey % 3 = 0 THEN 'NONE' ELSE CAST(l_suppkey AS VARCHAR) END AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, a, b, CASE WHEN a = 'ALL' OR b = 'ALL' THEN 'ALL' WHEN a = 'NONE' OR b = 'NONE' THEN 'NONE' ELSE concat(a, ' + ', b) END AS value FROM v""")
 def absorb_all(s, d):
@@ -592,3 +603,8 @@ def manifest_changes(s, d):
     o = B.table(s, d, "orders").select(F.col("o_orderkey").alias("key"), "o_orderstatus", "o_totalprice")
     new = o.where("key % 50 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
     return manifest.changes(manifest.table_manifest(o, "key"), manifest.table_manifest(new, "key"), "key")
+
+
+from checkloom.plans import catalogue_facts, catalogue_text  # noqa: E402
+
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogue_facts", "catalogue_text"]

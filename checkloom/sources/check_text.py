@@ -40,7 +40,7 @@ def check_lines(checks: DataFrame) -> DataFrame:
 
 
 def write_checks(checks: DataFrame, path: str) -> None:
-    """One directory for each stub, its package as directories."""
+    """One directory for each stub."""
     check_lines(checks).write.partitionBy("stub").mode("error").text(path)
 
 
@@ -73,5 +73,5 @@ def features(checks: DataFrame) -> DataFrame:
 
 def parse_features(lines: DataFrame) -> DataFrame:
     """(ep, items) of comma-separated feature lines (value): label first, tokens `N_..` dropped."""
-    t = F.transform(F.split("value", ","), F.trim)
+    t = F.transform(F.split("value", ","), lambda x: F.trim(x))
     return lines.select(t[0].alias("ep"), F.sort_array(F.filter(F.slice(t, 2, F.size(t)), lambda x: ~F.startswith(x, F.lit("N_")) & (x != ""))).alias("items"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checkloom.functions.text import signature_parts
 from checkloom.operators.graph import union_all
 
 RULE_SCHEMA = "ep string, rule_id string, antecedent struct<item:array<string>>, consequent struct<item:array<string>>, alternative struct<item:array<string>>, missing struct<item:array<string>>, entrypoints struct<item:array<string>>, support long, confidence double, jaccard double, lift double, conviction double"
@@ -57,6 +58,18 @@ def parse_graphml(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return n, e
 
 
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(id, data) and (src, tgt, data) of any GraphML files under `path`; data maps the names of the file's own keys to
+    values, so no fixed key is needed."""
+    data = "data array<struct<_key:string, _VALUE:string>>"
+    keys = read_xml(spark, path, "key", "_id string, `_attr.name` string").select(F.col("_id").alias("key"), F.col("`_attr.name`").alias("name")).distinct()
+    named = F.broadcast(keys.agg(F.map_from_entries(F.collect_list(F.struct("key", "name"))).alias("names")))
+    pairs = F.map_from_entries(F.transform(F.coalesce("data", F.array().cast("array<struct<_key:string, _VALUE:string>>")), lambda x: F.struct(F.coalesce(F.try_element_at("names", x["_key"]), x["_key"]).alias("k"), x["_VALUE"].alias("v"))))
+    n = read_xml(spark, path, "node", f"_id string, {data}").crossJoin(named).select(F.col("_id").alias("id"), pairs.alias("data"))
+    e = read_xml(spark, path, "edge", f"_source string, _target string, {data}").crossJoin(named).select(F.col("_source").alias("src"), F.col("_target").alias("tgt"), pairs.alias("data"))
+    return n, e
+
+
 def tgf(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(part, value): trivial graph format: nodes, #, edges."""
     mark = nodes.sparkSession.createDataFrame([(1, "#")], "part int, value string")
@@ -93,3 +106,15 @@ def labelled_texts(pages: DataFrame, prefix: str) -> DataFrame:
 def keyed(frames: dict[str, DataFrame]) -> DataFrame:
     """Several databases as one table with a key column."""
     return union_all([df.withColumn("key", F.lit(k)) for k, df in frames.items()])
+
+
+def filter_facts(lines: DataFrame) -> DataFrame:
+    """(form, sig, class, type, name, args) of fact lines (value): `+ MethodSignature <..>` (query), `Method: <..>` (tested),
+    `<..>` (method or field, by its parentheses); other lines are skipped, a wanted line without a signature is an error."""
+    form = F.when(F.startswith("value", F.lit("+")), "query").when(F.startswith("value", F.lit("Method: <")), "tested").when(F.startswith("value", F.lit("<")), "fact")
+    sig = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^\+\s+MethodSignature\s+", ""), r"^Method:\s+", "")
+    x = lines.select(form.alias("form"), sig.alias("sig")).where("form is not null")
+    p = signature_parts(F.col("sig"))
+    ok = F.when(p.isNull(), F.raise_error(F.concat(F.lit("malformed fact: "), F.col("sig")))).otherwise(F.col("sig"))
+    kind = F.when(F.col("form") != "fact", F.col("form")).when(F.contains("sig", F.lit("(")), "method").otherwise("field")
+    return x.select(kind.alias("form"), ok.alias("sig"), p["full_class"].alias("class"), p["type"].alias("type"), p["name"].alias("name"), p["args"].alias("args"))
