@@ -442,10 +442,29 @@ def test_toxicity_held_out(spark):
     r = toxicity.grade(docs, train).join(held, "doc_id").collect()
     assert np.mean([x.toxic == bool(x.label) for x in r]) > 0.93
     assert sum(x.toxic and not x.label for x in r) <= 0.03 * len(r)
+    assert all((x.grade > 0) == x.toxic and 0 <= x.severity <= toxicity.GRADES and x.severity >= x.p_toxic for x in r)
     assert toxicity.grade(docs.limit(0), labels).count() == 0
     assert {x.toxic for x in toxicity.grade(docs.limit(5), labels.limit(0)).collect()} == {False}
-    odd = spark.createDataFrame([(1, None, 1), (1, None, 1), (None, "", 2)], "doc_id long, text string, toxic int")
-    assert toxicity.grade(odd, labels.withColumn("text", F.lit(1))).count() == 3
+    odd = spark.createDataFrame([(1, None, 1), (1, None, 1), (None, "", 2), (3, "word " * 300_000, 3)], "doc_id long, text string, toxic int")
+    assert toxicity.grade(odd, labels.withColumn("text", F.lit(1))).count() == 4
+
+
+def test_ordinal_regression_orders_grades():
+    """Grades from a noisy scale of its own, not from the features: shared weights, ordered bounds, monotone severity."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(3000):
+        bad, worse = int(rng.poisson(0.5)), int(rng.poisson(0.3))
+        scale = bad + 2 * worse + rng.normal(0, 0.5)
+        rows.append((int(scale > 1.5) + int(scale > 3.5), bool(rng.random() < 0.2), [0] * (bad > 0) + [1] * (worse > 0), [n for n in (bad, worse) if n]))
+    w, b = toxicity.fit([r for r in rows if not r[1]], 2)
+    assert b[0] < b[1] and w[1] > w[0] > 0
+    p = [1 / (1 + np.exp(b - sum(w[f] * np.log1p(n) for f, n in zip(r[2], r[3], strict=True)))) for r in rows]
+    mean = [np.mean([q.sum() for q, r in zip(p, rows, strict=True) if r[0] == g]) for g in range(3)]
+    assert mean[0] < mean[1] < mean[2]
+    held = toxicity.Rows([r for r in rows if r[1]])
+    threshold = toxicity.best_threshold(held.first(w, b), held.grade > 0)
+    assert np.mean((held.first(w, b) >= threshold) == (held.grade > 0)) > 0.85
 
 
 # --- 8 urls ----------------------------------------------------------------------------------------------------------
