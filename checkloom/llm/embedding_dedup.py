@@ -1,8 +1,9 @@
 """Embedding near-dedup: all pairs of vectors with cosine of THRESHOLD or more, by PCA-ordered tiled comparison.
 
-Equal vectors are one class with a weight. Classes are ordered along the first principal axis and cut into tiles; two
-tiles are compared unless their ranges on that axis are too far apart for the threshold. In a pair of tiles the leading
-dimensions are accumulated first: leading dot product plus product of the suffix norms bounds the cosine, and a pair
+Equal vectors are one class with a weight. Classes are ordered along the first principal axis and cut into tiles, BLOCK
+neighbouring tiles make a block. Blocks whose ranges on that axis are near enough for the threshold meet, so that a tile
+travels once for each near block, not for each near tile; of two blocks, tiles are compared unless their boxes on the
+BOX leading axes are too far apart. In a pair of tiles the leading dimensions are accumulated first: leading dot product plus product of the suffix norms bounds the cosine, and a pair
 stops when the bound is below the threshold; what is left goes on over STEPS to the exact double-precision cosine of
 the given vectors. The axes come from a sample of SAMPLE vectors; they decide the order of the work, never the result.
 A tile pair returns counts and a spanning forest of its links, so a group of g near copies gives O(g) rows a tile pair.
@@ -26,6 +27,8 @@ from checkloom.llm.common import components, cut
 
 THRESHOLD = 0.95
 TILE = 2048
+BLOCK = 4
+BOX = 8
 SAMPLE = 4096
 #: Shares of the variance that the leading dimensions of each step hold.
 STEPS = (0.45, 0.7)
@@ -120,26 +123,42 @@ def _nodes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(range(node, node + len(k)), pa.int64()), pa.array(k, pa.binary())], ["node", "key"])
 
 
-def similar_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, steps: list[int], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs of unit rows with cosine >= threshold (i < j if same)."""
-    ra, rb = a @ axes, b @ axes
-    sq = lambda r: np.sqrt(np.maximum(0, np.cumsum((r * r)[:, ::-1], 1)[:, ::-1]))
-    na, nb = sq(ra), sq(rb)
-    p, d = steps[0], a.shape[1]
-    lead_a = np.concatenate([ra[:, :p], na[:, p : p + 1]] if p < d else [ra], 1).astype(np.float32)
-    lead_b = np.concatenate([rb[:, :p], nb[:, p : p + 1]] if p < d else [rb], 1).astype(np.float32)
-    i, j = np.nonzero(lead_a @ lead_b.T >= threshold - 10 * _EPS)
-    if same:
+class Tile:
+    """A tile's unit vectors, along the principal axes too, and what its pairs need of them."""
+
+    def __init__(self, node: int, raw: bytes, weights: bytes, dim: int, axes: dict):
+        self.node, self.dim, self.weight = node, dim, np.frombuffer(weights, np.int64)
+        self.unit = _units(np.frombuffer(raw).reshape(-1, dim))
+        v, var = axes.get(dim) or (np.eye(dim), np.ones(dim))
+        share = np.cumsum(var) / max(var.sum(), 1e-300)
+        self.steps = sorted({min(dim, int(np.searchsorted(share, s)) + 1) for s in STEPS})
+        self.turned = self.unit @ v
+        self.rest = np.sqrt(np.maximum(0, np.cumsum((self.turned**2)[:, ::-1], 1)[:, ::-1]))
+        p = self.steps[0]
+        self.lead = np.concatenate([self.turned[:, :p], self.rest[:, p : p + 1]] if p < dim else [self.turned], 1).astype(np.float32)
+        self.low, self.high = self.turned[:, :BOX].min(0), self.turned[:, :BOX].max(0)
+
+    def near(self, other: Tile, reach: float) -> bool:
+        if self.dim != other.dim:
+            return False
+        gap = np.maximum(0, np.maximum(self.low - other.high, other.low - self.high))
+        return float(gap @ gap) <= reach * reach
+
+
+def similar_pairs(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of rows of two tiles with cosine >= threshold (i < j if they are one)."""
+    i, j = np.nonzero(a.lead @ b.lead.T >= threshold - 10 * _EPS)
+    if a is b:
         i, j = i[i < j], j[i < j]
-    for q in steps[1:]:
+    for q in a.steps[1:]:
         keep = []
         for s in range(0, len(i), 200_000):
             x, y = i[s : s + 200_000], j[s : s + 200_000]
-            keep.append(np.einsum("ij,ij->i", ra[x, :q], rb[y, :q]) + (na[x, q] * nb[y, q] if q < d else 0) >= threshold - _EPS)
+            keep.append(np.einsum("ij,ij->i", a.turned[x, :q], b.turned[y, :q]) + (a.rest[x, q] * b.rest[y, q] if q < a.dim else 0) >= threshold - _EPS)
         if keep:
             k = np.concatenate(keep)
             i, j = i[k], j[k]
-    exact = [np.einsum("ij,ij->i", a[i[s : s + 200_000]], b[j[s : s + 200_000]]) >= threshold for s in range(0, len(i), 200_000)]
+    exact = [np.einsum("ij,ij->i", a.unit[i[s : s + 200_000]], b.unit[j[s : s + 200_000]]) >= threshold for s in range(0, len(i), 200_000)]
     k = np.concatenate(exact) if exact else np.zeros(0, bool)
     return i[k], j[k]
 
@@ -162,48 +181,46 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(k, int(label[k])) for k in np.flatnonzero(label != np.arange(n)).tolist()]
 
 
-def _compare(axes, threshold):
+def _links(a: Tile, b: Tile, threshold: float) -> list[tuple[int, int, int]]:
+    """Rows (0, node, links' weight) and (1, node, node) of two tiles."""
+    i, j = similar_pairs(a, b, threshold)
+    if not len(i):
+        return []
+    parts, base = ([a], 0) if a is b else ([a, b], len(a.unit))
+    weight = np.concatenate([t.weight for t in parts])
+    ids = np.concatenate([np.arange(t.node, t.node + len(t.unit)) for t in parts])
+    n = np.bincount(i, weight[base + j], len(ids)) + np.bincount(base + j, weight[i], len(ids))
+    out = [(0, int(ids[k]), int(n[k])) for k in np.flatnonzero(n)]
+    return out + [(1, int(ids[x]), int(ids[y])) for x, y in forest(i, base + j, len(ids))]
+
+
+def _compare(axes, threshold, reach):
     def run(batches):
-        key, first = None, None
+        """Rows come sorted by pair of blocks, the first block's tiles before the second's."""
+        key, held = None, []
         for batch in batches:
-            out_k, out_a, out_b = [], [], []
-            for lo, hi, tile, dim, node, raw, weights in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "tile", "dim", "node", "raw", "weights")), strict=True):
-                me = (node, _units(np.frombuffer(raw).reshape(-1, dim)), np.frombuffer(weights, np.int64), dim)
-                if lo != hi and (lo, hi) != key:
-                    key, first = (lo, hi), me
-                    continue
-                other, same = (me, True) if lo == hi else (first, False)
-                if other[3] != me[3]:
-                    continue
-                v, var = axes.get(dim) or (np.eye(dim), np.ones(dim))
-                share = np.cumsum(var) / max(var.sum(), 1e-300)
-                steps = sorted({min(dim, int(np.searchsorted(share, s)) + 1) for s in STEPS})
-                i, j = similar_pairs(other[1], me[1], v, steps, threshold, same)
-                if not len(i):
-                    continue
-                base = 0 if same else len(other[1])
-                weight = np.concatenate([other[2], me[2]][same:])
-                ids = np.concatenate([np.arange(t[0], t[0] + len(t[1])) for t in (other, me)][same:])
-                n = np.bincount(i, weight[base + j], len(ids)) + np.bincount(base + j, weight[i], len(ids))
-                hit = np.flatnonzero(n)
-                out_k += [0] * len(hit)
-                out_a += ids[hit].tolist()
-                out_b += n[hit].astype(np.int64).tolist()
-                tree = forest(i, base + j, len(ids))
-                out_k += [1] * len(tree)
-                out_a += [int(ids[x]) for x, _ in tree]
-                out_b += [int(ids[y]) for _, y in tree]
-            if out_k:
-                yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.int32()), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["kind", "a", "b"])
+            out = []
+            for x, y, block, dim, node, raw, weights in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "block", "dim", "node", "raw", "weights")), strict=True):
+                if (x, y) != key:
+                    key, held = (x, y), []
+                me = Tile(node, raw, weights, dim, axes)
+                if block == x:
+                    held.append(me)
+                if x == y or block == y:
+                    for other in held:
+                        if other.near(me, reach):
+                            out += _links(other, me, threshold)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["kind", "a", "b"])
 
     return run
 
 
-def _tile_pairs(bounds: DataFrame, reach: float) -> DataFrame:
-    """Tiles x <= y of one vector length whose ranges are within `reach`: an equi-join on bins of the axis."""
+def _near_blocks(bounds: DataFrame, reach: float) -> DataFrame:
+    """Blocks x <= y with vectors of one length whose ranges are within `reach`: an equi-join on bins of the axis."""
     at = lambda c, plus=0.0: F.floor((F.col(c) + plus) / reach)
-    one = bounds.select(F.col("tile").alias("x"), "dim", F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"), F.explode(F.sequence(at("lo"), at("hi"))).alias("bin"))
-    two = bounds.select(F.col("tile").alias("y"), "dim", F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), F.explode(F.sequence(at("lo", -reach), at("hi", reach))).alias("bin"))
+    one = bounds.select(F.col("block").alias("x"), "dim", F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"), F.explode(F.sequence(at("lo"), at("hi"))).alias("bin"))
+    two = bounds.select(F.col("block").alias("y"), "dim", F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), F.explode(F.sequence(at("lo", -reach), at("hi", reach))).alias("bin"))
     return one.join(two, ["dim", "bin"]).where((F.col("x") <= F.col("y")) & (F.col("lo_y") <= F.col("hi_x") + reach) & (F.col("lo_x") <= F.col("hi_y") + reach)).select("x", "y").distinct()
 
 
@@ -218,18 +235,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     n = max(1, -(-rows.count() // tile))
     tiles = cut(cls.select("key", "raw", "at", "dim", "weight").repartitionByRange(n, "at").mapInArrow(_tiles(tile), "tile long, dim int, lo double, hi double, node long, raw binary, weights binary, keys binary"), "tiles")
     reach = (2 - 2 * threshold) ** 0.5 + _EPS
-    near = _tile_pairs(tiles.select("tile", "dim", "lo", "hi"), reach)
-    listed = near.withColumn("tile", F.explode(F.array_distinct(F.array("x", "y"))))
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n * n // 8, 20_000))
-    dealt = tiles.drop("keys", "lo", "hi").join(listed, "tile").repartition(width, "x", "y").sortWithinPartitions("x", "y")
-    found = cut(dealt.select("x", "y", "tile", "dim", "node", "raw", "weights").mapInArrow(_compare(axes, threshold), "kind int, a long, b long"), "links")
+    # a range partition is a tile or a few; BLOCK of them are a block
+    tiles = tiles.withColumn("block", F.floor(F.shiftright("tile", 18) / BLOCK))
+    near = _near_blocks(tiles.groupBy("block", "dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), reach)
+    listed = cut(near.withColumn("block", F.explode(F.array_distinct(F.array("x", "y")))), "near")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.drop("keys", "lo", "hi").join(listed, "block").repartition(width, "x", "y").sortWithinPartitions("x", "y", "block")
+    found = cut(dealt.select("x", "y", "block", "dim", "node", "raw", "weights").mapInArrow(_compare(axes, threshold, reach), "kind int, a long, b long"), "links")
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
     comps = components(found.where("kind = 1").select("a", "b"))
     nodes = tiles.select("node", "keys").mapInArrow(_nodes, "node long, key binary")
-    known = nodes.join(names, "key").join(counts, nodes["node"] == counts["a"], "left").join(comps, nodes["node"] == comps["id"], "left")
+    known = nodes.join(cut(names, "names"), "key").join(counts, nodes["node"] == counts["a"], "left").join(comps, nodes["node"] == comps["id"], "left")
     known = known.select("key", "weight", "least", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "node").alias("comp"))
     name = known.groupBy("comp").agg(F.min("least").alias("component_id"))
-    out = rows.select("vec_id", "key").join(known.join(name, "comp").select("key", "weight", "n", "component_id"), "key", "left")
+    known = cut(known.join(name, "comp").select("key", "weight", "n", "component_id"), "known")
+    out = rows.select("vec_id", "key").join(known, "key", "left")
     comp = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     links = F.coalesce(F.col("n") + F.col("weight") - 1, F.lit(0)).cast("long")
     return out.select("vec_id", links.alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -37,7 +37,7 @@ from checkloom.llm.textkit import Words, groups, mix
 WINDOW = 35
 M = 8
 #: A minimiser with more different strings than this is dealt over several tasks.
-BUCKET_STRINGS = 2000
+BUCKET_STRINGS = 500
 _INDEX_BITS = np.uint64(32)
 
 #: A map task sends a string again only after so many others.
