@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from checkloom.llm.common import cut
 from checkloom.llm.textkit import groups
-from checkloom.llm.tokens import codec, tokenizer_json
+from checkloom.llm.tokens import SMALL_MEMO, codec, tokenizer_json
 
 CAPACITY = 2048
 SHARD = 40_000
@@ -40,7 +40,7 @@ PIECES = "slot long, doc_id long, piece int, start long, length long, ids_crc32
 
 def _pieces(source, capacity):
     def run(batches):
-        bpe = codec(source.value, "pieces")
+        bpe = codec(source.value, "pieces", SMALL_MEMO)
         slot = TaskContext.get().partitionId() << 33
         make = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
         for batch in batches:

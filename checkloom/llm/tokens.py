@@ -19,7 +19,8 @@ from pathlib import Path
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-MEMO = 150_000
+#: Pieces that a codec remembers: packing, which shares its workers with other stages of a pipeline, takes fewer.
+MEMO, SMALL_MEMO = 500_000, 150_000
 #: Bytes of a leaf of the tree over a text, and characters of a leaf, and of the longest run that is none, of the tree over a run.
 LEAF = 512
 LONG = 512
@@ -44,7 +45,8 @@ def tokenizer_json(path: str | None = None) -> str:
 
 
 class WordBpe:
-    def __init__(self, source: str):
+    def __init__(self, source: str, room: int = MEMO):
+        self.room = room
         self.tok = Tokenizer.from_str(source)
         self.tok.no_truncation()
         self.tok.no_padding()
@@ -151,7 +153,7 @@ class WordBpe:
 
     def _room(self) -> None:
         for held in (self.memo, self.words):
-            if len(held) > MEMO:
+            if len(held) > self.room:
                 held.clear()
 
     def entries(self, texts: list[bytes], make) -> list[list]:
@@ -216,9 +218,9 @@ _LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(
 
 
 @lru_cache(maxsize=1)
-def codec(source: str, use: str) -> WordBpe:
+def codec(source: str, use: str, room: int = MEMO) -> WordBpe:
     """One codec for a Python worker and use: its memo holds what that use makes of the ids, over all tasks."""
-    return WordBpe(source)
+    return WordBpe(source, room)
 
 
 def decode_names(codec: WordBpe, ids: list[int]) -> str:
