@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from checkloom.plans.shared import cut
 
 
+#: A closure of many levels becomes one table again after so many of them.
+REACH_CUT = 8
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star then one small-star step over undirected edges (a, b), a > b."""
     both = edges.union(edges.select("b", "a"))
@@ -68,6 +72,8 @@ def reach(edges: DataFrame, seeds: DataFrame, excluded: DataFrame | None = None,
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if level % REACH_CUT == 0:
+            seen = cut(seen, "reach")
     return seen.select("ep", "node", "level")
 
 

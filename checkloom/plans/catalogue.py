@@ -571,7 +571,14 @@ def _flow(s, d):
     return x.distinct()
 
 
-@query()
+_FLOW = """WITH RECURSIVE f AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS method, coalesce(lag(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0) AS src, n AS tgt FROM (SELECT o_custkey, o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS n FROM orders)),
+nodes AS (SELECT method, src AS node FROM f UNION SELECT method, tgt FROM f)"""
+# a node dominates another if there is no way from the entry, 0, to the other without it
+_DOMINATORS = _FLOW + """, r AS (SELECT method, node AS skip, CAST(0 AS BIGINT) AS node FROM nodes WHERE node <> 0 UNION SELECT r.method, r.skip, f.tgt FROM r JOIN f ON f.method = r.method AND f.src = r.node WHERE f.tgt <> r.skip),
+dom AS (SELECT a.method, a.node, b.node AS dominator FROM nodes a JOIN nodes b ON a.method = b.method LEFT JOIN r ON r.method = a.method AND r.skip = b.node AND r.node = a.node WHERE a.node = b.node OR b.node = 0 OR r.node IS NULL)"""
+
+
+@query(f"{_DOMINATORS} SELECT method, node, dominator FROM dom")
 def control_flow_dominators(s, d):
     return cfg.dominators(_flow(s, d))
 
@@ -581,18 +588,39 @@ def control_dependence(s, d):
     return cfg.control_dependences(_flow(s, d), closure=True)
 
 
-@query()
+@query(f"""{_DOMINATORS}, body AS (SELECT f.method, f.tgt AS header, f.tgt AS node FROM f JOIN dom ON dom.method = f.method AND dom.node = f.src AND dom.dominator = f.tgt UNION SELECT f.method, f.tgt, f.src FROM f JOIN dom ON dom.method = f.method AND dom.node = f.src AND dom.dominator = f.tgt
+  UNION SELECT b.method, b.header, f.src FROM body b JOIN f ON f.method = b.method AND f.tgt = b.node WHERE b.node <> b.header),
+x AS (SELECT DISTINCT b.method, b.header, b.node FROM body b JOIN f ON f.method = b.method AND f.src = b.node LEFT JOIN body o ON o.method = b.method AND o.header = b.header AND o.node = f.tgt WHERE o.node IS NULL),
+e AS (SELECT method, header, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS exits, count(*) AS n FROM x GROUP BY 1, 2)
+SELECT b.method, b.header, string_agg(CAST(b.node AS VARCHAR), ',' ORDER BY b.node) AS body, coalesce(any_value(e.exits), '') AS exits, coalesce(any_value(e.n), 0) = 1 AS simple FROM body b LEFT JOIN e ON e.method = b.method AND e.header = b.header GROUP BY 1, 2""")
 def natural_loops(s, d):
     x = cfg.loops(_flow(s, d))
     t = lambda c: B.text(F.transform(c, lambda y: y.cast("string"))).alias(c)
     return x.select("method", "header", t("body"), t("exits"), "simple")
 
 
-@query()
+_BOTH_WAYS = _FLOW + """, w AS (SELECT method, src AS a, tgt AS b FROM f UNION SELECT w.method, w.a, f.tgt FROM w JOIN f ON f.method = w.method AND f.src = w.b)"""
+
+
+@query(f"""{_BOTH_WAYS}, m AS (SELECT method, node, node AS o FROM nodes UNION SELECT x.method, x.a, x.b FROM w x JOIN w y ON x.method = y.method AND x.a = y.b AND x.b = y.a),
+g AS (SELECT method, node, string_agg(CAST(o AS VARCHAR), ',' ORDER BY o) AS nodes FROM m GROUP BY 1, 2) SELECT DISTINCT method, nodes FROM g""")
 def strong_components(s, d):
     return cfg.components_of_methods(_flow(s, d)).select("method", B.text(F.transform("nodes", lambda y: y.cast("string"))).alias("nodes"))
 
 
+@query(f"{_BOTH_WAYS} SELECT method, b AS node, a AS before FROM w")
+def predecessors(s, d):
+    """Every node from which a node is reached."""
+    return cfg.predecessors(_flow(s, d))
+
+
+@query(f"""{_FLOW.replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}, p AS (SELECT method, src AS first, [src] AS path, tgt FROM f WHERE tgt >= src UNION ALL SELECT p.method, p.first, list_append(p.path, p.tgt), f.tgt FROM p JOIN f ON f.method = p.method AND f.src = p.tgt WHERE p.tgt > p.first AND NOT list_contains(p.path, p.tgt) AND f.tgt >= p.first)
+SELECT method, array_to_string(path, ',') AS cycle FROM p WHERE tgt = first""")
+def simple_cycles(s, d):
+    """Elementary cycles, each from its least node."""
+    return cfg.cycles(_flow(s, d)).select("method", B.text(F.transform("cycle", lambda y: y.cast("string"))).alias("cycle"))
+
+
 @query("SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*?href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def html_links(s, d):
     return reports.html_links(B.table(s, d, "pages"))

@@ -57,6 +57,68 @@ def test_rules(spark, seed):
     assert got == brute_rules(data)
 
 
+def test_rules_by_group_of_collapsed_items(spark):
+    """Each group is mined on its own; items that always occur together are one class and come back as items."""
+    rng = random.Random(8)
+    data, wanted = [], set()
+    for g in ("x", "y"):
+        own = [(f"{g}{i}", sorted(rng.sample("abcd", rng.randint(1, 3)))) for i in range(9)]
+        wanted |= {(g, *r) for r in brute_rules(own)}
+        # z always comes with a: one class of two items
+        data += [(g, ep, [*items, "z"] if "a" in items else items) for ep, items in own]
+    df = spark.createDataFrame(data, "file string, ep string, items array<string>")
+    found = consistency.rules(df, group="file").collect()
+    plain = lambda x: ",".join(sorted(set(x) - {"z"}))
+    assert {(r.file, plain(r["items"]), plain(r.lhs), plain(r.rhs), r.support, *(round(r[c], 9) for c in ("confidence", "lift", "conviction", "dconf", "jaccard"))) for r in found} == wanted
+    assert all(("a" in s) == ("z" in s) for r in found for s in (r["items"], r.lhs, r.rhs))
+    simple = spark.createDataFrame([("a", "A"), ("z", "A")], "item string, simplified string")
+    kept = consistency.classify_rhs(consistency.rules(df, group="file"), simple, "file").collect()
+    assert all(abs(r.jaccard - len(r.lhs) / len(r["items"])) < 1e-9 for r in kept) and all(sorted([*r.missing, *r.alt]) == sorted(r.rhs) for r in kept)
+    sets = consistency.ranked_itemsets(consistency.closed_itemsets(df, group="file")).collect()
+    assert [(-r.support) for r in sets] == sorted(-r.support for r in sets)
+
+
+def test_closed_sets_of_wide_baskets(spark):
+    """Sixty to eighty items a basket: closed sets are the intersections of baskets that two or more hold."""
+    rng = random.Random(2)
+    base = [set(rng.sample(range(90), 70)) for _ in range(5)]
+    data = [(i, sorted(str(x) for x in base[i % 5] - set(rng.sample(range(90), 3)))) for i in range(7)]
+    got = {(frozenset(r["items"]), r.support) for r in consistency.closed_itemsets(spark.createDataFrame(data, "ep long, items array<string>")).collect()}
+    sets = [frozenset(x) for _, x in data]
+    closed = set()
+    for n in range(2, len(sets) + 1):
+        for c in itertools.combinations(sets, n):
+            both = frozenset.intersection(*c)
+            if both:
+                closed.add((both, sum(both <= t for t in sets)))
+    assert got == closed and max(len(x) for x, _ in data and [(s, 0) for s in sets]) > 60
+
+
+def test_strong_components_of_one_graph(spark):
+    rng = random.Random(6)
+    edges = [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(60)]
+    g = {i: set() for i in range(41)}
+    for a, b in edges:
+        g[a].add(b)
+    want = {(n, max(p)) for p in cfg.strong_components(g) for n in p if len(p) > 1 or n in g[n]}
+    assert set(map(tuple, graph.strong_components(spark.createDataFrame(edges, "src long, tgt long")).collect())) == want
+    assert graph.strong_components(spark.createDataFrame([(1, 2), (2, 3)], "src long, tgt long")).isEmpty()
+
+
+def test_depth_buckets(spark):
+    """The k-th of four buckets ends at floor(10 k / 4); shallow graphs have fewer."""
+    d = spark.range(11).select(F.col("id").alias("d"))
+    assert [r[0] for r in d.orderBy("d").select(graph.depth_bucket(F.col("d"), F.lit(10))).collect()] == [1, 1, 1, 2, 2, 2, 3, 3, 4, 4, 4]
+    assert [r[0] for r in d.where("d <= 2").orderBy("d").select(graph.depth_bucket(F.col("d"), F.lit(2))).collect()] == [1, 1, 1]
+    x = spark.createDataFrame([(1,), (5,), (10,)], "d long").agg(graph.skewed_average(F.col("d"), F.col("d"), F.lit(10))).first()[0]
+    assert x == int((1 / 1 + 5 / 2 + 10 / 4) / (1 + 1 / 2 + 1 / 4) + 0.5)
+
+
+def test_long_chain_has_all_paths(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(56)], "src long, tgt long")
+    assert graph.first_paths(e, spark.createDataFrame([(0, 0)], "ep long, node long")).count() == 57
+
+
 def test_redundancy_equals_greedy(spark):
     rng = random.Random(5)
     data = [("k", "k", ["l"], sorted(rng.sample("abcde", rng.randint(1, 4))), i, 0.9, 0.5, 0.0, 1.0) for i in range(12)]
