@@ -3,6 +3,8 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from checkloom.llm import ngram_join, packing, substring_dedup
 from checkloom.llm.common import cut
 from tests.llm.test_operators import brute_lines, brute_quality, check_packing
@@ -39,3 +41,25 @@ def test_stages(spark):
     key = lambda r: (r.doc_id, r.piece, r.length, r.ids_crc32)
     assert Counter(map(key, whole)) == Counter(map(key, got))
     assert packing.check_layout([(r.sequence_id, r.offset, r.length) for r in whole], 2048) == n
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, repeated rows, extra columns and an empty table: every stage keeps the columns and runs."""
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.where("n_chars > 2000").first().text
+    null = [None] * len(docs.columns)
+    row = dict(zip(docs.columns, null, strict=True))
+    values = {"doc_id": 1, "text": text, "n_chars": len(text)}
+    rows = [tuple(null), tuple({**row, "text": text}.values()), tuple({**row, **values}.values()), tuple({**row, **values}.values()), tuple({**row, "doc_id": 2, "text": ""}.values())]
+    odd = spark.createDataFrame(rows, docs.schema).select("*", *[F.lit(i).alias(c) for i, c in enumerate(("row", "d", "gone", "starts", "k", "q"))])
+    for table in (odd, odd.limit(0)):
+        x = table
+        for name, stage in C.STAGES[:-1]:
+            x = cut(stage(spark, x, SF), name)
+            assert x.columns == table.columns
+        assert x.count() <= (1 if table is odd else 0)
+        packed = C.STAGES[-1][1](spark, x, SF)
+        assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns)
+        assert packed.isEmpty() == x.isEmpty()
