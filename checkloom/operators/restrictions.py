@@ -178,6 +178,23 @@ def used_in_call(nodes: DataFrame, args: DataFrame, pos: int, matcher: Column) -
     return run
 
 
+def argument_is(nodes: DataFrame, args: DataFrame, pos: int, test: Column, inner: Restriction | None = None) -> Restriction:
+    """Calls whose argument `pos` (-1: the receiver) is defined by a node for which `test` (over du_nodes) holds and that
+    `inner` leaves; array elements are followed to their arrays, one hop. Nodes that are no calls go."""
+    def run(x):
+        own = x.join(args.where(F.col("pos") == pos).select("ep", "node", "def"), ["ep", "node"])
+        if "base" in nodes.columns:
+            array = nodes.where("expr_op = 'arrayref'").select("ep", F.col("node").alias("def"), "base")
+            own = own.join(array, ["ep", "def"], "left").withColumn("def", F.coalesce("base", "def")).drop("base")
+        own = own.join(nodes.where(test).select("ep", F.col("node").alias("def")), ["ep", "def"], "left_semi")
+        if inner is not None:
+            left = inner(own.select("ep", "start", F.col("def").alias("node")).distinct()).select("ep", "start", F.col("node").alias("def"))
+            own = own.join(left, ["ep", "start", "def"], "left_semi")
+        return own.select("ep", "start", "node").distinct()
+
+    return run
+
+
 def by_node(nodes: DataFrame, test: Column) -> Restriction:
     """Nodes for which a test over du_nodes holds: field type, method return type, declaring class."""
     return lambda x: x.join(nodes.where(test).select("ep", "node"), ["ep", "node"], "left_semi").select("ep", "start", "node")

@@ -105,6 +105,48 @@ def keep_number_beside(s, d):
     return restrictions.keep_field_use(starts, nodes, edges, F.lit(True), restrictions.number_used(nodes, edges, lambda x: x % 50 == 0, cases))
 
 
+def _args(s, d, edges):
+    """The part is a call's first argument, the supplier its receiver."""
+    const = F.col("def") >= 2_000_000_000_000
+    e = edges.where(const)
+    return e.select("ep", F.col("use").alias("node"), F.when(F.col("def") >= 3_000_000_000_000, -1).otherwise(0).alias("pos"), "def")
+
+
+@query(f"WITH {_L} {_START} WHERE EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND k % 10 = 5 AND p % 4 = 0)")
+def keep_argument(s, d):
+    """Calls whose receiver is one field and whose first argument passes a test."""
+    starts, nodes, edges = _facts(s, d)
+    args = cut(_args(s, d, edges), "args")
+    both = restrictions.sequence_of(restrictions.argument_is(nodes, args, -1, F.col("target") == "s5"), restrictions.argument_is(nodes, args, 0, F.col("const") % 4 == 0))
+    return restrictions.keep_method_return_use(starts, nodes, edges, F.lit(True), both)
+
+
+_FILTER = """<ControlPredicateFilter><And><Not><KeepMethodReturnValueUse Value="(equal-name m7)"/></Not><Or>
+<KeepMethodReturnValueUse Value="(equal-name m5)"><Restrictions UseUnion="false"><IsInArithmeticOp Op="+"/><Restrictions UseUnion="true">
+<IsValueUsedInMethodCall Position="0"><Matcher class="NumberMatcher" Value="(long-mask 1)"/></IsValueUsedInMethodCall><IsDeclaringClassOfMethod DeclaringClass="C2" IncludeSubClasses="false"/></Restrictions></Restrictions></KeepMethodReturnValueUse>
+<KeepFieldValueUse Value="(equal-name s4)"/><KeepNumberConstantUse Value="(long 11)"/></Or></And></ControlPredicateFilter>"""
+
+
+@query(f"WITH {_L} {_START} WHERE NOT EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND k % 10 = 7) AND (EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND k % 10 = 4) OR EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND p = 11))")
+def filter_file(s, d):
+    """A filter file's tree of entries and restrictions; no call is an operand of an arithmetic one here, so that arm is empty."""
+    from checkloom.operators import entries
+
+    starts, nodes, edges = _facts(s, d)
+    member = F.when(F.col("kind") == "invoke", F.concat(F.lit("<a.B: int m"), "target", F.lit("(int)>"))).when(F.col("kind") == "field", F.concat(F.lit("<a.B: int "), "target", F.lit(">")))
+    nodes = nodes.withColumn("target", member)
+    return entries.read_filter(_FILTER, entries.Facts(nodes, edges, args=_args(s, d, edges)))(starts)
+
+
+@query(f"WITH {B.SIGNATURES} SELECT sig FROM m WHERE (contains(class, 'promo') OR class LIKE '%1') AND NOT class LIKE '%2'")
+def query_file(s, d):
+    """A context-query file as one boolean column."""
+    from checkloom.operators import entries
+
+    text = """<ContextQueriesDescriptorDatabase><And><Or><KeepMethodIs Value="(contain-package promo)"/><KeepMethodIs Value="(ends-with-class 1)"/></Or><Not><KeepMethodIs Value="(ends-with-class 2)"/></Not></And></ContextQueriesDescriptorDatabase>"""
+    return entries.keep_methods(text, B.signatures(s, d)).select("sig")
+
+
 @query(f"WITH {B.SIGNATURES} SELECT sig FROM m WHERE contains(class, 'promo')")
 def keep_method_is(s, d):
     return restrictions.keep_method_is(B.signatures(s, d), matcher.member_matcher("(contain-package promo)", F.col("sig"))).select("sig")
