@@ -495,22 +495,21 @@ def test_url_rules(spark):
 
 
 def test_url_models_tell_held_out_urls(spark):
+    """A third of the URLs that rules decide, by models and threshold of the others."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     host, path = url_filter.host_and_path(F.col("url"))
     own = url_filter.fitting_rule(host, path)["verdict"]
     x = pages.select("page_id", (own == "allow").cast("int").alias("accepted"), F.concat(host, path).alias("url")).where("accepted is not null")
-    models = url_filter.train(x.where("page_id % 3 <> 0").select("accepted", "url"))
-    r = url_filter.score(x.where("page_id % 3 = 0").select("accepted", F.col("url").alias("__url")), models).collect()
-    assert np.mean([(a.score >= 0) == bool(a.accepted) for a in r]) > 0.8
+    models = url_filter.train(x.where("page_id % 3 = 0").select("accepted", "url"))
+    threshold = url_filter.calibrate(url_filter.score(x.where("page_id % 3 = 1").select("accepted", F.col("url").alias("__url")), models))
+    r = url_filter.score(x.where("page_id % 3 = 2").select("accepted", F.col("url").alias("__url")), models).collect()
+    assert np.mean([(a.score >= threshold) == bool(a.accepted) for a in r]) > 0.9
 
 
-def test_url_counts_are_exact(spark):
-    """Scores equal those of exact counts, however many different grams there are (SLOTS = 131,072 made them collide)."""
-    rng = random.Random(5)
-    urls = [("".join(rng.choice("0123456789abcdef") for _ in range(60)), k % 2) for k in range(4000)]
-    df = spark.createDataFrame(urls, "url string, accepted int")
+def brute_ratio(rows):
+    """The log-likelihood difference for each character, by counts over rows (url, accepted)."""
     count, nexts = Counter(), {}
-    for u, c in urls:
+    for u, c in rows:
         b = b"\x02" * url_filter.ORDER + u.encode() + b"\x03"
         for i in range(url_filter.ORDER, len(b)):
             for n in range(url_filter.ORDER + 1):
@@ -528,14 +527,49 @@ def test_url_counts_are_exact(spark):
                 q = (count[c, x, b[i]] + k * q) / (count[c, x] + k)
         return q
 
+    def score(u):
+        b = b"\x02" * url_filter.ORDER + u.encode() + b"\x03"
+        steps = range(url_filter.ORDER, len(b)) if u else ()
+        return sum(np.log(p(1, b, i) / p(0, b, i)) for i in steps) / max(1, len(steps))
+
+    return score
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    """Models, held-out fold, threshold and verdicts of a small table, from counts made here."""
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+    urls = [f"http://{word('abc')}.example.com/en/7{word('abc')}" for _ in range(60)] + [f"http://{word('xyz')}.com/en/{word('xyz')}" for _ in range(60)]
+    urls += [f"http://{word(rng.choice(['abc', 'xyz', 'ax']))}.fr/{word(rng.choice(['abc', 'xyz']))}" for _ in range(40)] + [urls[0], None, ""]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    parts = {u: brute_url(u) for u in set(urls)}
+    decided = [(h + p, int(v == "allow")) for h, p, _, v in (parts[u] for u in urls) if v]
+    folds = {r.url: r.fold for r in spark.createDataFrame([(u,) for u, _ in decided], "url string").select("url", F.pmod(F.xxhash64("url"), F.lit(url_filter.FOLDS)).alias("fold")).collect()}
+    held = brute_ratio([(u, c) for u, c in decided if folds[u]])
+    scores = [(c, held(u)) for u, c in decided if not folds[u]]
+    grid = -6 + 12 * np.arange(url_filter.BINS + 1) / url_filter.BINS
+    place = [(c, int((s + 6) / 12 * url_filter.BINS)) for c, s in scores]
+    share = lambda c, k: np.mean([b < k if c else b >= k for x, b in place if x == c])
+    worst = np.array([share(1, k) + share(0, k) for k in range(url_filter.BINS + 1)])
+    best = np.flatnonzero(worst == worst.min())
+    threshold, whole = grid[best[len(best) // 2]], brute_ratio(decided)
+    for r in url_filter.judge(df).collect():
+        host, path, rule, verdict = parts[urls[r.page_id]]
+        assert r.verdict == (verdict or ("allow" if whole(host + path) >= threshold else "block"))
+    assert {r.verdict for r in url_filter.judge(df).where("rule is null").collect()} == {"allow", "block"}
+
+
+def test_url_counts_are_exact(spark):
+    """Scores equal those of exact counts, however many different grams there are (SLOTS = 131,072 made them collide)."""
+    rng = random.Random(5)
+    urls = [("".join(rng.choice("0123456789abcdef") for _ in range(60)), k % 2) for k in range(4000)]
+    df = spark.createDataFrame(urls, "url string, accepted int")
+    brute = brute_ratio(urls)
     some = [u for u, _ in urls[:40]] + ["zz/0123", "", None]
     got = url_filter.score(spark.createDataFrame([(u,) for u in some], "__url string"), url_filter.train(df)).collect()
     assert len(got) == len(some)
     for r in got:
-        b = b"\x02" * url_filter.ORDER + (r["__url"] or "").encode() + b"\x03"
-        steps = range(url_filter.ORDER, len(b)) if r["__url"] else ()
-        want = sum(np.log(p(1, b, i) / p(0, b, i)) for i in steps) / max(1, len(steps))
-        assert abs(r.score - want) < 1e-9
+        assert abs(r.score - brute(r["__url"] or "")) < 1e-9
 
 
 # --- registered queries ----------------------------------------------------------------------------------------------
