@@ -37,7 +37,7 @@ from checkloom.llm.textkit import Words, groups, mix
 WINDOW = 35
 M = 8
 #: A minimiser with more different strings than this is dealt over several tasks.
-BUCKET_STRINGS = 500
+BUCKET_STRINGS = 1000
 _INDEX_BITS = np.uint64(32)
 
 #: A map task sends a string again only after so many others.
@@ -199,7 +199,7 @@ def _each_window(batches):
 
 def _dealt_repeats(marked: DataFrame) -> DataFrame:
     """minimiser, pid, repeats of the strings that came as digests of their windows."""
-    each = marked.where("windows is not null").select("minimiser", "pid", "windows", "n").mapInArrow(_each_window, "digest binary, minimiser long, pid long, i int, n long")
+    each = cut(marked.where("windows is not null").select("minimiser", "pid", "windows", "n").mapInArrow(_each_window, "digest binary, minimiser long, pid long, i int, n long"), "windows")
     twice = cut(each.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"), "twice")
     return each.join(twice, "digest", "left_semi").groupBy("minimiser", "pid").agg(F.sort_array(F.collect_list("i")).alias("repeats"))
 
