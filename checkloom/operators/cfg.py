@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Graph = dict[int, set[int]]
 
@@ -227,3 +228,10 @@ def predecessors(flow: DataFrame) -> DataFrame:
         return sorted({(n, b) for n in g for p in turned[n] for b in post_order(turned, p)})
 
     return _per_method(flow, fn, "method string, node long, before long")
+
+
+def flow_view(flow: DataFrame, logic: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (method, id, color) and edges (method, src, tgt) of methods' flow graphs, statements of `logic` (method, id) red."""
+    n = flow.select("method", F.col("src").alias("id")).union(flow.where("tgt is not null").select("method", "tgt")).distinct()
+    marked = logic.select("method", "id", F.lit("red").alias("mark")).distinct()
+    return n.join(marked, ["method", "id"], "left").select("method", "id", F.coalesce("mark", F.lit("white")).alias("color")), flow.where("tgt is not null").select("method", "src", "tgt").distinct()

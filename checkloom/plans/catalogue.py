@@ -280,11 +280,11 @@ def reach_levels(s, d):
     return graph.reach(B.dag(s, d), B.regions(s, d))
 
 
-@query(f"""WITH RECURSIVE {B.RING}, e AS (SELECT DISTINCT src, tgt FROM ring), w AS (SELECT s_suppkey AS ep, s_suppkey AS node, 0 AS level FROM supplier UNION SELECT w.ep, e.tgt, level + 1 FROM w JOIN e ON w.node = e.src WHERE level < 2)
+@query(f"""WITH RECURSIVE {B.RING}, e AS (SELECT DISTINCT src, tgt FROM ring), w AS (SELECT s_suppkey AS ep, s_suppkey AS node, 0 AS level FROM supplier UNION SELECT w.ep, e.tgt, level + 1 FROM w JOIN e ON w.node = e.src WHERE level < 5)
 SELECT ep, node, min(level) AS level FROM w GROUP BY 1, 2""")
 def reach_depth_limited(s, d):
     seeds = B.table(s, d, "supplier").select(F.col("s_suppkey").alias("ep"), F.col("s_suppkey").alias("node"))
-    return graph.reach(B.ring(s, d), seeds, max_level=2)
+    return graph.reach(B.ring(s, d), seeds, max_level=5)
 
 
 @query(f"""WITH RECURSIVE {B.DAG}, x AS (SELECT concat('c', c_custkey) AS node FROM customer WHERE c_mktsegment = 'HOUSEHOLD'),
@@ -614,7 +614,16 @@ def predecessors(s, d):
     return cfg.predecessors(_flow(s, d))
 
 
-@query(f"""{_FLOW.replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}, p AS (SELECT method, src AS first, [src] AS path, tgt FROM f WHERE tgt >= src UNION ALL SELECT p.method, p.first, list_append(p.path, p.tgt), f.tgt FROM p JOIN f ON f.method = p.method AND f.src = p.tgt WHERE p.tgt > p.first AND NOT list_contains(p.path, p.tgt) AND f.tgt >= p.first)
+@query(f"{_FLOW} SELECT f.method, f.src, f.tgt, CASE WHEN f.src = 2 AND CAST(f.method AS BIGINT) % 2 = 0 THEN 'red' ELSE 'white' END AS color FROM f")
+def flow_view(s, d):
+    """Flow graphs with statements of the logic marked; here the color of where an edge begins."""
+    f = _flow(s, d)
+    logic = f.where("src = 2 and cast(method as bigint) % 2 = 0").select("method", F.col("src").alias("id"))
+    nodes, edges = cfg.flow_view(f, logic)
+    return edges.join(nodes.select("method", F.col("id").alias("src"), "color"), ["method", "src"]).select("method", "src", "tgt", "color")
+
+
+@query(f"""{_FLOW}, p AS (SELECT method, src AS first, [src] AS path, tgt FROM f WHERE tgt >= src UNION ALL SELECT p.method, p.first, list_append(p.path, p.tgt), f.tgt FROM p JOIN f ON f.method = p.method AND f.src = p.tgt WHERE p.tgt > p.first AND NOT list_contains(p.path, p.tgt) AND f.tgt >= p.first)
 SELECT method, array_to_string(path, ',') AS cycle FROM p WHERE tgt = first""")
 def simple_cycles(s, d):
     """Elementary cycles, each from its least node."""

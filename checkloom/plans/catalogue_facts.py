@@ -397,7 +397,7 @@ def forward_predicates(s, d):
 e AS (SELECT concat(unit, '|1') AS src, concat(c_nationkey + 900000000, '|1') AS tgt FROM u JOIN customer ON method = c_custkey UNION ALL SELECT concat(l_orderkey, '|', x), concat(l_suppkey + 800000000, '|0') FROM lineitem, (SELECT unnest([0, 1]) AS x)
   UNION ALL SELECT concat(l_suppkey + 800000000, '|', x), concat(l_partkey + 700000000, '|0') FROM lineitem, (SELECT unnest([0, 1]) AS x) WHERE l_linenumber = 1 UNION ALL SELECT concat(l_suppkey + 800000000, '|0'), concat(s_nationkey + 600000000, '|0') FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 f AS (SELECT DISTINCT src, tgt FROM e), w AS (SELECT o_orderkey AS seed, concat(o_orderkey, '|1') AS node FROM orders UNION SELECT w.seed, f.tgt FROM w JOIN f ON w.node = f.src)
-SELECT DISTINCT seed, regexp_replace(node, '\\|[01]$', '') AS unit FROM w WHERE CAST(regexp_replace(node, '\\|[01]$', '') AS BIGINT) % 2 = 0""")
+SELECT seed, count(DISTINCT u) AS n, min(u) AS least, max(u) AS most FROM (SELECT seed, CAST(regexp_replace(node, '\\|[01]$', '') AS BIGINT) AS u FROM w) WHERE u % 2 = 0 GROUP BY seed""")
 def backward_predicates(s, d):
     """Branches on which orders depend: callers of their customer's method, suppliers that control them, parts that define
     what these use, and exits of calls."""
@@ -408,7 +408,9 @@ def backward_predicates(s, d):
     defs = li.where("l_linenumber = 1").select(sup.alias("unit"), (F.col("l_partkey") + 700000000).alias("on")).distinct()
     exits = li.join(B.table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(sup.alias("call"), (F.col("s_nationkey") + 600000000).cast("bigint").alias("unit")).distinct()
     every = units.select("unit").union(callers.select("call")).union(depends.select("on")).union(defs.select("on")).union(exits.select("unit")).distinct()
-    return graph.backward_predicates(units, units.select("unit"), callers, depends, defs, exits, exits.limit(0), every.where("unit % 2 = 0"))
+    found = graph.backward_predicates(units, units.select("unit"), callers, depends, defs, exits, exits.limit(0), every.where("unit % 2 = 0"))
+    u = F.col("unit").cast("bigint")
+    return found.groupBy("seed").agg(F.count("*").alias("n"), F.min(u).alias("least"), F.max(u).alias("most"))
 
 
 _DU = "lo AS (SELECT DISTINCT concat('o', l_orderkey) AS use, concat('p', l_linenumber, '/', l_orderkey % 20) AS def FROM lineitem), pa AS (SELECT DISTINCT concat('p', l_linenumber, '/', l_orderkey % 20) AS use, concat('s', l_suppkey) AS def FROM lineitem)"
