@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 #: Pieces that a codec remembers: packing, which shares its workers with other stages of a pipeline, takes fewer.
-MEMO, SMALL_MEMO = 500_000, 150_000
+MEMO, SMALL_MEMO = 500_000, 300_000
 #: Bytes of a leaf of the tree over a text, and characters of a leaf, and of the longest run that is none, of the tree over a run.
 LEAF = 512
 LONG = 512
