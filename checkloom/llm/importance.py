@@ -9,7 +9,7 @@ Plan: map tasks turn texts into postings (bucket, document, count) and shuffle t
 block split by a salt so that no block is one task's; packed by groups of at most 256 documents, a posting takes two
 bytes. Ahead of its postings every block gets the bucket counts of both corpora, pre-aggregated by map task: so the one
 pass knows a block's gains, and the corpora's sizes, before the first posting comes, and holds one block's counts only.
-Contributions are pre-added by document in each task and then summed by row. Ranks come from one range-partitioned sort
+Contributions are pre-added by document in each task and then summed, a group at a time. Ranks come from one range-partitioned sort
 of (score, doc_id) and the sizes of its partitions.
 
 Cases: null texts, empty ones and those without words have no features and weight 0; a null doc_id seeds as an empty one
@@ -45,7 +45,7 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BREAK = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 COUNTS, POSTINGS, ROWS = 0, 1, 2
 _SENT = pa.schema([("block", pa.int32()), ("salt", pa.int64()), ("kind", pa.int32()), ("base", pa.int64()), ("payload", pa.binary())])
-_GAINED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("gain", pa.int64())])
+_GAINED = pa.schema([("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("gains", pa.list_(pa.int64()))])
 
 
 class Crc:
@@ -119,7 +119,7 @@ class _Map:
         self.counts = np.zeros(buckets, np.int64)
         self.row = TaskContext.get().partitionId() << 33
         self.groups = 0
-        self.done: list[tuple[int, int | None, int]] = []
+        self.done: list[tuple[int | None, int]] = []
         self._open(self.row)
 
     def _open(self, base: int) -> None:
@@ -130,9 +130,14 @@ class _Map:
         first = np.cumsum([0, *self.owned[:-1]]) + self.before if self.owned else np.zeros(0, np.int64)
         doc, bucket = features(self.words, owner, first, self.n, self.buckets)
         self.counts += np.bincount(bucket, minlength=self.buckets)
-        if self.target or not len(doc):
+        if self.target:
             return None
         self.groups += 1
+        rows = []
+        if self.done:
+            ids, total = zip(*self.done, strict=True)
+            rows.append((-1, self.groups, ROWS, self.base, np.array([[x is not None for x in ids], [x or 0 for x in ids], total], np.int64).tobytes()))
+            self.done = []
         key, count = np.unique(bucket * GROUP + doc, return_counts=True)
         # a count takes one byte, so larger ones take several entries
         times = -(-count // 255)
@@ -141,7 +146,6 @@ class _Map:
         key = np.repeat(key, times)
         bucket, doc, full = key // GROUP, (key % GROUP).astype(np.uint8), full.astype(np.uint8)
         edge = np.searchsorted(bucket, np.arange(0, self.buckets + WIDTH, WIDTH))
-        rows = []
         for block, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
             if b > a:
                 sizes = np.bincount(bucket[a:b] - block * WIDTH, minlength=WIDTH).astype(np.uint32)
@@ -152,8 +156,10 @@ class _Map:
         ids = [None] * batch.num_rows if self.target else batch.column("doc_id").to_pylist()
         for doc_id, text in zip(ids, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             total, tail = 0, []
+            # the parts of a long text are groups of its own row
+            long = len(text or b"") > PART
             for part in parts((text or b"").lower()):
-                if self.owned and (total or self.size > PART or len(self.owned) == GROUP):
+                if self.owned and (long or self.size > PART or len(self.owned) == GROUP):
                     if out := self._close():
                         yield out
                     self._open(self.row)
@@ -164,22 +170,12 @@ class _Map:
                 self.size += len(part)
                 total += len(own)
                 tail = (tail + own)[-(self.n - 1) :] if self.n > 1 else []
-            self.done.append((self.row, doc_id, total))
+            self.done.append((doc_id, total))
             self.row += 1
-            if len(self.done) == HELD:
-                yield self._rows()
-
-    def _rows(self) -> pa.RecordBatch:
-        row, ids, total = zip(*self.done, strict=True)
-        packed = np.array([row, [x is not None for x in ids], [x or 0 for x in ids], total], np.int64)
-        self.done = []
-        return _sent([] if self.target else [(-1, row[0] // HELD, ROWS, 0, packed.tobytes())])
 
     def end(self) -> Iterator[pa.RecordBatch]:
         if out := self._close():
             yield out
-        if self.done:
-            yield self._rows()
         size = np.array([self.counts.sum()])
         counts = [np.concatenate([size, self.counts[a : a + WIDTH]]).tobytes() for a in range(0, self.buckets, WIDTH)]
         yield _sent([(block, salt, COUNTS, int(self.target), c) for block, c in enumerate(counts) for salt in range(self.salts)])
@@ -194,23 +190,25 @@ def gains(s: np.ndarray, t: np.ndarray, size: int, target: int, buckets: int) ->
     return np.array([math.floor(1000 * math.log(float(b + 1) * float(size + buckets) / (float(a + 1) * float(target + buckets)))) for a, b in zip(s.tolist(), t.tolist(), strict=True)], np.int64)
 
 
+def _gained(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_GAINED)], schema=_GAINED)
+
+
 def _contribute(buckets: int):
     def run(batches):
         held: dict[int, np.ndarray] = {}
         here, counts, gain = None, None, None
 
         def send():
-            rows = np.concatenate([base + np.flatnonzero(g) for base, g in held.items()])
-            got = np.concatenate([g[g != 0] for g in held.values()])
+            bases, each = list(held), list(held.values())
             held.clear()
-            nulls = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), nulls, nulls, pa.array(got, pa.int64())], schema=_GAINED)
+            return _gained([(base, None, None, g) for base, g in zip(bases, each, strict=True)])
 
         for batch in batches:
             for block, salt, kind, base, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == ROWS:
-                    row, there, ids, total = np.frombuffer(payload, np.int64).reshape(4, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids, mask=there == 0), pa.array(total), pa.array(np.zeros(len(row), np.int64))], schema=_GAINED)
+                    there, ids, total = np.frombuffer(payload, np.int64).reshape(3, -1)
+                    yield _gained([(base, pa.array(ids, mask=there == 0), total, None)])
                     continue
                 if (block, salt) != here:
                     here, counts, gain = (block, salt), np.zeros((2, 1 + min(WIDTH, buckets - block * WIDTH)), np.int64), None
@@ -233,6 +231,16 @@ def _contribute(buckets: int):
     return run
 
 
+def _reduced(group: pa.Table) -> pa.Table:
+    """The documents of one group, with the sums of their contributions."""
+    weight = np.zeros(GROUP, np.int64)
+    for g in group.column("gains").drop_null().chunks:
+        weight += g.flatten().to_numpy().reshape(-1, GROUP).sum(0)
+    ids, total = (group.column(n).combine_chunks().flatten() for n in ("doc_ids", "n_words"))
+    rows = np.arange(len(ids)) + group.column("base")[0].as_py()
+    return pa.table({"row": rows, "doc_id": ids, "n_words": total, "weight": weight[: len(ids)]})
+
+
 def weights(docs: DataFrame, target: DataFrame, n: int = N, buckets: int = BUCKETS) -> DataFrame:
     """row, doc_id, n_words, n_features, weight: one row per row of `docs`; row tells repeated ones apart."""
     spark = docs.sparkSession
@@ -249,8 +257,8 @@ def weights(docs: DataFrame, target: DataFrame, n: int = N, buckets: int = BUCKE
 
     every = sent(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), False).unionByName(sent(target.select("text"), True))
     dealt = every.repartition("block", "salt").sortWithinPartitions("block", "salt", "kind")
-    gained = dealt.mapInArrow(_contribute(buckets), "row long, doc_id long, n_words long, gain long")
-    out = gained.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("gain").alias("weight"))
+    gained = dealt.mapInArrow(_contribute(buckets), "base long, doc_ids array<long>, n_words array<long>, gains array<long>")
+    out = gained.groupBy("base").applyInArrow(_reduced, "row long, doc_id long, n_words long, weight long")
     runs = sum((F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(1, n)), F.col("n_words"))
     return out.select("row", "doc_id", "n_words", runs.alias("n_features"), "weight")
 

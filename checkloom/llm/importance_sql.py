@@ -1,27 +1,15 @@
-"""DuckDB SQL with the same result as the importance-resampling query.
-
-CRC-32 is linear: that of a string is the exclusive or of what each byte gives by its distance from the end, and of what a
-string of so many zero bytes gives. `crc` has the first by (distance, byte), `zero` the second by length.
-"""
+"""DuckDB SQL with the same result as the importance-resampling query."""
 
+from checkloom.llm.crc_sql import hashed
 from checkloom.llm.importance import BUCKETS
 
-_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
-
 SQL = rf"""
-WITH RECURSIVE bits AS (SELECT b, 0 AS k, CAST(b AS BIGINT) AS c FROM range(256) r(b) UNION ALL SELECT b, k + 1, {_STEP} FROM bits WHERE k < 8),
-tab AS MATERIALIZED (SELECT b, c FROM bits WHERE k = 8),
-w AS MATERIALIZED (SELECT 'd' AS corpus, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+WITH RECURSIVE w AS MATERIALIZED (SELECT 'd' AS corpus, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
   UNION ALL SELECT 't', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
 runs AS (SELECT corpus, doc_id, array_to_string(ws[i:i + k - 1], ' ') AS f FROM (SELECT corpus, doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k))),
 post AS MATERIALIZED (SELECT corpus, doc_id, f, count(*) AS n FROM runs GROUP BY ALL),
-form AS MATERIALIZED (SELECT f, row_number() OVER () AS id, hex(f) AS x FROM (SELECT DISTINCT f FROM post)),
-crc AS (SELECT 0 AS d, b, c FROM tab UNION ALL SELECT d + 1, crc.b, xor(t.c, crc.c >> 8) FROM crc JOIN tab t ON t.b = crc.c & 255 WHERE d < (SELECT max(len(x)) // 2 FROM form)),
-zero AS (SELECT 0 AS n, CAST(4294967295 AS BIGINT) AS c UNION ALL SELECT n + 1, xor(t.c, zero.c >> 8) FROM zero JOIN tab t ON t.b = zero.c & 255 WHERE n < (SELECT max(len(x)) // 2 FROM form)),
-bytes AS (SELECT id, len(x) // 2 - i AS d, CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS INTEGER) AS b FROM (SELECT id, x, unnest(range(1, len(x) // 2 + 1)) AS i FROM form)),
-part AS (SELECT id, bit_xor(crc.c) AS c FROM bytes JOIN crc ON crc.d = bytes.d AND crc.b = bytes.b GROUP BY id),
-bucket AS (SELECT form.f, xor(xor(part.c, zero.c), 4294967295) % {BUCKETS} AS b FROM form JOIN part ON part.id = form.id JOIN zero ON zero.n = len(form.x) // 2),
-own AS MATERIALIZED (SELECT corpus, doc_id, b, sum(n) AS n FROM post JOIN bucket ON bucket.f = post.f GROUP BY ALL),
+{hashed("SELECT DISTINCT f FROM post")},
+own AS MATERIALIZED (SELECT corpus, doc_id, h % {BUCKETS} AS b, sum(n) AS n FROM post JOIN hashed ON hashed.f = post.f GROUP BY ALL),
 size AS (SELECT coalesce(sum(n) FILTER (corpus = 'd'), 0) AS s, coalesce(sum(n) FILTER (corpus = 't'), 0) AS t FROM own),
 gain AS (SELECT b, CAST(floor(1000 * ln((CAST(coalesce(sum(n) FILTER (corpus = 't'), 0) + 1 AS DOUBLE) * CAST(any_value(size.s) + {BUCKETS} AS DOUBLE)) / (CAST(coalesce(sum(n) FILTER (corpus = 'd'), 0) + 1 AS DOUBLE) * CAST(any_value(size.t) + {BUCKETS} AS DOUBLE)))) AS BIGINT) AS g FROM own, size GROUP BY b),
 weight AS (SELECT doc_id, sum(n * g) AS weight, sum(n) AS n FROM own JOIN gain ON gain.b = own.b WHERE corpus = 'd' GROUP BY doc_id),
