@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checkloom.llm import bpe_codec, conversations, conversations_sql, embedding_dedup, html_extract, importance, importance_sql, line_dedup, ngram_join, packing, quality_rules, quality_sql, substring_dedup, toxicity, url_filter
+from checkloom.llm import bpe_codec, conversations, conversations_sql, embedding_dedup, html_extract, importance, importance_sql, line_dedup, ngram_join, packing, quality_rules, quality_sql, secrets, substring_dedup, toxicity, url_filter
 from checkloom.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark, sf_dir):
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
@@ -77,7 +81,7 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM m GROUP BY doc_id
 """
 
-QUERIES = {"op5_html_extraction": op5_html_extraction, "op6_toxicity": op6_toxicity, "op8_url_filter": op8_url_filter, "op4_embedding_dedup": op4_embedding_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op10_bpe_codec": op10_bpe_codec, "op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules, "op12_conversation_repair": op12_conversation_repair, "op13_importance_resampling": op13_importance_resampling}
+QUERIES = {"op5_html_extraction": op5_html_extraction, "op6_toxicity": op6_toxicity, "op8_url_filter": op8_url_filter, "op4_embedding_dedup": op4_embedding_dedup, "op1_best_fit_packing": op1_best_fit_packing, "op10_bpe_codec": op10_bpe_codec, "op3_ngram_join": op3_ngram_join, "op2_substring_dedup": op2_substring_dedup, "op9_line_dedup": op9_line_dedup, "op7_quality_rules": op7_quality_rules, "op11_secret_scan": op11_secret_scan, "op12_conversation_repair": op12_conversation_repair, "op13_importance_resampling": op13_importance_resampling}
 NGRAM_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, CASE WHEN len(ws) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM w)),
