@@ -218,7 +218,8 @@ class Network:
         error = (1 / (1 + np.exp(-np.clip(hidden @ p["o"] + p["b"], -50, 50))) - secret) / len(secret)
         back = error[:, None] * p["o"] * (hidden > 0)
         df = back @ p["h"].T
-        dz = (z == most[zone]) * df[:, : 3 * FILTERS].reshape(-1, FILTERS)[zone]
+        top = (z == most[zone]).astype(float)  # equal windows share what comes back
+        dz = top * (df[:, : 3 * FILTERS].reshape(-1, FILTERS) / np.add.reduceat(top, x.zones))[zone]
         own = zone % 3 == 1
         dz[own] += (df[:, 3 * FILTERS : 4 * FILTERS] / x.lengths[:, None])[zone[own] // 3]
         dz *= z > 0
