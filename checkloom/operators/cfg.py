@@ -5,10 +5,15 @@ A method's flow graph is small, so each is one group of applyInPandas over the t
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from checkloom.operators.graph import reach
+from checkloom.plans.shared import cut
+
 Graph = dict[int, set[int]]
 
 
@@ -79,9 +84,9 @@ def dominators_of(idom: dict[int, int], n: int) -> list[int]:
     return out
 
 
-def control_dependence(g: Graph) -> set[tuple[int, int]]:
-    """(node, branch): node runs or not as branch decides: the frontier of the post-dominator tree. Nodes that reach no
-    exit count as if each cycle's least node could leave."""
+def immediate_post_dominators(g: Graph) -> tuple[Graph, int, dict[int, int]]:
+    """The graph with an exit that all ends lead to, that exit, and node -> immediate post-dominator. Nodes that reach no end
+    count as if each cycle's least node could leave."""
     exit_ = min(g, default=0) - 1
     ends = {n for n, ts in g.items() if not ts}
     turned = reverse(g)
@@ -94,7 +99,12 @@ def control_dependence(g: Graph) -> set[tuple[int, int]]:
     full = {n: set(ts) for n, ts in g.items()} | {exit_: set()}
     for n in ends:
         full[n].add(exit_)
-    ipdom = immediate_dominators(reverse(full), exit_)
+    return full, exit_, immediate_dominators(reverse(full), exit_)
+
+
+def control_dependence(g: Graph) -> set[tuple[int, int]]:
+    """(node, branch): node runs or not as branch decides: the frontier of the post-dominator tree."""
+    full, exit_, ipdom = immediate_post_dominators(g)
     out = set()
     for b, ts in full.items():
         if len(ts) > 1:
@@ -200,6 +210,52 @@ def dominators(flow: DataFrame) -> DataFrame:
     return _per_method(flow, fn, "method string, node long, dominator long")
 
 
+def post_dominators(flow: DataFrame) -> DataFrame:
+    """(method, node, dominator): statements that every way from a node to an end meets, itself included."""
+    def fn(g):
+        _, exit_, ipdom = immediate_post_dominators(g)
+        return [(n, d) for n in g for d in dominators_of(ipdom, n) if d != exit_]
+
+    return _per_method(flow, fn, "method string, node long, dominator long")
+
+
+def join_points(flow: DataFrame) -> DataFrame:
+    """(method, branch, join): where the ways that part at a statement with several successors meet again: their lowest common
+    ancestor in the post-dominator tree. Null if they meet only behind the method's ends."""
+    def fn(g):
+        full, exit_, ipdom = immediate_post_dominators(g)
+        depth: dict[int, int] = {exit_: 0}
+        for n in full:
+            way = []
+            while n not in depth:
+                way.append(n)
+                n = ipdom[n]
+            for m in reversed(way):
+                depth[m] = depth[ipdom[m]] + 1
+
+        def common(a: int, b: int) -> int:
+            while a != b:
+                a, b = (ipdom[a], b) if depth[a] >= depth[b] else (a, ipdom[b])
+            return a
+
+        return [(n, None if (j := reduce(common, ts)) == exit_ else j) for n, ts in full.items() if n != exit_ and len(ts) > 1]
+
+    return _per_method(flow, fn, "method string, branch long, join long").withColumn("join", F.col("join").cast("long"))
+
+
+def branch_blocks(flow: DataFrame, cases: DataFrame) -> DataFrame:
+    """(method, branch, tx, stmt): the statements of each case of a branch (switch or if) before its cases join, which is found
+    from the flow (method, src, tgt). cases: method, branch, tx, stmt (the case's first statement)."""
+    flow = cut(flow.where("tgt is not null"), "flow")
+    joins = join_points(flow).where("join is not null")
+    key = F.struct("method", "branch", "tx")
+    at = lambda c: F.struct("method", F.col(c).cast("long").alias("stmt"))
+    ends = cut(cases.join(joins, ["method", "branch"]).select(key.alias("ep"), at("join").alias("node")), "joins")
+    arcs = cut(flow.select(at("src").alias("src"), at("tgt").alias("tgt")), "flow")
+    r = reach(arcs, cases.select(key.alias("ep"), at("stmt").alias("node")), ends, mode="drop")
+    return r.select("ep.method", "ep.branch", "ep.tx", "node.stmt")
+
+
 def control_dependences(flow: DataFrame, closure: bool = False) -> DataFrame:
     """(method, node, branch), iterated if `closure`."""
     def fn(g):

@@ -224,24 +224,6 @@ def dispatch(calls: DataFrame, methods: DataFrame, parents: DataFrame) -> DataFr
     return found.groupBy("call", "receiver").agg(F.min(F.struct("distance", "method")).alias("m")).select("call", F.col("m.method").alias("target")).distinct()
 
 
-def expansion_count(defs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, n): how many expressions each node of a def-use DAG stands for: the product over its operands of the sum
-    over their definitions; a node without operands counts 1. defs: use, operand, def; roots: node. Exact decimals."""
-    nodes = roots.select("node").union(defs.select(F.col("use").alias("node"))).union(defs.select(F.col("def").alias("node"))).distinct()
-    done = cut(nodes.join(defs.select(F.col("use").alias("node")).distinct(), "node", "left_anti").withColumn("n", F.lit(1).cast("decimal(38,0)")), "count")
-    open_ = cut(nodes.join(done, "node", "left_anti"), "count")
-    while not open_.isEmpty():
-        own = defs.join(open_, defs["use"] == open_["node"]).select("use", "operand", "def")
-        sums = own.join(done, own["def"] == done["node"], "left").groupBy("use", "operand").agg(F.sum("n").alias("s"), F.count("*").alias("all"), F.count("n").alias("known"))
-        ready = sums.groupBy("use").agg(F.collect_list(F.col("s").cast("decimal(38,0)")).alias("s"), F.min(F.col("all") == F.col("known")).alias("ok")).where("ok")
-        product = F.aggregate("s", F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
-        new = cut(ready.select(F.col("use").alias("node"), product.alias("n")), "count")
-        if new.isEmpty():
-            return done
-        done, open_ = done.union(new), cut(open_.join(new, "node", "left_anti"), "count")
-    return done
-
-
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node on a cycle the largest node of its strongly connected component.
 

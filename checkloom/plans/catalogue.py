@@ -462,7 +462,7 @@ def expansion_count(s, d):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     defs = B.table(s, d, "lineitem").select(name("o", "l_orderkey").alias("use"), F.col("l_linenumber").alias("operand"), name("s", "l_suppkey").alias("def")).distinct()
     roots = B.table(s, d, "orders").select(name("o", "o_orderkey").alias("node"))
-    return graph.expansion_count(defs, roots).where("node like 'o%'").select("node", F.col("n").cast("string").alias("n"))
+    return mining.expansion_count(defs, roots).where("node like 'o%'").select("node", F.col("n").cast("string").alias("n"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey + l_suppkey AS BIGINT) AS added, CAST(l_partkey // (l_suppkey + 1) AS BIGINT) AS divided, CAST(l_partkey % (l_suppkey + 1) AS BIGINT) AS rest, CAST(l_partkey << (l_suppkey % 8)::BIGINT AS BIGINT) AS shifted,
@@ -642,6 +642,6 @@ def manifest_changes(s, d):
     return manifest.changes(manifest.table_manifest(o, "key"), manifest.table_manifest(new, "key"), "key")
 
 
-from checkloom.plans import catalogue_facts, catalogue_text  # noqa: E402
+from checkloom.plans import catalogue_depth, catalogue_facts, catalogue_text  # noqa: E402
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalogue_facts", "catalogue_text"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalogue_depth", "catalogue_facts", "catalogue_text"]

@@ -1,11 +1,13 @@
 import itertools
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from checkloom.operators import cfg, consistency, graph, joins, lookup, pairs, restrictions, rule_lists
+from checkloom.functions import phrases
+from checkloom.operators import cfg, consistency, graph, joins, lookup, order, pairs, restrictions, rule_lists
 from checkloom.operators import values as mining
 from checkloom.plans.stages import Registry, Stage
 from checkloom.sources import check_text, reports
@@ -164,7 +166,7 @@ def test_reach(spark):
 
 def test_expansion_and_values(spark):
     defs = spark.createDataFrame([("t", 0, "a"), ("t", 0, "b"), ("t", 1, "c"), ("a", 0, "x"), ("a", 0, "y"), ("loop", 0, "loop"), ("up", 0, "loop"), ("n", 0, None)], "use string, operand int, def string")
-    n = dict(map(tuple, graph.expansion_count(defs.where("def is not null and use not in ('loop', 'up')"), spark.createDataFrame([("t",)], "node string")).collect()))
+    n = dict(map(tuple, mining.expansion_count(defs.where("def is not null and use not in ('loop', 'up')"), spark.createDataFrame([("t",)], "node string")).select("node", "n").collect()))
     assert n["t"] == 3 and n["a"] == 2 and n["x"] == 1
     nodes = spark.createDataFrame([("t", "{0}+{1}", True), ("a", "f({0})", True), ("b", "B", True), ("c", "C", False), ("x", "X", True), ("y", "Y", True), ("loop", "g({0})", True), ("up", "h({0})", True), ("n", "k({0})", True)], "node string, pattern string, allowed boolean")
     v = {r.node: sorted(r["values"]) for r in mining.resolve(nodes, defs).collect()}
@@ -172,6 +174,33 @@ def test_expansion_and_values(spark):
     assert {r.node: r["values"] for r in mining.resolve(nodes, defs, limit=1).collect()}["t"] == ["ALL"]
 
 
+def test_values_of_missing_nodes_cycles_and_braces(spark):
+    """A definition without a node ends in ALL (it never ended before), values that spell placeholders are not filled again, a
+    root's values are made alone, and the sets' simplification is that of arrays."""
+    nodes = spark.createDataFrame([("t", "{0}|{1}", True), ("v", "{1}", True), ("w", "Z", True), ("m", "f({0})", True), ("a", "a{0}", True), ("b", "b{0}", True), ("p", "{0}", True), ("n7", "7", True), ("d", "D", False), ("q", "{0}", True), ("nul", "NULL", True)], "node string, pattern string, allowed boolean")
+    defs = spark.createDataFrame([("t", 0, "v"), ("t", 1, "w"), ("m", 0, "gone"), ("a", 0, "b"), ("b", 0, "a"), ("b", 1, "w"), ("p", 0, "n7"), ("p", 0, "d"), ("q", 0, "nul"), ("q", 0, "w"), ("q", 0, "a")], "use string, operand int, def string")
+    want = {"t": ["{1}|Z"], "v": ["{1}"], "w": ["Z"], "m": ["f(ALL)"], "a": ["ALL"], "b": ["ALL"], "p": ["ALL"], "n7": ["7"], "d": ["ALL"], "q": ["ALL", "Z"], "nul": ["NULL"], "gone": ["ALL"]}
+    assert {r.node: r["values"] for r in mining.resolve(nodes, defs).collect()} == want
+    only = mining.expand(mining.factored(nodes, defs), spark.createDataFrame([("q",), ("m",)], "node string"))
+    assert rows(only) == Counter([("q", "ALL"), ("q", "Z"), ("m", "f(ALL)")])
+
+
+def test_expansion_counts_beyond_decimals_and_on_cycles(spark):
+    """Seven levels of cubes of ten: 10^1093 at the top, exact up to 38 digits; cycles and what leads to them are endless."""
+    arcs = [(f"l{i}", k, f"l{i + 1}x{j}") for i in range(7) for k in range(3) for j in range(10)] + [(f"l{i + 1}x{j}", 0, f"l{i + 1}") for i in range(6) for j in range(10)]
+    arcs += [("c1", 0, "c2"), ("c2", 0, "c1"), ("over", 0, "c1"), ("over", 1, "leaf"), ("self", 0, "self")]
+    got = {r.node: r for r in mining.expansion_count(spark.createDataFrame(arcs, "use string, operand int, def string"), spark.createDataFrame([("alone",)], "node string")).collect()}
+    digits, want = 0, {}
+    for i in range(6, -1, -1):
+        digits = 3 * (digits + 1)
+        want[f"l{i}"] = digits
+    for node, d in want.items():
+        assert got[node].n == (10**d if d < 38 else None) and abs(got[node].log10 - d) < 1e-6 and not got[node].endless
+    assert (got["alone"].n, got["leaf"].n) == (1, 1)
+    assert all(got[x].endless and got[x].n is None and got[x].log10 == float("inf") for x in ("c1", "c2", "over", "self"))
+    assert len(got) == len({x for a in arcs for x in (a[0], a[2])}) + 1
+
+
 def brute_dominators(g, root):
     reach = lambda skip: set(cfg.post_order({k: {t for t in v if t != skip} for k, v in g.items()}, root)) if skip != root else set()
     full = set(cfg.post_order(g, root))
@@ -307,3 +336,89 @@ def test_products_have_no_limit(spark):
     tops = spark.createDataFrame([("o", "f({0}, {1}, {2})", True)], "node string, pattern string, allowed boolean")
     defs = spark.range(3 * 47).selectExpr("'o' AS use", "CAST(id % 3 AS int) AS operand", "concat('s', id) AS def")
     assert mining.resolve(leaves.union(tops), defs).where("node = 'o'").select(F.size("values")).first()[0] == 47**3
+
+
+def test_phrase_rules_against_regular_expressions(spark):
+    """Random phrases by random patterns: one walk says what a regular expression for each pattern says, also with more patterns
+    than one mask has bits and with automata that must be split."""
+    rng = random.Random(8)
+    words = ["get", "has", "user", "id", "is", "x", "a", "b"]
+    pieces = [("{w}", "{w}"), ("({w}|{v} {w})", "(?:{w}|{v} {w})"), ("{w}?", "(?:{w} )?"), ("*", r"(?:\\S+ )*")]
+
+    def pattern():
+        ours, theirs = [], []
+        for _ in range(rng.randint(1, 4)):
+            a, b = rng.choice(pieces)
+            w, v = rng.choice(words), rng.choice(words)
+            ours.append(a.format(w=w, v=v))
+            theirs.append(b.replace("\\\\", "\\").format(w=w, v=v) + ("" if a in ("{w}?", "*") else " "))
+        start, end = rng.random() < 0.4, rng.random() < 0.4
+        return ("^" if start else "") + " ".join(ours) + ("$" if end else ""), ("^ " if start else " ") + "".join(theirs) + ("$" if end else "")
+
+    every = dict(pattern() for _ in range(90))
+    phrases_ = [" ".join(rng.choice([*words, "other"]) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    own = phrases.Phrases(list(every))
+    df = spark.createDataFrame([(p,) for p in phrases_], "t string").withColumn("bits", own.bits(F.split("t", " ")))
+    for r in df.select("t", *[own.hit(F.col("bits"), p).alias(str(i)) for i, p in enumerate(every)]).collect():
+        for i, (p, rx) in enumerate(every.items()):
+            assert r[str(i)] == bool(re.search(rx, f" {r.t} ")), (r.t, p, rx)
+    for wrong in ("", "^", "(a", "a)", "?", "a ^b", "(a|b c"):
+        with pytest.raises(phrases.PhraseError):
+            phrases.compiled([wrong])
+
+
+def test_phrase_rules_of_names(spark):
+    rules = phrases.read_rules(["// comment", "", "first: ^get * id$ ; in com.a com.b ; not-in mock ; except com.a.K.getOwnId", "second: user ; unless ^is", "third: *"])
+    names = spark.createDataFrame([("com.a.X", "getUserId"), ("com.a.mock", "getUserId"), ("com.a.K", "getOwnId"), ("org", "isUser"), (None, "get_user"), ("com.b", None), ("com.b", "getID")], "package string, name string")
+    got = {(r.package, r.name): r.rule for r in phrases.classify(names, rules).collect()}
+    assert got == {("com.a.X", "getUserId"): "first", ("com.a.mock", "getUserId"): "second", ("com.a.K", "getOwnId"): "third", ("org", "isUser"): "third", (None, "get_user"): "second", ("com.b", None): None, ("com.b", "getID"): "first"}
+    assert phrases.classify(names, []).where("rule is not null").isEmpty()
+    for wrong in ("no colon", "a:", "a: b ; what c", "a: b ; in"):
+        with pytest.raises(phrases.PhraseError):
+            phrases.read_rules([wrong])
+
+
+def test_nested_substitution(spark):
+    """Three levels, a pair in a circle, $1 beside $10, values that spell parameters, a call without arguments."""
+    checks = spark.createDataFrame([
+        ("leaf", "$1", "$10", None, False), ("leaf", "$0 $2", None, None, False), ("mid", "call leaf", None, "leaf", True), ("top", "call mid", None, "mid", False), ("p", "call q", None, "q", True), ("q", "call p", None, "p", True),
+        ("q", "own $0", None, None, False), ("over", "call q", None, "q", True), ("bare", "call leaf", None, "leaf", True), ("lost", "call none", None, "none", True),
+    ], "ep string, op1 string, op2 string, called string, root boolean")
+    ten = [f"v{i}" for i in range(11)]
+    args = spark.createDataFrame([("mid", "leaf", ["$1", *ten[1:]]), ("top", "mid", ["x", "y"]), ("p", "q", ["z"]), ("over", "q", ["w"]), ("over", "q", ["u"])], "ep string, called string, values array<string>")
+    want = [("leaf", "$1", "$10"), ("leaf", "$0 $2", None), ("mid", "v1", "v10"), ("mid", "$1 v2", None), ("top", "call mid", None), ("top", "v1", "v10"), ("top", "y v2", None), ("p", "call q", None), ("q", "call p", None), ("q", "own $0", None), ("over", "call p", None), ("over", "own w", None), ("over", "own u", None), ("bare", "call leaf", None), ("lost", "call none", None)]
+    assert rows(joins.substitute_nested(checks, args)) == Counter(want)
+
+
+def test_descendant_sizes_and_ranks(spark):
+    """Random graphs with cycles, over more than one word of bits, against searches."""
+    rng = random.Random(3)
+    edges = {(ep, rng.randrange(90), rng.randrange(90)) for ep in (0, 1) for _ in range(120)}
+    got = {(r.ep, r.method): (r.n_nodes, r.n_edges) for r in order.descendant_sizes(spark.createDataFrame(list(edges), "ep long, src long, tgt long")).collect()}
+    want = {}
+    for ep in (0, 1):
+        out: dict = {}
+        for e, a, b in edges:
+            if e == ep and b != ep:
+                out.setdefault(a, set()).add(b)
+        for m in {x for e, *ab in edges if e == ep for x in ab}:
+            seen, stack = {m}, [m]
+            while stack:
+                for t in out.get(stack.pop(), ()):
+                    if t not in seen:
+                        seen.add(t)
+                        stack.append(t)
+            want[ep, m] = (len(seen), sum(len(out.get(x, ())) for x in seen))
+    assert got == want
+    with pytest.raises(ValueError):
+        order.ranks(spark.createDataFrame([(1, 2), (2, 1)], "src long, tgt long"), spark.createDataFrame([(1,), (2,)], "node long"))
+
+
+def test_branch_blocks(spark):
+    """A nested if, a case that returns (its branch never joins), an empty case, and a loop inside a case."""
+    flow = [("m", 0, 1), ("m", 0, 2), ("m", 0, 9), ("m", 1, 3), ("m", 1, 4), ("m", 3, 5), ("m", 4, 5), ("m", 5, 9), ("m", 2, 6), ("m", 6, 2), ("m", 6, 9), ("m", 9, 10), ("r", 0, 1), ("r", 0, 2), ("r", 1, 3), ("r", 2, 4)]
+    df = spark.createDataFrame(flow, "method string, src long, tgt long")
+    assert rows(cfg.join_points(df)) == Counter([("m", 0, 9), ("m", 1, 5), ("m", 6, 9), ("r", 0, None)])
+    cases = spark.createDataFrame([("m", 0, 1, 1), ("m", 0, 2, 2), ("m", 0, 3, 9), ("m", 1, 7, 3), ("r", 0, 1, 1)], "method string, branch long, tx long, stmt long")
+    want = [("m", 0, 1, x) for x in (1, 3, 4, 5)] + [("m", 0, 2, x) for x in (2, 6)] + [("m", 1, 7, 3), ("r", 0, 1, 1), ("r", 0, 1, 3)]
+    assert rows(cfg.branch_blocks(df, cases)) == Counter(want)
