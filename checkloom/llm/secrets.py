@@ -141,7 +141,12 @@ def ordinary(docs: DataFrame, size: int = SAMPLE) -> list[Finding]:
                 rows += [(text[max(0, s - BEFORE) : e + AFTER], s - max(0, s - BEFORE), e - max(0, s - BEFORE)) for s, e in words[:few]]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32()))], ["line", "start", "end"])
 
-    sample = docs.where("text is not null").select("text").orderBy(F.xxhash64("text"), F.sha2("text", 256)).limit(size)
+    # the bound is a hash, so that no texts but the sampled ones travel
+    hashed = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    bound = hashed.select("h").distinct().orderBy("h").limit(size).agg(F.max("h")).first()[0]
+    if bound is None:
+        return []
+    sample = hashed.where(F.col("h") <= bound).groupBy("h").agg(F.min("text").alias("text"))
     return [Finding(bytes(r.line), r.start, r.end, False) for r in sample.mapInArrow(run, "line binary, start int, end int").orderBy("line", "start").limit(ORDINARY).collect()]
 
 
