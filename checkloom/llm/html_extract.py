@@ -3,7 +3,7 @@
 A page is cut at block tags into blocks. A block's features are its words and link density, those of the two blocks
 before and after it and of the container it lies in, whether it ends as a sentence does, and where it stands (within an
 article, within elements that HTML names for supporting parts, as a heading or list item, under a class, id or role that
-names a part). A CART tree, trained on the labelled table that `labelled` makes from page plans, tells main text from the
+names a part: `comments`, or `comment-list` unless most of the page's text lies there, as in a `share-price-news`). A CART tree, trained on the labelled table that `labelled` makes from page plans, tells main text from the
 rest. In many plans only link density and neighbours tell the two apart: link lists without nav, comments between
 author and reply links, headings of link lists, pages of bare div elements.
 
@@ -110,34 +110,38 @@ def pieces(page: str):
         yield page[at:], None, "", False
 
 
-def names_part(attributes: str) -> bool:
-    """Whether a class, id or role names a supporting part: one of PARTS as the word that a name begins or ends with."""
+def names_part(attributes: str) -> int:
+    """How plainly a class, id or role names a supporting part: 2 if a whole name is made of words of PARTS (or the element is
+    hidden), 1 if a name begins or ends with one, which may mean other things (share-price), 0 if none does."""
     if HIDDEN.search(attributes):
-        return True
+        return 2
+    most = 0
     for m in ATTRIBUTE.finditer(attributes):
         for token in next((g for g in m.groups()[1:] if g is not None), "").lower().split():
-            words = re.split("[-_]+", token)
-            if words[0] not in _NOT_A_PART and (words[0] in PARTS or words[-1] in PARTS):
-                return True
-    return False
+            words = [w for w in re.split("[-_]+", token) if w]
+            if words and words[0] not in _NOT_A_PART:
+                most = max(most, 2 if all(w in PARTS for w in words) else int(words[0] in PARTS or words[-1] in PARTS))
+    return most
 
 
 class _Open:
     """An open element: what it says about the blocks within."""
 
-    __slots__ = ("article", "container", "part", "support", "tag")
+    __slots__ = ("article", "container", "part", "support", "tag", "within")
 
-    def __init__(self, tag, article, support, part, container):
-        self.tag, self.article, self.support, self.part, self.container = tag, article, support, part, container
+    def __init__(self, tag, article, support, part, container, within):
+        self.tag, self.article, self.support, self.part, self.container, self.within = tag, article, support, part, container, within
 
 
-def blocks(page: str) -> list[tuple[str, tuple]]:
-    """(text, features) of each block in page order."""
-    top = _Open("", 0, 0, 0, 0)
+def blocks(page: str, lift: bool = True) -> list[tuple[str, tuple]]:
+    """(text, features) of each block in page order. lift: a doubtful name of what holds most of the text is none; the labelled
+    table has no such pages, and takes names as they are."""
+    top = _Open("", 0, 0, 0, 0, 0)
     stack, opened = [top], {}
     found: list[tuple] = []
     text: list[str] = []
     boxes = [[0, 0]]  # words and linked words of each container
+    named = [0]  # words that are not linked, outside of supporting elements: of no named part, and of each
     linked = heading = item = 0
     link_depth = -1  # the depth of the open link
     has_article = False
@@ -154,6 +158,7 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
                 hit = min(linked, n)
                 boxes[own.container][0] += n
                 boxes[own.container][1] += hit
+                named[own.within] += (n - hit) * (not own.support)
                 found.append((s, n, hit / n, own, heading, item))
         linked = 0
 
@@ -197,18 +202,22 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
             leave(len(stack) - 1)
         own = stack[-1]
         article, support = own.article, own.support
-        part = own.part or int(bool(attributes) and tag not in ("html", "body") and names_part(attributes))
+        mine = names_part(attributes) if attributes and tag not in ("html", "body") else 0
+        part, within = max(own.part, mine), own.within
         if tag in MAIN_TAGS:
             has_article = True
             article, support = 1, 0
-            part = int(bool(attributes) and names_part(attributes))
+            part, within = mine, within if mine else 0
         elif tag in SUPPORT_TAGS or (tag == "header" and not article):
             support = 1
         container = own.container
         if tag in CONTAINERS:
             container = len(boxes)
             boxes.append([0, 0])
-        stack.append(_Open(tag, article, support, part, container))
+        if mine and not within:
+            within = len(named)
+            named.append(0)
+        stack.append(_Open(tag, article, support, part, container, within))
         opened[tag] = opened.get(tag, 0) + 1
     flush()
     none = ("", 0, 0.0)
@@ -217,7 +226,9 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
         near = [found[j] if 0 <= j < len(found) else none for j in (k - 1, k + 1, k - 2, k + 2)]
         words, links = boxes[own.container]
         place = own.article if has_article else -1
-        out.append((s, (n, density, *[x for b in near for x in b[1:3]], words - links, links / max(1, words), int(bool(_ENDS.search(s))), place, own.support, own.part, hd, it)))
+        # a doubtful name is no part if more text lies in it than in no part, unless the article is elsewhere
+        doubt = lift and own.part == 1 and place != 0 and named[own.within] > named[0]
+        out.append((s, (n, density, *[x for b in near for x in b[1:3]], words - links, links / max(1, words), int(bool(_ENDS.search(s))), place, own.support, int(own.part > 0 and not doubt), hd, it)))
     return out
 
 
@@ -301,16 +312,16 @@ class Plan:
         return "<body>" + top + main + "".join(after) + foot
 
 
-def labelled(pages: int = 1500, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def labelled(pages: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """The labelled table, by rule: features of the blocks of `pages` planned pages, and whether they are main text."""
-    rows = [(f, s[0] == "+") for k in range(pages) for s, f in blocks(Plan(random.Random(seed * 100_003 + k)).page())]
+    rows = [(f, s[0] == "+") for k in range(pages) for s, f in blocks(Plan(random.Random(seed * 100_003 + k)).page(), lift=False)]
     return np.array([f for f, _ in rows], float), np.array([y for _, y in rows], float)
 
 
 class Tree:
     """A CART classifier: Gini impurity, axis-parallel splits, bounded depth and leaf size."""
 
-    def __init__(self, depth: int = 12, leaf: int = 4):
+    def __init__(self, depth: int = 14, leaf: int = 8):
         self.depth, self.leaf, self.root = depth, leaf, None
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Tree:
