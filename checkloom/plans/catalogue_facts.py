@@ -505,20 +505,49 @@ def cyclic_components(s, d):
 # --- mining over groups and collapsed items --------------------------------------------------------------------------
 
 
-@query(f"""WITH {B.FACTS}, b0 AS (SELECT DISTINCT stub, ep, op1 AS item FROM f), g AS (SELECT stub, item, count(*) AS support FROM b0 GROUP BY 1, 2 HAVING count(*) >= 2) SELECT stub, item AS items, support FROM g
-WHERE NOT EXISTS (SELECT 1 FROM b0 x JOIN b0 y ON x.stub = y.stub AND x.ep = y.ep AND y.item <> x.item WHERE x.stub = g.stub AND x.item = g.item GROUP BY y.item HAVING count(*) = g.support)""")
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _by_priority(chain: str, columns: str, source: str) -> str:
+    """The chain of CTEs over baskets `b`, for the orders of each priority on their own."""
+    one = "SELECT '{p}' AS stub, {columns} FROM (WITH RECURSIVE b AS (SELECT l_orderkey AS ep, list_sort(list(DISTINCT p_brand)) AS items FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '{p}' GROUP BY 1), {chain} SELECT * FROM {source}) q{i}"
+    return " UNION ALL ".join(one.format(p=p, i=i, columns=columns, chain=chain, source=source) for i, p in enumerate(_PRIORITIES))
+
+
+def _stub_baskets(s, d):
+    return B.facts(s, d).groupBy("stub", "ep").agg(F.collect_set("op1").alias("items"))
+
+
+@query(_by_priority(B.ITEMSETS, "array_to_string(items, ',') AS items, support", "closed"))
 def closed_items_by_group(s, d):
-    """Closed itemsets of one item, each stub mined on its own."""
-    rows = B.facts(s, d).groupBy("stub", "ep").agg(F.collect_set("op1").alias("items"))
-    return consistency.closed_itemsets(rows, group="stub").where(F.size("items") == 1).select("stub", F.col("items")[0].alias("items"), "support")
+    """Closed itemsets of any size, each stub mined on its own."""
+    return consistency.closed_itemsets(_stub_baskets(s, d), group="stub").select("stub", B.text("items").alias("items"), "support")
+
+
+_SIDES = "array_to_string(items, ',') AS items, array_to_string(lhs, ',') AS lhs, array_to_string(rhs, ',') AS rhs, support, round(confidence, 9) AS confidence, round(lift, 9) AS lift, round(conviction, 9) AS conviction, round(dconf, 9) AS dconf, round(jaccard, 9) AS jaccard"
+
+
+@query(_by_priority(f"{B.ITEMSETS}, {B.RULES}", _SIDES, "rules"))
+def rules_by_group(s, d):
+    """Leave-one-out rules with all their measures, each stub an input of its own."""
+    x = consistency.rules(_stub_baskets(s, d), group="stub")
+    r = lambda c: F.round(c, 9).alias(c)
+    return x.select("stub", *[B.text(c).alias(c) for c in ("items", "lhs", "rhs")], "support", r("confidence"), r("lift"), r("conviction"), r("dconf"), r("jaccard"))
 
 
-@query("""WITH b AS (SELECT l_suppkey AS ep, list_sort(list(DISTINCT l_partkey % 60)) AS items FROM lineitem GROUP BY 1), n AS (SELECT count(*) AS n FROM b)
-SELECT (SELECT n FROM n) AS baskets, max(len(items)) AS widest, count(DISTINCT items) AS distinct_baskets FROM b""")
+@query("""WITH RECURSIVE q AS (SELECT s_nationkey AS ep, p_size AS item, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+w AS (SELECT ep, item, q * sum(q) OVER () > sum(q) OVER (PARTITION BY ep) * sum(q) OVER (PARTITION BY item) AS more FROM q), b AS (SELECT ep, CAST(sum(1::BIGINT << CAST(item - 1 AS BIGINT)) AS BIGINT) AS mask FROM w WHERE more GROUP BY ep),
+c AS (SELECT mask FROM b UNION SELECT c.mask & b.mask FROM c, b WHERE c.mask & b.mask <> 0),
+n AS (SELECT c.mask, count(*) AS support FROM c JOIN b ON b.mask & c.mask = c.mask GROUP BY 1 HAVING count(*) >= 2)
+SELECT array_to_string(list_sort(list_transform(list_filter(range(1, 63), lambda i: (mask >> CAST(i - 1 AS BIGINT)) & 1 = 1), lambda i: CAST(i AS VARCHAR))), ',') AS items, support FROM n""")
 def wide_baskets(s, d):
-    """Baskets of up to sixty items; closed sets of them are found without enumerating subsets."""
-    rows = B.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("ep")).agg(F.collect_set(F.col("l_partkey") % 60).alias("i")).select("ep", F.transform("i", lambda x: x.cast("string")).alias("items"))
-    return rows.agg(F.count("*").alias("baskets"), F.max(F.size("items")).cast("bigint").alias("widest"), F.countDistinct(F.sort_array("items")).alias("distinct_baskets"))
+    """Closed sets of the part sizes that nations sell more of than the average: baskets of some twenty-five of fifty items."""
+    t = lambda n: B.table(s, d, n)
+    q = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("s_nationkey").alias("ep"), F.col("p_size").alias("item")).agg(F.sum("l_quantity").cast("long").alias("q"))
+    q = cut(q, "sizes")
+    x = q.join(q.groupBy("ep").agg(F.sum("q").alias("of_ep")), "ep").join(q.groupBy("item").agg(F.sum("q").alias("of_item")), "item").join(F.broadcast(q.agg(F.sum("q").alias("total"))))  # one row
+    rows = x.where(F.col("q") * F.col("total") > F.col("of_ep") * F.col("of_item")).groupBy("ep").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
+    return consistency.closed_itemsets(rows).select(B.text("items").alias("items"), "support")
 
 
 # --- accessor queries ------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checkloom.functions import phrases
-from checkloom.operators import cfg, consistency, graph, joins, lookup, order, pairs, restrictions, rule_lists
+from checkloom.operators import cfg, closed, consistency, graph, joins, lookup, order, pairs, restrictions, rule_lists
 from checkloom.operators import values as mining
 from checkloom.plans.stages import Registry, Stage
 from checkloom.sources import check_text, reports
@@ -422,3 +422,31 @@ def test_branch_blocks(spark):
     cases = spark.createDataFrame([("m", 0, 1, 1), ("m", 0, 2, 2), ("m", 0, 3, 9), ("m", 1, 7, 3), ("r", 0, 1, 1)], "method string, branch long, tx long, stmt long")
     want = [("m", 0, 1, x) for x in (1, 3, 4, 5)] + [("m", 0, 2, x) for x in (2, 6)] + [("m", 1, 7, 3), ("r", 0, 1, 1), ("r", 0, 1, 3)]
     assert rows(cfg.branch_blocks(df, cases)) == Counter(want)
+
+
+def test_mining_in_tasks_is_mining_by_levels(spark, monkeypatch):
+    """Closed sets and rules do not depend on where a task takes over: every level by joins, or all below single items in
+    tasks; vocabularies of two mask words, groups, repeated baskets, an empty basket, a group of one basket."""
+    rng = random.Random(12)
+    data = [(g, 1000 * k + i, [f"i{x:02}" for x in rng.sample(range(80), rng.randint(1, 9))] if k else [f"i{x:02}" for x in range(80) if rng.random() < 0.08]) for k, g in enumerate("ab") for i in range(60)]
+    data += [("a", 7000 + i, ["i01", "i02", "i70", "i79"]) for i in range(4)] + [("a", 8000, []), ("c", 1, ["i01", "i02"])]
+    df = spark.createDataFrame(data, "file string, ep long, items array<string>")
+
+    def mined():
+        sets = Counter((r.file, tuple(r["items"]), r.support) for r in consistency.closed_itemsets(df, group="file").collect())
+        rules = Counter((r.file, *(tuple(r[c]) for c in ("items", "lhs", "rhs")), r.support, round(r.lift, 9), round(r.dconf, 9)) for r in consistency.rules(df, min_confidence=0.5, group="file").collect())
+        return sets, rules
+
+    in_tasks = mined()
+    monkeypatch.setattr(closed, "TASK_ROWS", 0)
+    assert mined() == in_tasks and len(in_tasks[0]) > 150 and len(in_tasks[1]) > 50
+    for g in "ab":
+        sets = [frozenset(i) for f, _, i in data if f == g]
+        want, todo = set(), [s for s in set(sets) if s]
+        while todo:
+            s = todo.pop()
+            if s and s not in want:
+                want.add(s)
+                todo += [s & t for t in sets]
+        want = {(tuple(sorted(s)), n) for s in want if (n := sum(s <= t for t in sets)) >= 2}
+        assert {(i, n) for f, i, n in in_tasks[0] if f == g} == want
