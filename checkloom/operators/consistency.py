@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from checkloom.operators import closed
+from checkloom.operators.order import placed
 from checkloom.plans.shared import cut
 
 MIN_SUPPORT, MIN_SIZE, MIN_CONFIDENCE = 2, 2, 0.85
@@ -91,8 +92,8 @@ def unmatched_by_form(found: DataFrame, simple: DataFrame) -> DataFrame:
 
 
 def ranked_itemsets(sets: DataFrame) -> DataFrame:
-    """Itemsets by support, then items, both falling."""
-    return sets.orderBy(F.col("support").desc(), F.col("items").desc())
+    """Itemsets with their place by support, then items, both falling."""
+    return placed(sets, F.col("support").desc(), F.col("items").desc())
 
 
 def other_eps(found: DataFrame, rows: DataFrame) -> DataFrame:

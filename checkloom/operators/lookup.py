@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checkloom.functions.text import joined_keys
+from checkloom.operators.order import placed
 
 
 def sources_of(checks: DataFrame, eps: list[str] | None = None, op1: str | None = None, op2: str | None = None) -> DataFrame:
@@ -82,8 +83,9 @@ def split_sizes(rows: DataFrame, key: str) -> DataFrame:
 
 
 def ranked_methods(methods: DataFrame) -> DataFrame:
-    """Methods (method, n_eps, checks, depth) by entry points falling, average checks falling, average depth rising."""
-    return methods.orderBy(F.col("n_eps").desc(), F.col("checks").desc(), F.col("depth").asc(), "method")
+    """Methods (method, n_eps, checks, depth) and their place by entry points falling, average checks falling, average depth
+    rising, method."""
+    return placed(methods, F.col("n_eps").desc(), F.col("checks").desc(), F.col("depth").asc(), F.col("method"))
 
 
 def large_files(files: DataFrame, least: int) -> DataFrame:

@@ -154,6 +154,20 @@ def rule_redundancy(s, d):
     return _rule_columns(consistency.without_redundant(_filtered(s, d)))
 
 
+@query(f"""{_ALL_RULES}, left_out AS (SELECT DISTINCT items, lhs, rhs, unnest(list_filter(items, lambda x: NOT list_contains(lhs, x))) AS item FROM rules)
+SELECT array_to_string(items, ',') AS items, array_to_string(lhs, ',') AS lhs, array_to_string(rhs, ',') AS rhs, substr(item, 1, 7) AS simplified, string_agg(item, ',' ORDER BY item) AS unmatched FROM left_out GROUP BY items, lhs, rhs, substr(item, 1, 7)""")
+def unmatched_by_form(s, d):
+    """What a basket has outside the antecedent, grouped by simplified form."""
+    found = consistency.unmatched_by_form(cut(consistency.rules(B.order_baskets(s, d)), "rules"), _simple(s, d))
+    return found.select(*[B.text(c).alias(c) for c in ("items", "lhs", "rhs", "unmatched")], "simplified")
+
+
+@query(f"""WITH RECURSIVE {B.ORDER_BASKETS}, {B.ITEMSETS} SELECT array_to_string(items, ',') AS items, support, row_number() OVER (ORDER BY support DESC, items DESC) AS place FROM closed WHERE len(items) >= 2""")
+def itemset_ranking(s, d):
+    """Closed itemsets with their place by support, then items."""
+    return consistency.ranked_itemsets(consistency.closed_itemsets(B.order_baskets(s, d), min_size=2)).select(B.text("items").alias("items"), "support", "place")
+
+
 @query(f"{_ALL_RULES} SELECT array_to_string(items, ',') AS items, array_to_string(lhs, ',') AS lhs, array_to_string(rhs, ',') AS rhs, array_to_string(list_filter(items, lambda x: NOT list_contains(lhs, x)), ',') AS unmatched FROM rules")
 def missing_antecedent(s, d):
     return consistency.missing_antecedent(consistency.rules(B.order_baskets(s, d))).select(*[B.text(c).alias(c) for c in ("items", "lhs", "rhs", "unmatched")])

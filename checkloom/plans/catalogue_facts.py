@@ -395,20 +395,26 @@ def forward_predicates(s, d):
 
 @query("""WITH RECURSIVE u AS (SELECT o_orderkey AS unit, o_custkey AS method FROM orders),
 e AS (SELECT concat(unit, '|1') AS src, concat(c_nationkey + 900000000, '|1') AS tgt FROM u JOIN customer ON method = c_custkey UNION ALL SELECT concat(l_orderkey, '|', x), concat(l_suppkey + 800000000, '|0') FROM lineitem, (SELECT unnest([0, 1]) AS x)
-  UNION ALL SELECT concat(l_suppkey + 800000000, '|', x), concat(l_partkey + 700000000, '|0') FROM lineitem, (SELECT unnest([0, 1]) AS x) WHERE l_linenumber = 1 UNION ALL SELECT concat(l_suppkey + 800000000, '|0'), concat(s_nationkey + 600000000, '|0') FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+  UNION ALL SELECT concat(l_suppkey + 800000000, '|', x), concat(l_partkey + 700000000, '|0') FROM lineitem, (SELECT unnest([0, 1]) AS x) WHERE l_linenumber <= 2 UNION ALL SELECT concat(l_suppkey + 800000000, '|0'), concat(s_nationkey + 600000000, '|0') FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  UNION ALL SELECT concat(s_nationkey + 600000000, '|0'), concat(n_regionkey + 500000000, '|0') FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT concat(n_regionkey + 500000000, '|0'), concat(n_nationkey + 400000000, '|0') FROM nation),
 f AS (SELECT DISTINCT src, tgt FROM e), w AS (SELECT o_orderkey AS seed, concat(o_orderkey, '|1') AS node FROM orders UNION SELECT w.seed, f.tgt FROM w JOIN f ON w.node = f.src)
 SELECT seed, count(DISTINCT u) AS n, min(u) AS least, max(u) AS most FROM (SELECT seed, CAST(regexp_replace(node, '\\|[01]$', '') AS BIGINT) AS u FROM w) WHERE u % 2 = 0 GROUP BY seed""")
 def backward_predicates(s, d):
     """Branches on which orders depend: callers of their customer's method, suppliers that control them, parts that define
-    what these use, and exits of calls."""
+    what these use, exits of calls, and calls inside the called."""
     li, sup = B.table(s, d, "lineitem"), F.col("l_suppkey") + 800000000
     units = B.table(s, d, "orders").select(F.col("o_orderkey").alias("unit"), F.col("o_custkey").alias("method"))
     callers = B.table(s, d, "customer").select(F.col("c_custkey").alias("method"), (F.col("c_nationkey") + 900000000).cast("bigint").alias("call"))
     depends = li.select(F.col("l_orderkey").alias("unit"), sup.alias("on")).distinct()
-    defs = li.where("l_linenumber = 1").select(sup.alias("unit"), (F.col("l_partkey") + 700000000).alias("on")).distinct()
+    defs = li.where("l_linenumber <= 2").select(sup.alias("unit"), (F.col("l_partkey") + 700000000).alias("on")).distinct()
     exits = li.join(B.table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(sup.alias("call"), (F.col("s_nationkey") + 600000000).cast("bigint").alias("unit")).distinct()
-    every = units.select("unit").union(callers.select("call")).union(depends.select("on")).union(defs.select("on")).union(exits.select("unit")).distinct()
-    found = graph.backward_predicates(units, units.select("unit"), callers, depends, defs, exits, exits.limit(0), every.where("unit % 2 = 0"))
+    # a nation's exit holds a call of its region, this one calls of its nations' methods
+    n = B.table(s, d, "nation")
+    of = lambda c, base: (F.col(c) + base).cast("bigint")
+    inner = B.table(s, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(of("s_nationkey", 600000000).alias("call"), of("n_regionkey", 500000000).alias("unit"))
+    inner = inner.union(n.select(of("n_regionkey", 500000000), of("n_nationkey", 400000000))).distinct()
+    every = units.select("unit").union(callers.select("call")).union(depends.select("on")).union(defs.select("on")).union(exits.select("unit")).union(inner.select("unit")).distinct()
+    found = graph.backward_predicates(units, units.select("unit"), callers, depends, defs, exits, inner, every.where("unit % 2 = 0"))
     u = F.col("unit").cast("bigint")
     return found.groupBy("seed").agg(F.count("*").alias("n"), F.min(u).alias("least"), F.max(u).alias("most"))
 
@@ -476,7 +482,7 @@ def whole_averages(s, d):
     return x.select("method", graph.whole_average(F.col("t"), F.col("n")).alias("average"))
 
 
-@query("SELECT c_custkey AS method, count(o_orderkey) AS n_eps, CAST(coalesce(sum(o_orderkey % 10), 0) AS BIGINT) AS checks, c_custkey % 3 AS depth FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("SELECT *, row_number() OVER (ORDER BY n_eps DESC, checks DESC, depth, method) AS place FROM (SELECT c_custkey AS method, count(o_orderkey) AS n_eps, CAST(coalesce(sum(o_orderkey % 10), 0) AS BIGINT) AS checks, c_custkey % 3 AS depth FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
 def method_ranking(s, d):
     """Methods ranked by entry points, checks and depth."""
     x = B.table(s, d, "customer").join(B.table(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_custkey").alias("method")).agg(F.count("o_orderkey").alias("n_eps"), F.coalesce(F.sum(F.col("o_orderkey") % 10), F.lit(0)).alias("checks"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checkloom.functions import matcher, predicates, text, values
-from checkloom.operators import consistency, lookup, pairs
+from checkloom.operators import consistency, lookup, order, pairs
 from checkloom.operators import values as mining
 from checkloom.plans import bindings as B
 from checkloom.plans.registry import query
@@ -165,13 +165,8 @@ def sorted_maps(s, d):
 
 @query(f"WITH {B.SIGNATURES} SELECT sig, row_number() OVER (ORDER BY lower(class), class) AS place FROM m")
 def member_places(s, d):
-    """Methods by class, name, arguments and type, case-insensitive first: places by counting those before."""
-    x = B.signatures(s, d).select("sig", "class")
-    key = F.concat_ws("\u0001", F.lower("class"), "class")
-    y = x.select("sig", key.alias("k"))
-    before = y.join(y.select(F.col("k").alias("other")), F.col("other") <= F.col("k")).groupBy("sig").agg(F.count("*").alias("place"))
-    ordered = x.orderBy(*text.member_order(F.col("sig"))).select("sig")
-    return ordered.join(before, "sig").select("sig", "place")
+    """Places of methods by class, name, arguments and type, case-insensitive first."""
+    return order.placed(B.signatures(s, d).select("sig"), *text.member_order(F.col("sig"))).select("sig", "place")
 
 
 @query("""SELECT DISTINCT p_type, p_brand, concat('<a.B: int f(int,java.lang.String)>(..., "', p_type, '")') AS kept, '<a.B: int f(int,java.lang.String)>' AS bare, concat('<a.B: int f(int,java.lang.String)>(ALL, ALL)') AS masked, concat('<a.B: int f(int,java.lang.String)>.x') AS rest FROM part""")
