@@ -35,11 +35,17 @@ STEPS = (0.45, 0.7)
 _EPS = 1e-6
 
 
+def _scaled(a: np.ndarray) -> np.ndarray:
+    """`a` by a power of two, if its squares could over- or underflow: the cosines are the same."""
+    most = np.abs(a).max()
+    return a if 1e-100 < most < 1e100 else np.ldexp(a, -int(np.frexp(most)[1]))
+
+
 def _valid(v) -> np.ndarray | None:
     if v is None or any(x is None for x in v):
         return None
     a = np.asarray(v, np.float64)
-    return a if a.size and np.isfinite(a).all() and np.linalg.norm(a) > 0 and np.isfinite(np.linalg.norm(a)) else None
+    return _scaled(a) if a.size and np.isfinite(a).all() and a.any() else None
 
 
 def _units(vecs: np.ndarray) -> np.ndarray:
@@ -54,9 +60,8 @@ def _rows(column: pa.Array):
         flat, edge = column.values.to_numpy(zero_copy_only=False).astype(np.float64), column.offsets.to_numpy()
         if len(set(np.diff(edge).tolist())) == 1 and edge[1] > edge[0]:
             m = flat[edge[0] : edge[-1]].reshape(len(edge) - 1, -1)
-            norm = np.linalg.norm(m, axis=1)
-            good = np.isfinite(m).all(1) & (norm > 0) & np.isfinite(norm)
-            return [m[i] if good[i] else None for i in range(len(m))]
+            good = np.isfinite(m).all(1) & m.any(1)
+            return [_scaled(m[i]) if good[i] else None for i in range(len(m))]
     return [_valid(v) for v in column.to_pylist()]
 
 
@@ -69,7 +74,8 @@ def _classes(axis):
                 key.append(None if v is None else xxhash.xxh3_128_digest(b))
                 raw.append(b)
                 dim.append(0 if v is None else len(v))
-                at.append(None if v is None else float((v / np.linalg.norm(v)) @ axis[len(v)]) if v is not None and len(v) in axis else 0.0)
+                # a length that the sample has not lies along its own first dimension, which is the first axis of its tiles
+                at.append(None if v is None else float((v / np.linalg.norm(v)) @ axis[len(v)] if len(v) in axis else v[0] / np.linalg.norm(v)))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(key, pa.binary()), pa.array(raw, pa.binary()), pa.array(dim, pa.int32()), pa.array(at, pa.float64())], ["vec_id", "key", "raw", "dim", "at"])
 
     return run

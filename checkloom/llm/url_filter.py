@@ -5,7 +5,7 @@ URLs, are counted over every URL on which a rule decides. A character's probabil
 down to uniform (Witten-Bell). The score is the difference of the log-likelihoods for each character; its threshold is
 calibrated on the held-out fifth of the decided URLs, balancing both error rates. Counts are exact: a table of contexts
 and the characters after them, which grows with the corpus and is aggregated before the shuffle. URLs are scored by
-chunks of 2^CHUNK rows: the distinct windows of a chunk are joined to their log-ratios, which are computed once for each
+chunks of so many rows or bytes: the distinct windows of a chunk are joined to their log-ratios, which are computed once for each
 distinct window, order by order, so that a key has at most ALPHABET rows.
 
 Cases: a null URL or one without `://` has empty host and path, no rule, score 0; very long URLs are scored whole;
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ from checkloom.llm.common import cut
 ORDER = 4
 #: Entries that a task counts before it sends them on.
 HELD = 1 << 18
-CHUNK = 14
+#: Rows and bytes of URLs of a chunk; a longer URL is one alone.
+CHUNK_ROWS, CHUNK_BYTES = 1 << 14, 1 << 20
 ALPHABET = 256
 FOLDS = 5
 BINS = 2000
@@ -124,6 +127,19 @@ def ratios(wanted: DataFrame, models: DataFrame) -> DataFrame:
     return known.select(F.col("lower").alias("window"), F.ln(F.col("q1") / F.col("q0")).alias("d"))
 
 
+def _chunks(batches):
+    """Numbers the chunks of a partition's rows, which are cut by rows and by bytes."""
+    chunk, n, size = TaskContext.get().partitionId() << 33, 0, 0
+    for batch in batches:
+        out = []
+        for b in pc.fill_null(pc.binary_length(batch.column("__url")), 0).to_pylist():
+            if n and (n == CHUNK_ROWS or size + b > CHUNK_BYTES):
+                chunk, n, size = chunk + 1, 0, 0
+            out.append(chunk)
+            n, size = n + 1, size + b
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "__chunk"])
+
+
 def _wanted(batches):
     chunk, held = None, set()
 
@@ -153,11 +169,11 @@ def _score(rows: pa.Table, ratio: pa.Table) -> pa.Table:
 
 def score(rows: DataFrame, models: DataFrame) -> DataFrame:
     """`rows` (with a string column __url) and score, the log-likelihood difference for each character."""
-    chunks = cut(rows.withColumn("__chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK)), "urls")
+    typed = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    chunks = cut(rows.mapInArrow(_chunks, f"{typed}, __chunk long"), "urls")
     wanted = cut(chunks.select("__chunk", "__url").mapInArrow(_wanted, "__chunk long, window binary").distinct(), "windows")
     found = wanted.join(ratios(wanted.select("window").distinct(), models), "window").select("__chunk", "window", "d")
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", score double"
-    return chunks.groupBy("__chunk").cogroup(found.groupBy("__chunk")).applyInArrow(_score, schema)
+    return chunks.groupBy("__chunk").cogroup(found.groupBy("__chunk")).applyInArrow(_score, f"{typed}, score double")
 
 
 def calibrate(scored: DataFrame) -> float:

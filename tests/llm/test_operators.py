@@ -378,6 +378,28 @@ def test_codec(spark, docs, none):
     assert all(r.ids == tok.encode(r.text or "", add_special_tokens=False).ids for r in full.collect())
 
 
+def test_embeddings_of_any_size(spark):
+    """Squares that over- or underflow are no zeros; lengths that the sample lacks lie along their first dimension."""
+    rows = [(1, [1.0, 2.0]), (2, [1e200, 2e200]), (3, [1e-200, 2e-200]), (4, [2.0, -1.0]), (5, [1e-320, 2e-320]), (6, [1e308, -1e308]), (7, [1.0, -1.0]), (8, [0.0, 0.0]), (9, [float("inf"), 1.0]), (10, None), (11, [5.0, 0.1, 0.0]), (12, [1e150, 2e148, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect()}
+    alone = {i: (0, i, True) for i in (4, 8, 9, 10)}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 5: (3, 1, False), 6: (1, 6, True), 7: (1, 6, False), 11: (1, 11, True), 12: (1, 11, False), **alone}
+    bare = embedding_dedup._classes({})
+    import pyarrow as pa
+
+    (out,) = bare([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([v for _, v in rows], pa.list_(pa.float64()))], ["vec_id", "embedding"])])
+    assert len({round(x, 6) for x in out.column("at").to_pylist() if x is not None}) > 3
+
+
+def test_very_long_urls(spark):
+    """Chunks are cut by bytes; a URL of two million characters is scored whole, alone."""
+    long = "http://a.io/" + "abc/" * 500_000
+    rows = [(i, f"http://{h}/{p}/{i}") for i in range(300) for h, p in (("x.com", "en"), ("x.net", "de"), ("x.io", "fr"))] + [(9000, long), (9001, long), (9002, "http://a.io/" + "abc/" * 20), (9003, None)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(2)).where("page_id >= 9000").collect()}
+    assert got[9000].score == got[9001].score and abs(got[9000].score - got[9002].score) < 0.5 and len(got[9000].path) == 2_000_001 and got[9003].score == 0
+
+
 # --- 5 html ----------------------------------------------------------------------------------------------------------
 
 
