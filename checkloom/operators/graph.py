@@ -88,13 +88,16 @@ def reach_back(allowed: DataFrame, sinks: DataFrame) -> DataFrame:
     """(ep, sink, node): nodes from which each sink is reached over the entry point's allowed edges; sinks included."""
     turned = allowed.select("ep", F.col("tgt").alias("s"), F.col("src").alias("t"))
     seen = cut(allowed.select("ep", F.col("tgt").alias("sink")).join(sinks.select("sink"), "sink", "left_semi").distinct().select("ep", "sink", F.col("sink").alias("node")), "back")
-    frontier = seen
+    frontier, level = seen, 0
     while True:
+        level += 1
         step = frontier.join(turned, (frontier["ep"] == turned["ep"]) & (frontier["node"] == turned["s"])).select(frontier["ep"], "sink", F.col("t").alias("node")).distinct()
         frontier = cut(step.join(seen, ["ep", "sink", "node"], "left_anti"), "back")
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if level % REACH_CUT == 0:
+            seen = cut(seen, "back")
 
 
 def depth_sets(edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -121,6 +124,8 @@ def first_paths(edges: DataFrame, seeds: DataFrame, max_level: int | None = None
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+        if level % REACH_CUT == 0:
+            seen = cut(seen, "paths")
     if leaves_only:
         seen = seen.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("ep", "node", "path")
     return seen

@@ -1,7 +1,12 @@
 import itertools
+import os
 import random
 import re
+import shutil
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,13 +313,50 @@ def test_stages(spark, tmp_path):
         reg.add(Stage("one", lambda s, _: s.range(1)))
 
 
-def test_catalogue_runs_without_llm(spark):
+def test_entry_has_a_flagship_and_sql_of_known_queries(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).limit(1).collect()
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_catalogue_without_llm(tmp_path):
+    """A copy of the repository without the subpackage, its tests and the pipeline has all other queries, and none of theirs."""
+    import __spark_entry__ as e
+
+    home = Path(e.__file__).parent
+    shutil.copytree(home / "checkloom", tmp_path / "checkloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(home / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout.splitlines()
+    names, sql = (set(line.split()) for line in out)
+    own = lambda x: {n for n in x if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert names == own(e.queries()) and sql == own(e.oracle_sql()) and len(names) > 150
+    assert not (tmp_path / "checkloom" / "llm").exists()
+
+
+def test_query_command(spark, tmp_path, capsys):
+    """The look-ups of the command line: all checks, some entry points, one check, statistics; two keyed folders."""
+    import base64
+
+    from checkloom import query
+
+    one = spark.createDataFrame([("s1", "<a.B: void f()>", "a", "b"), ("s1", "<a.B: void g()>", "c", None), ("s1", "<a.B: void h()>", None, None)], "stub string, ep string, op1 string, op2 string")
+    two = one.where("op2 is not null").withColumn("stub", F.lit("s2"))
+    check_text.write_checks(one, str(tmp_path / "one"))
+    check_text.write_checks(two, str(tmp_path / "two"))
+    checks = query.load(spark, [f"K1;{tmp_path / 'one'}", f"K2;{tmp_path / 'two'}"])
+    assert {r.key for r in checks.select("key").distinct().collect()} == {"K1", "K2"} and checks.count() == 4
+    got = query.answer(checks.withColumn("stub", F.lit("s"))).collect()
+    assert [(r.ep, r.check, r["keys"]) for r in got] == [("<a.B: void f()>", "{`a`, `b`}", "K1|K2"), ("<a.B: void g()>", "`c`", "K1")]
+    assert query.answer(checks, ["<a.B: void g()>"]).count() == 1 and query.answer(checks, None, "`c`").count() == 1
+    query.main(["-d", str(tmp_path / "one"), "-p", base64.urlsafe_b64encode(b"`c`").decode()])
+    shown = capsys.readouterr().out
+    assert "void g()" in shown and "void f()" not in shown
+    query.main(["-d", str(tmp_path / "one"), "--stats"])
+    assert capsys.readouterr().out.strip()
+
+
 def test_substitution_product_takes_every_operand_and_value(spark):
     from checkloom.plans.catalogue import QUERIES
 
