@@ -400,6 +400,37 @@ def test_very_long_urls(spark):
     assert got[9000].score == got[9001].score and abs(got[9000].score - got[9002].score) < 0.5 and len(got[9000].path) == 2_000_001 and got[9003].score == 0
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_partenum_enumerates_subsets(percent):
+    """Shapes by band: a small set's signatures span several cells, the worst spread of differences leaves more than `spare`
+    equal, and sets at the limit of similarity share a signature wherever their differences lie."""
+    rng, scheme = np.random.default_rng(percent), ngram_join.PartEnum(percent)
+    scheme.band(3000)
+    shapes = [scheme.instance(i) for i in range(len(scheme.his) - 1)]
+    assert any(s.second - s.out > 1 for s in shapes) and all(s.second - s.out >= 1 for s in shapes)
+    for hi, s in zip(scheme.his, shapes, strict=False):
+        k = 2 * (100 - percent) * hi // (100 + percent)
+        equal = lambda d: len([c for c in itertools.combinations(range(s.second), s.out) if set(range(d)) <= set(c)])  # noqa: B023, E731
+        costs = sorted((equal(d) - equal(d + 1) for _ in range(min(s.first, 200)) for d in range(s.out + 1)), reverse=True)
+        if s.first <= 200:
+            assert s.first * equal(0) - sum(costs[:k]) == s.spare + 1 >= 1
+    for size in (1, 2, 4, 7, 12, 20, 33, 60, 150, 500):
+        for _ in range(40):
+            a = rng.integers(0, 2**64, size, np.uint64)
+            gone = int(rng.integers(0, size + 1))
+            new = int(rng.integers(0, size + 1))
+            while size > 1 and 100 * (size - gone) < percent * (size + new):
+                gone, new = (gone - 1, new) if gone and (rng.random() < 0.5 or not new) else (gone, new - 1)
+            if size - gone == 0 or 100 * (size - gone) < percent * (size + new):
+                continue
+            extra = rng.integers(0, 2**64, new, np.uint64)
+            if rng.random() < 0.5:  # all differences in one narrow part of the domain
+                a[:gone] >>= np.uint64(20)
+                extra >>= np.uint64(20)
+            b = np.concatenate([a[gone:], extra])
+            assert set(scheme.signatures(np.unique(a)).tolist()) & set(scheme.signatures(np.unique(b)).tolist()), (size, gone, new)
+
+
 # --- 5 html ----------------------------------------------------------------------------------------------------------
 
 
