@@ -106,6 +106,17 @@ def depth_sets(edges: DataFrame, reached: DataFrame) -> DataFrame:
     return reached.select("ep", "node", F.col("level").alias("depth")).union(again).distinct()
 
 
+def throw_marks(depths: DataFrame, flow: DataFrame, throws: DataFrame, parents: DataFrame, root: str) -> DataFrame:
+    """(ep, method, stmt, type, depths): throws of `root` or of what is below it that leave their method, in the methods of each
+    entry point's closure. depths: ep, node, depth (as from `depth_sets`); flow: method, src, tgt; throws: method, stmt, type;
+    parents: direct (sub, super). A throw that the method itself handles has a successor in its flow and is none."""
+    below = subclasses(parents).where(F.col("super") == root).select(F.col("sub").alias("type")).union(throws.where(F.col("type") == root).select("type")).distinct()
+    led = flow.where("tgt is not null").select("method", F.col("src").alias("stmt")).distinct()
+    own = throws.join(below, "type", "left_semi").join(led, ["method", "stmt"], "left_anti").select("method", "stmt", "type").distinct()
+    at = depths.groupBy("ep", F.col("node").alias("method")).agg(F.sort_array(F.collect_set("depth")).alias("depths"))
+    return at.join(own, "method").select("ep", "method", "stmt", "type", "depths")
+
+
 def on_paths(allowed: DataFrame, sinks: DataFrame) -> DataFrame:
     """(ep, node): nodes on some path from the entry point to a sink (forward closure met by the backward one)."""
     return reach_back(allowed, sinks).select("ep", "node").distinct()

@@ -462,6 +462,22 @@ def _closure(s, d):
     return cut(graph.allowed_edges(e, r), "allowed"), r
 
 
+@query(f"""{_REACH}, dp AS (SELECT ep, node, level AS depth FROM reached UNION SELECT r.ep, g.tgt, r.level + 1 FROM reached r JOIN g ON r.node = g.src), ds AS (SELECT ep, node, string_agg(CAST(depth AS VARCHAR), ',' ORDER BY depth) AS depths FROM dp GROUP BY ALL),
+li AS (SELECT DISTINCT concat('o', l_orderkey) AS method, CAST(l_linenumber AS BIGINT) AS stmt, max(l_suppkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS s, max(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS p FROM lineitem)
+SELECT ep, method, stmt, concat('t', s % 7) AS type, depths FROM li JOIN ds ON ds.node = li.method WHERE s % 7 IN (0, 2, 3, 6) AND (p % 3 = 0 OR stmt = (SELECT max(stmt) FROM li o WHERE o.method = li.method))""")
+def throw_marks(s, d):
+    """Throws of the checked type, or of what is below it, that leave their order's method; others are handled or of other types."""
+    from pyspark.sql import Window as W
+
+    _, reached = _closure(s, d)
+    li = cut(B.table(s, d, "lineitem").groupBy(_name("o", "l_orderkey").alias("method"), F.col("l_linenumber").cast("bigint").alias("stmt")).agg(F.max("l_suppkey").alias("s"), F.max("l_partkey").alias("p")), "throws")
+    flow = li.select("method", F.col("stmt").alias("src"), F.when(F.col("p") % 3 != 0, F.lead("stmt").over(W.partitionBy("method").orderBy("stmt"))).alias("tgt"))
+    parents = s.createDataFrame([("t2", "t0"), ("t3", "t2"), ("t6", "t3"), ("t0", "any"), ("t1", "any"), ("t4", "t1"), ("t5", "t1")], "sub string, super string")
+    throws = li.select("method", "stmt", F.concat(F.lit("t"), (F.col("s") % 7).cast("string")).alias("type"))
+    found = graph.throw_marks(graph.depth_sets(B.dag(s, d), reached), flow, throws, parents, "t0")
+    return found.select("ep", "method", "stmt", "type", F.array_join(F.transform("depths", lambda x: x.cast("string")), ",").alias("depths"))
+
+
 @query(f"""{_REACH}, v AS (SELECT r.ep, g.tgt AS node, r.level + 1 AS depth FROM reached r JOIN g ON r.node = g.src), a AS (SELECT ep, node, count(*) AS visits FROM v GROUP BY 1, 2), p AS (SELECT ep, node, depth FROM v UNION SELECT ep, node, level FROM reached)
 SELECT p.ep, p.node, coalesce(any_value(a.visits), 0) AS visits, string_agg(DISTINCT CAST(p.depth AS VARCHAR), ',' ORDER BY CAST(p.depth AS VARCHAR)) AS depths FROM p LEFT JOIN a ON a.ep = p.ep AND a.node = p.node GROUP BY 1, 2""")
 def visits_by_ep(s, d):

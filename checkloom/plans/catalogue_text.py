@@ -358,15 +358,18 @@ def ep_diff_xml(s, d):
     return y.select("ep", some("only_1"), some("only_2"))
 
 
-@query("""WITH x AS (SELECT p_partkey AS k, p_brand AS b FROM part)
-SELECT CASE k % 4 WHEN 0 THEN 'query' WHEN 1 THEN 'tested' WHEN 2 THEN 'method' ELSE 'field' END AS form, concat('a.b.C', k) AS class, 'int' AS type, 'f' AS name, CASE WHEN k % 4 = 3 THEN 0 ELSE 2 END AS n_args FROM x""")
+@query("""WITH x AS (SELECT p_partkey AS k, p_name AS n FROM part)
+SELECT CASE k % 6 WHEN 0 THEN 'query' WHEN 1 THEN 'tested' WHEN 2 THEN 'method' WHEN 3 THEN 'field' WHEN 4 THEN 'tested_field' ELSE 'string' END AS form, CASE WHEN k % 6 < 5 THEN concat('a.b.C', k) END AS class, CASE WHEN k % 6 < 5 THEN 'int' END AS type, CASE WHEN k % 6 < 5 THEN 'f' END AS name,
+  CASE WHEN k % 6 < 3 THEN 2 WHEN k % 6 < 5 THEN 0 END AS n_args, CASE WHEN k % 6 = 5 THEN concat(n, ' "', k, '"') END AS value FROM x""")
 def filter_facts(s, d):
-    """Fact lines of four forms, among lines that are none."""
+    """Fact lines of six forms, among lines that are none."""
     k = F.col("p_partkey")
-    method = F.concat(F.lit("<a.b.C"), k.cast("string"), F.lit(": int f(int,long)>"))
-    line = F.when(k % 4 == 0, F.concat(F.lit("+ MethodSignature "), method)).when(k % 4 == 1, F.concat(F.lit("Method: "), method)).when(k % 4 == 2, method).otherwise(F.concat(F.lit("<a.b.C"), k.cast("string"), F.lit(": int f>")))
+    own = F.concat(F.lit("<a.b.C"), k.cast("string"))
+    method, field = F.concat(own, F.lit(": int f(int,long)>")), F.concat(own, F.lit(": int f>"))
+    line = F.when(k % 6 == 0, F.concat(F.lit("+ MethodSignature "), method)).when(k % 6 == 1, F.concat(F.lit("Method: "), method)).when(k % 6 == 2, method).when(k % 6 == 3, field).when(k % 6 == 4, F.concat(F.lit("Field: "), field))
+    line = line.otherwise(F.concat(F.lit('StringConst: "'), "p_name", F.lit(' "'), k.cast("string"), F.lit('""')))
     x = B.table(s, d, "part").select(line.alias("value"))
-    return reports.filter_facts(x.union(x.select(F.lit("# no fact")))).select("form", "class", "type", "name", F.size("args").alias("n_args"))
+    return reports.filter_facts(x.union(x.select(F.lit("# no fact")))).select("form", "class", "type", "name", F.when(F.col("args").isNotNull(), F.size("args")).alias("n_args"), "value")
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS path, concat('<e', page_id % 7, '>') AS ep FROM pages WHERE strlen(html) > 3000")

@@ -109,12 +109,16 @@ def keyed(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def filter_facts(lines: DataFrame) -> DataFrame:
-    """(form, sig, class, type, name, args) of fact lines (value): `+ MethodSignature <..>` (query), `Method: <..>` (tested),
-    `<..>` (method or field, by its parentheses); other lines are skipped, a wanted line without a signature is an error."""
-    form = F.when(F.startswith("value", F.lit("+")), "query").when(F.startswith("value", F.lit("Method: <")), "tested").when(F.startswith("value", F.lit("<")), "fact")
-    sig = F.regexp_replace(F.regexp_replace(F.trim("value"), r"^\+\s+MethodSignature\s+", ""), r"^Method:\s+", "")
+    """(form, sig, class, type, name, args, value) of fact lines (value): `+ MethodSignature <..>` (query), `Method: <..>`
+    (tested), `Field: <..>` (tested_field), `StringConst: "..."` (string, whose text is the value), `<..>` (method or field, by its
+    parentheses); other lines are skipped, a wanted line without a signature or a quoted text is an error."""
+    line = F.trim("value")
+    begins = lambda x: F.startswith(line, F.lit(x))
+    form = F.when(begins("+"), "query").when(begins("Method: <"), "tested").when(begins("Field: <"), "tested_field").when(begins("StringConst:"), "string").when(begins("<"), "fact")
+    sig = F.regexp_replace(F.regexp_replace(line, r"^\+\s+MethodSignature\s+", ""), r"^(Method|Field|StringConst):\s+", "")
     x = lines.select(form.alias("form"), sig.alias("sig")).where("form is not null")
-    p = signature_parts(F.col("sig"))
-    ok = F.when(p.isNull(), F.raise_error(F.concat(F.lit("malformed fact: "), F.col("sig")))).otherwise(F.col("sig"))
+    p, text, is_text = signature_parts(F.col("sig")), F.regexp_extract("sig", r'^"([\s\S]*)"$', 1), F.col("form") == "string"
+    good = F.when(is_text, F.col("sig").rlike(r'^"[\s\S]*"$')).otherwise(p.isNotNull())
+    ok = F.when(good, F.when(~is_text, F.col("sig"))).otherwise(F.raise_error(F.concat(F.lit("malformed fact: "), F.col("sig"))))
     kind = F.when(F.col("form") != "fact", F.col("form")).when(F.contains("sig", F.lit("(")), "method").otherwise("field")
-    return x.select(kind.alias("form"), ok.alias("sig"), p["full_class"].alias("class"), p["type"].alias("type"), p["name"].alias("name"), p["args"].alias("args"))
+    return x.select(kind.alias("form"), ok.alias("sig"), p["full_class"].alias("class"), p["type"].alias("type"), p["name"].alias("name"), p["args"].alias("args"), F.when(is_text, text).alias("value"))
