@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checkloom.functions.matcher import member_matcher
-from checkloom.operators.graph import reach
+from checkloom.operators.graph import reach, subclasses
+from checkloom.plans.shared import cut
 
 # Visibility words of the list format; m* test the method, c* its class.
 VISIBILITY = ("public", "private", "protected", "default")
@@ -121,6 +122,50 @@ def without_runtime_excluded(reached: DataFrame, entry_points: DataFrame, specia
     return out if special is None else out.join(special.select("ep", "node").distinct(), ["ep", "node"], "left_anti")
 
 
+# The classes of the platform whose methods lead nearly everywhere, and the one callback that a class goes to.
+BINDER, SHELL, CALLBACK = "android.os.Binder", "android.os.ShellCommand", "com.android.internal.os.HandlerCaller$Callback"
+ON_TRANSACT, ON_COMMAND = "onTransact", "int onCommand(java.lang.String)"
+ROUTES = {"com.android.printspooler.PrintSpoolerService$PrintSpooler": "com.android.printspooler.PrintSpoolerService$HandlerCallerCallback"}
+
+
+def without_special_cases(reached: DataFrame, entry_points: DataFrame, parents: DataFrame, methods: DataFrame, outers: DataFrame, routes: dict[str, str] | None = None) -> DataFrame:
+    """Rows (ep, node) without what binders, shell commands and callbacks exclude for one entry point. Only rows that are there
+    are looked at; no pairs of entry points and methods are made.
+
+    entry_points: ep, stub, class (of the entry point's method); parents: direct (sub, super); methods: node, class, subsig;
+    outers: class, outer. For an entry point that the binder class itself implements for a stub below it: the binder's methods
+    as other binders implement them, but for the stub's subclasses and onTransact; and shell commands that are not the stub's:
+    its own are those inside of its subclasses or beside them in one outer class, else those of a package with them, and if
+    there are none all stay. For an entry point in a callback class: what other callback classes implement of the callback;
+    a class that `routes` names goes to the callback of one class alone.
+    """
+    up = cut(subclasses(parents).select("sub", "super"), "special")
+    package = lambda c: F.when(F.contains(c, F.lit(".")), F.regexp_extract(c, r"^(.*)\.[^.]*$", 1)).otherwise("")
+    below = lambda root: up.where((F.col("super") == root) & (F.col("sub") != root)).select(F.col("sub").alias("class"))
+    of = lambda root: methods.where(F.col("class") == root).select("subsig").distinct()
+    name = F.regexp_extract("subsig", r"([^\s(]+)\(", 1)
+    bound = entry_points.where((F.col("class") == BINDER) & (F.col("stub") != BINDER)).select("ep", "stub").join(below(BINDER).withColumnRenamed("class", "stub"), "stub", "left_semi")
+    implemented = methods.join(below(BINDER), "class", "left_semi").join(of(BINDER), "subsig", "left_semi").where(name != ON_TRANSACT).select("node", F.col("class").alias("node_class"))
+    subs = up.select(F.col("sub").alias("class"), F.col("super").alias("stub")).join(bound.select("stub").distinct(), "stub", "left_semi")
+    commands = cut(methods.join(below(SHELL), "class", "left_semi").where(F.col("subsig") == ON_COMMAND).select("node", "class").join(outers, "class", "left"), "special")
+    inside = commands.join(subs.select(F.col("class").alias("outer"), "stub"), "outer").select("stub", "node")
+    beside = commands.join(subs.join(outers, "class").select("outer", "stub").distinct(), "outer").select("stub", "node")
+    own = cut(inside.union(beside).distinct(), "special")
+    near = commands.select("node", package(F.col("class")).alias("package")).join(subs.join(own.select("stub").distinct(), "stub", "left_anti").select("stub", package(F.col("class")).alias("package")).distinct(), "package").select("stub", "node")
+    own = cut(own.union(near).distinct(), "special")
+    handlers = methods.join(below(CALLBACK), "class", "left_semi").join(of(CALLBACK), "subsig", "left_semi").select("node", F.col("class").alias("handler"))
+    route = reached.sparkSession.createDataFrame(list((ROUTES if routes is None else routes).items()), "class string, goes_to string")
+    called = entry_points.select("ep", "class").join(F.broadcast(route), "class", "left").join(below(CALLBACK).withColumn("is_callback", F.lit(True)), "class", "left")
+    called = called.where("is_callback or goes_to is not null").select("ep", F.coalesce("goes_to", "class").alias("goes_to"))
+
+    x = reached.select("ep", "node").join(bound, "ep", "left").join(implemented, "node", "left")
+    x = x.join(up.select(F.col("sub").alias("node_class"), F.col("super").alias("stub"), F.lit(True).alias("mine")), ["node_class", "stub"], "left").where("stub is null or node_class is null or mine")
+    x = x.join(commands.select("node", F.lit(True).alias("command")), "node", "left").join(own.select("stub").distinct().withColumn("told", F.lit(True)), "stub", "left").join(own.withColumn("own", F.lit(True)), ["stub", "node"], "left")
+    x = x.where("command is null or told is null or own").select("ep", "node")
+    x = x.join(called, "ep", "left").join(handlers, "node", "left")
+    return x.where("goes_to is null or handler is null or handler = goes_to").select("ep", "node")
+
+
 def restricted_entry_points(entry_points: DataFrame, edges: DataFrame, stubs: list[str] | None = None, classes: list[str] | None = None) -> DataFrame:
     """Entry points (ep, stub, class) of the listed stubs or classes and all that these refer to, directly or not, over
     edges (ep, ref_ep); without lists all of them."""

@@ -225,6 +225,27 @@ def runtime_exclusion(s, d):
     return rule_lists.without_runtime_excluded(r, eps, s.createDataFrame([(1, 2)], "ep long, node long")).select("ep", "node")
 
 
+@query(f"""WITH {B.RING}, s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier), r AS (SELECT DISTINCT src, a.n AS ns, tgt, b.n AS nt FROM ring JOIN s a ON a.k = src JOIN s b ON b.k = tgt),
+own AS (SELECT n, k FROM s WHERE k % 3 = 0 UNION SELECT s.n, s.k FROM s WHERE s.k % 3 = 1 AND EXISTS (SELECT 1 FROM s j WHERE j.n = s.n AND j.k % 5 = 0)),
+every AS (SELECT n, k FROM own UNION SELECT j.n, s.k FROM s j JOIN s ON s.k % 7 = j.k % 7 WHERE j.n NOT IN (SELECT n FROM own))
+SELECT concat('e', src) AS ep, concat('d', tgt) AS node FROM r WHERE src % 4 = 0 OR ns = nt UNION ALL SELECT concat('e', src), concat('h', tgt) FROM r WHERE src % 4 <> 0 OR tgt % 4 <> 0 OR src = tgt
+UNION ALL SELECT concat('e', src), concat('x', tgt) FROM r LEFT JOIN every ON every.n = ns AND every.k = tgt WHERE src % 4 = 0 OR every.k IS NOT NULL""")
+def special_exclusions(s, d):
+    """What entry points reach without other binders' methods, shell commands that are not theirs, and other callbacks."""
+    x = B.table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    k, n, text = F.col("k"), F.col("n"), lambda *p: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in p])
+    stub, own, command, callback = text("p.S", n), text("p", k % 7, ".I", k), text("p", k % 7, ".Sh", k), text("p", k % 7, ".Cb", k)
+    pair = lambda df, a, b, names: df.select(a.alias(names[0]), b.alias(names[1]))
+    lit, four = F.lit, x.where("k % 4 = 0")
+    parents = graph.union_all([pair(x, a, b, ("sub", "super")) for a, b in ((stub, lit(rule_lists.BINDER)), (own, stub), (command, lit(rule_lists.SHELL)))] + [pair(four, callback, lit(rule_lists.CALLBACK), ("sub", "super"))]).distinct()
+    outers = graph.union_all([pair(x.where("k % 3 = 0"), command, own, ("class", "outer")), pair(x.where("k % 3 = 1"), command, text("O", n), ("class", "outer")), pair(x.where("k % 5 = 0"), own, text("O", n), ("class", "outer"))])
+    method = lambda df, node, cls, sub: df.select(node.alias("node"), cls.alias("class"), lit(sub).alias("subsig"))
+    methods = graph.union_all([method(x, text("d", k), own, "void dump()"), method(x, text("x", k), command, rule_lists.ON_COMMAND), method(four, text("h", k), callback, "void run(int)"), s.createDataFrame([("b", rule_lists.BINDER, "void dump()"), ("c", rule_lists.CALLBACK, "void run(int)")], "node string, class string, subsig string")])
+    eps = x.select(text("e", k).alias("ep"), stub.alias("stub"), F.when(k % 4 == 0, callback).otherwise(lit(rule_lists.BINDER)).alias("class"))
+    met = B.ring(s, d).select("src", "tgt").distinct().select(text("e", F.col("src")).alias("ep"), F.explode(F.array(*[text(c, F.col("tgt")) for c in "dhx"])).alias("node"))
+    return rule_lists.without_special_cases(met, eps, parents, methods, outers)
+
+
 @query("""WITH RECURSIVE e AS (SELECT concat('n', n_nationkey) AS ep, concat('r', n_regionkey) AS ref FROM nation UNION SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer),
 a AS (SELECT ep FROM e UNION SELECT ref FROM e), w AS (SELECT ep FROM a WHERE ep IN ('c1', 'c2') OR ep LIKE 'n7%' UNION SELECT e.ref FROM w JOIN e ON w.ep = e.ep) SELECT ep FROM w""")
 def restricted_entry_points(s, d):

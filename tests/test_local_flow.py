@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from checkloom.operators import graph, incremental, joins
+from checkloom.operators import graph, incremental, joins, rule_lists
 from checkloom.operators import locals as local_flow
 
 
@@ -105,3 +105,19 @@ def test_inferred_services(spark):
     df = lambda x, c: spark.createDataFrame(x, ", ".join(f"{n} string" for n in c.split()))
     got = joins.inferred_services(df(sites, "service node"), df(links, "use def"), df(types, "node type"), df(parents, "sub super"), df([("A", "StubA"), ("A1", "StubA1")], "binder stub"))
     assert rows(got) == Counter([("svc1", "A", "StubA"), ("svc1", "I", None), ("svc2", "A1", "StubA1"), ("svc3", None, None), ("svc4", "Object", None), ("svc5", "A1", "StubA1"), ("svc6", "Unlisted", None)])
+
+
+def test_special_exclusions_of_entry_points(spark):
+    """Binders, shell commands and callbacks, each case on its own and the rows that none of them touches."""
+    binder, shell, callback = rule_lists.BINDER, rule_lists.SHELL, rule_lists.CALLBACK
+    df = lambda x, c: spark.createDataFrame(x, ", ".join(f"{n} string" for n in c.split()))
+    parents = [("p.Stub", binder), ("p.Own", "p.Stub"), ("q.Other", binder), ("s.Stub2", binder), ("t.Bare", binder), ("c.In", shell), ("c.Beside", shell), ("c.Far", shell), ("s.Cmd", shell), ("k.One", callback), ("k.Two", callback), ("k.Sub", "k.Two")]
+    outers = [("c.In", "p.Own"), ("p.Own", "p.Out"), ("c.Beside", "p.Out"), ("c.Far", "x.Out")]
+    on = rule_lists.ON_COMMAND
+    methods = [("b.dump", binder, "void dump()"), ("b.tx", binder, "boolean onTransact(int)"), ("own.dump", "p.Own", "void dump()"), ("other.dump", "q.Other", "void dump()"), ("other.tx", "q.Other", "boolean onTransact(int)"), ("other.more", "q.Other", "void more()")]
+    methods += [(c, c, on) for c in ("c.In", "c.Beside", "c.Far", "s.Cmd")] + [("cb", callback, "void run(int)"), ("one", "k.One", "void run(int)"), ("two", "k.Two", "void run(int)"), ("sub", "k.Sub", "void run(int)"), ("one.more", "k.One", "void more()")]
+    eps = [("e", "p.Stub", binder), ("plain", "p.Stub", "p.Own"), ("f", "s.Stub2", binder), ("g", "t.Bare", binder), ("h", "z.Z", "k.One"), ("r", "z.Z", "z.Routed"), ("self", binder, binder)]
+    nodes = [m[0] for m in methods] + ["elsewhere"]
+    got = rule_lists.without_special_cases(df([(e[0], n) for e in eps for n in nodes], "ep node"), df(eps, "ep stub class"), df(parents, "sub super"), df(methods, "node class subsig"), df(outers, "class outer"), {"z.Routed": "k.Two"})
+    gone = {"e": {"other.dump", "c.Far", "s.Cmd"}, "f": {"own.dump", "other.dump", "c.In", "c.Beside", "c.Far"}, "g": {"own.dump", "other.dump"}, "h": {"two", "sub"}, "r": {"one", "sub"}, "plain": set(), "self": set()}
+    assert rows(got) == Counter((e[0], n) for e in eps for n in nodes if n not in gone[e[0]])
