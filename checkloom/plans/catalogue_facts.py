@@ -127,15 +127,22 @@ _FILTER = """<ControlPredicateFilter><And><Not><KeepMethodReturnValueUse Value="
 <KeepFieldValueUse Value="(equal-name s4)"/><KeepNumberConstantUse Value="(long 11)"/></Or></And></ControlPredicateFilter>"""
 
 
-@query(f"WITH {_L} {_START} WHERE NOT EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND k % 10 = 7) AND (EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND k % 10 = 4) OR EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND p = 11))")
+@query(f"WITH {_L} {_START} WHERE NOT EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND k % 10 = 7) AND (EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND k % 10 = 4) OR EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND p = 11) OR EXISTS (SELECT 1 FROM l WHERE o = o_orderkey AND k % 10 = 5 AND n <> 3 AND (p % 2 = 1 OR n = 2)))")
 def filter_file(s, d):
-    """A filter file's tree of entries and restrictions; no call is an operand of an arithmetic one here, so that arm is empty."""
+    """A filter file's tree of entries and restrictions; the calls of all lines but the third are added up before the start."""
     from checkloom.operators import entries
 
     starts, nodes, edges = _facts(s, d)
+    args = _args(s, d, edges)
+    calls = nodes.where("kind = 'invoke' and class <> 'C3'")
+    total = F.xxhash64("node", F.lit("sum"))
+    sums = calls.withColumns({"node": total, "kind": F.lit("expr"), "expr_op": F.lit("+"), "target": F.lit(None).cast("string"), "class": F.lit(None).cast("string"), "type": F.lit("int")})
+    into = edges.join(calls.select("ep", F.col("node").alias("def")), ["ep", "def"], "left_semi")
+    edges = cut(edges.unionByName(into.select("ep", "use", F.xxhash64("def", F.lit("sum")).alias("def"))).unionByName(calls.select("ep", total.alias("use"), F.col("node").alias("def"))).distinct(), "edges")
+    nodes = cut(nodes.unionByName(sums), "nodes")
     member = F.when(F.col("kind") == "invoke", F.concat(F.lit("<a.B: int m"), "target", F.lit("(int)>"))).when(F.col("kind") == "field", F.concat(F.lit("<a.B: int "), "target", F.lit(">")))
     nodes = nodes.withColumn("target", member)
-    return entries.read_filter(_FILTER, entries.Facts(nodes, edges, args=_args(s, d, edges)))(starts)
+    return entries.read_filter(_FILTER, entries.Facts(nodes, edges, args=args))(starts)
 
 
 @query(f"WITH {B.SIGNATURES} SELECT sig FROM m WHERE (contains(class, 'promo') OR class LIKE '%1') AND NOT class LIKE '%2'")
