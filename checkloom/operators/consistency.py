@@ -92,8 +92,8 @@ def unmatched_by_form(found: DataFrame, simple: DataFrame) -> DataFrame:
 
 
 def ranked_itemsets(sets: DataFrame) -> DataFrame:
-    """Itemsets with their place by support, then items, both falling."""
-    return placed(sets, F.col("support").desc(), F.col("items").desc())
+    """Itemsets in order, with their place, by support, then items, both falling."""
+    return placed(sets, F.col("support").desc(), F.col("items").desc()).orderBy("place")
 
 
 def other_eps(found: DataFrame, rows: DataFrame) -> DataFrame:

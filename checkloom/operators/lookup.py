@@ -83,9 +83,9 @@ def split_sizes(rows: DataFrame, key: str) -> DataFrame:
 
 
 def ranked_methods(methods: DataFrame) -> DataFrame:
-    """Methods (method, n_eps, checks, depth) and their place by entry points falling, average checks falling, average depth
-    rising, method."""
-    return placed(methods, F.col("n_eps").desc(), F.col("checks").desc(), F.col("depth").asc(), F.col("method"))
+    """Methods (method, n_eps, checks, depth) in order, with their place, by entry points falling, average checks falling,
+    average depth rising, method."""
+    return placed(methods, F.col("n_eps").desc(), F.col("checks").desc(), F.col("depth").asc(), F.col("method")).orderBy("place")
 
 
 def large_files(files: DataFrame, least: int) -> DataFrame:
