@@ -151,11 +151,13 @@ def _leaf_number(value: Column, kind: Column | None):
             mask = 0
             for part in args[0].split("|"):
                 mask |= int(part, 0)
-            bits = "int" if op == "integer-mask" else "bigint"
-            return typed(op[:-5], value.cast(bits).bitwiseAND(F.lit(mask).cast(bits)) != 0)
+            # the bits of the mask's type; a wider value is not cast to that, which could fail
+            mask &= 0xFFFFFFFF if op == "integer-mask" else -1
+            return typed(op[:-5], value.cast("bigint").bitwiseAND(F.lit(mask).cast("bigint")) != 0)
         if op in NUMBER_TYPES and len(args) == 1:
             wanted = F.lit(args[0]).cast(NUMBER_TYPES[op])
-            same = value.cast(NUMBER_TYPES[op]) == wanted
+            # a value that the type cannot hold is another number, with ANSI on or off
+            same = value.try_cast(NUMBER_TYPES[op]) == wanted
             return typed(op, same & ~F.isnan(wanted) if op in ("double", "float") else same)
         return None
 
