@@ -1,32 +1,23 @@
 """Per-method control-flow analyses: dominators, control dependence, natural loops, strong components, simple cycles.
 
-A method's flow graph is small, so each is one group of applyInPandas over the table (method, src, tgt).
+A method's flow graph is small, so each is one row of arrays, made from the table (method, src, tgt); Python gets batches of
+methods.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from checkloom.operators.graph import reach
-from checkloom.plans.shared import cut
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Graph = dict[int, set[int]]
 
 
-def _graph(pdf: pd.DataFrame) -> Graph:
-    g: Graph = {}
-    for s, t in zip(pdf["src"].tolist(), pdf["tgt"].tolist(), strict=True):
-        g.setdefault(s, set())
-        if t == t and t is not None:
-            g[s].add(int(t))
-            g.setdefault(int(t), set())
-    return g
-
-
 def reverse(g: Graph) -> Graph:
     out: Graph = {n: set() for n in g}
     for s, ts in g.items():
@@ -122,7 +113,16 @@ def iterated(pairs: set[tuple[int, int]]) -> set[tuple[int, int]]:
     for n, b in pairs:
         g.setdefault(n, set()).add(b)
         g.setdefault(b, set())
-    return {(n, b) for n in g for t in g[n] for b in post_order(g, t)}
+    out = set()
+    for n in g:
+        seen, stack = set(g[n]), list(g[n])
+        while stack:
+            for t in g[stack.pop()]:
+                if t not in seen:
+                    seen.add(t)
+                    stack.append(t)
+        out |= {(n, b) for b in seen}
+    return out
 
 
 def natural_loops(g: Graph, root: int) -> list[tuple[int, list[int], list[int], bool]]:
@@ -192,13 +192,61 @@ def simple_cycles(g: Graph, limit: int | None = None) -> list[list[int]]:
     return sorted(out)
 
 
-def _per_method(flow: DataFrame, fn, schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+def _graph_of(src: list, tgt: list) -> Graph:
+    g: Graph = {}
+    for s, t in zip(src, tgt, strict=True):
+        g.setdefault(s, set())
+        if t is not None:
+            g[s].add(t)
+            g.setdefault(t, set())
+    return g
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in fn(_graph(pdf))], columns=names)
 
-    return flow.groupBy("method").applyInPandas(run, schema)
+#: Results of so many different flow graphs are kept by a task: methods often have the same few shapes.
+SHAPES = 16384
+
+
+def _per_method(flow: DataFrame, fn, schema: str, cases: DataFrame | None = None) -> DataFrame:
+    """`fn` of each method's graph, rows of `schema` after the method. A method is one row of two arrays, so that Python sees
+    batches of methods and no group costs a call of its own. With `cases` (method, c struct) `fn` also gets the
+    method's cases as sorted tuples; methods that have only cases have an empty graph."""
+    out = StructType.fromDDL(schema)
+    types = to_arrow_schema(out)
+    arcs = flow.select("method", F.struct(F.col("src").cast("long").alias("src"), F.col("tgt").cast("long").alias("tgt")).alias("a"))
+    if cases is None:
+        packed = arcs.groupBy("method").agg(F.sort_array(F.collect_set("a")).alias("a")).select("method", "a.src", "a.tgt")
+    else:
+        both = arcs.withColumn("c", F.lit(None).cast(cases.schema["c"].dataType)).unionByName(cases.select("method", F.lit(None).cast(arcs.schema["a"].dataType).alias("a"), "c"))
+        packed = both.groupBy("method").agg(F.sort_array(F.collect_set("a")).alias("a"), F.sort_array(F.collect_set("c")).alias("c")).select("method", "a.src", "a.tgt", "c")
+
+    alone = cases is None
+
+    def run(batches):
+        @lru_cache(SHAPES)
+        def columns(src, tgt, more):
+            found = fn(_graph_of(src, tgt)) if more is None else fn(_graph_of(src, tgt), more)
+            return len(found), found and [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), list(types)[1:], strict=True)]
+
+        def together(batch, at, parts):
+            index = pa.array(np.repeat([k for k, _ in at], [n for _, n in at]))
+            method = batch.column("method").take(index).cast(types.field(0).type)
+            return pa.RecordBatch.from_arrays([method, *[pa.concat_arrays(c) for c in zip(*parts, strict=True)]], schema=types)
+
+        for batch in batches:
+            src, tgt = batch.column("src").to_pylist(), batch.column("tgt").to_pylist()
+            more = [None] * len(src) if alone else [tuple(tuple(c.values()) for c in cs) for cs in batch.column("c").to_pylist()]
+            at, parts, held = [], [], 0
+            for k in range(len(src)):
+                n, cols = columns(tuple(src[k]), tuple(tgt[k]), more[k])
+                if n:
+                    at.append((k, n))
+                    parts.append(cols)
+                    held += n
+                if parts and (held >= 100_000 or k == len(src) - 1):
+                    yield together(batch, at, parts)
+                    at, parts, held = [], [], 0
+
+    return packed.mapInArrow(run, out)
 
 
 def dominators(flow: DataFrame) -> DataFrame:
@@ -219,41 +267,59 @@ def post_dominators(flow: DataFrame) -> DataFrame:
     return _per_method(flow, fn, "method string, node long, dominator long")
 
 
+def joins_of(g: Graph) -> dict[int, int | None]:
+    """branch -> where its ways meet: their lowest common ancestor in the post-dominator tree, None behind the ends."""
+    full, exit_, ipdom = immediate_post_dominators(g)
+    depth: dict[int, int] = {exit_: 0}
+    for n in full:
+        way = []
+        while n not in depth:
+            way.append(n)
+            n = ipdom[n]
+        for m in reversed(way):
+            depth[m] = depth[ipdom[m]] + 1
+
+    def common(a: int, b: int) -> int:
+        while a != b:
+            a, b = (ipdom[a], b) if depth[a] >= depth[b] else (a, ipdom[b])
+        return a
+
+    return {n: None if (j := reduce(common, ts)) == exit_ else j for n, ts in full.items() if n != exit_ and len(ts) > 1}
+
+
 def join_points(flow: DataFrame) -> DataFrame:
     """(method, branch, join): where the ways that part at a statement with several successors meet again: their lowest common
     ancestor in the post-dominator tree. Null if they meet only behind the method's ends."""
-    def fn(g):
-        full, exit_, ipdom = immediate_post_dominators(g)
-        depth: dict[int, int] = {exit_: 0}
-        for n in full:
-            way = []
-            while n not in depth:
-                way.append(n)
-                n = ipdom[n]
-            for m in reversed(way):
-                depth[m] = depth[ipdom[m]] + 1
-
-        def common(a: int, b: int) -> int:
-            while a != b:
-                a, b = (ipdom[a], b) if depth[a] >= depth[b] else (a, ipdom[b])
-            return a
+    return _per_method(flow, lambda g: list(joins_of(g).items()), "method string, branch long, join long")
 
-        return [(n, None if (j := reduce(common, ts)) == exit_ else j) for n, ts in full.items() if n != exit_ and len(ts) > 1]
 
-    return _per_method(flow, fn, "method string, branch long, join long").withColumn("join", F.col("join").cast("long"))
+def blocks_of(g: Graph, cases: tuple) -> list[tuple]:
+    """(branch, tx, stmt) of the cases (branch, tx, stmt): what a case reaches before its branch's ways meet."""
+    joins, firsts = joins_of(g) if g else {}, {}
+    for branch, tx, stmt in cases:
+        firsts.setdefault((branch, tx), []).append(stmt)
+    out = []
+    for (branch, tx), stmts in firsts.items():
+        stop = joins.get(branch)
+        seen = {s for s in stmts if s != stop}
+        stack = list(seen)
+        while stack:
+            for t in g.get(stack.pop(), ()):
+                if t != stop and t not in seen:
+                    seen.add(t)
+                    stack.append(t)
+        out += [(branch, tx, s) for s in sorted(seen)]
+    return out
 
 
 def branch_blocks(flow: DataFrame, cases: DataFrame) -> DataFrame:
     """(method, branch, tx, stmt): the statements of each case of a branch (switch or if) before its cases join, which is found
     from the flow (method, src, tgt). cases: method, branch, tx, stmt (the case's first statement)."""
-    flow = cut(flow.where("tgt is not null"), "flow")
-    joins = join_points(flow).where("join is not null")
-    key = F.struct("method", "branch", "tx")
-    at = lambda c: F.struct("method", F.col(c).cast("long").alias("stmt"))
-    ends = cut(cases.join(joins, ["method", "branch"]).select(key.alias("ep"), at("join").alias("node")), "joins")
-    arcs = cut(flow.select(at("src").alias("src"), at("tgt").alias("tgt")), "flow")
-    r = reach(arcs, cases.select(key.alias("ep"), at("stmt").alias("node")), ends, mode="drop")
-    return r.select("ep.method", "ep.branch", "ep.tx", "node.stmt")
+    kinds = dict(cases.dtypes)
+    # a case may be named by a text
+    c = cases.select("method", F.struct(F.col("branch").cast("long").alias("branch"), F.col("tx").cast("string").alias("tx"), F.col("stmt").cast("long").alias("stmt")).alias("c"))
+    found = _per_method(flow.where("tgt is not null"), blocks_of, "method string, branch long, tx string, stmt long", c)
+    return found.select("method", F.col("branch").cast(kinds["branch"]).alias("branch"), F.col("tx").cast(kinds["tx"]).alias("tx"), "stmt")
 
 
 def control_dependences(flow: DataFrame, closure: bool = False) -> DataFrame:
