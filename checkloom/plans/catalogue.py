@@ -298,7 +298,7 @@ def reach_levels(s, d):
 SELECT ep, node, min(level) AS level FROM w GROUP BY 1, 2""")
 def reach_depth_limited(s, d):
     seeds = B.table(s, d, "supplier").select(F.col("s_suppkey").alias("ep"), F.col("s_suppkey").alias("node"))
-    return graph.reach(B.ring(s, d), seeds, max_level=5)
+    return graph.reach_dense(B.ring(s, d), seeds, max_level=5)
 
 
 @query(f"""WITH RECURSIVE {B.DAG}, x AS (SELECT concat('c', c_custkey) AS node FROM customer WHERE c_mktsegment = 'HOUSEHOLD'),
