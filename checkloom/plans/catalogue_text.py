@@ -321,12 +321,11 @@ def keyed_databases(s, d):
 
 @query(f"WITH {B.DAG} SELECT src AS a, tgt AS b, 'red' AS label FROM g")
 def graphml_files(s, d):
-    """A graph written as a GraphML file and read back by its own keys."""
+    """A graph written as GraphML files and read back by their own keys."""
     e = B.dag(s, d)
     n = e.select(F.col("src").alias("id")).union(e.select("tgt")).distinct()
     path = _out(s, "graphml")
-    lines = reports.graphml(n.select("id", F.col("id").alias("label"), F.lit("red").alias("color")), e.withColumn("weight", F.lit(1)))
-    lines.repartition(1).sortWithinPartitions("part").select("value").write.text(path)
+    reports.write_graphml(n.select("id", F.col("id").alias("label"), F.lit("red").alias("color")), e.withColumn("weight", F.lit(1)), path)
     nodes, edges = reports.read_graphml(s, path)
     x = edges.where("data['weight'] = '1'").join(nodes.select(F.col("id").alias("src"), F.expr("data['color']").alias("label")), "src")
     return x.select(F.col("src").alias("a"), F.col("tgt").alias("b"), "label")

@@ -49,6 +49,16 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return union_all([head, n, e, spark.createDataFrame([(3, "</graph></graphml>")], "part int, value string")])
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str, lines: int = 1_000_000) -> None:
+    """A graph as GraphML files under `path`, each a document of its own of about so many lines, so that no task writes or reads
+    a whole large graph. One file for a small one. Nodes and edges are dealt over the files by their text."""
+    every = graphml(nodes, edges)
+    n = max(1, -(-every.count() // lines))
+    frame = every.where("part in (0, 3)").crossJoin(every.sparkSession.range(n).withColumnRenamed("id", "file"))
+    inside = every.where("part in (1, 2)").withColumn("file", F.pmod(F.xxhash64("value"), F.lit(n)))
+    frame.unionByName(inside).repartition(n, "file").sortWithinPartitions("file", "part").select("file", "value").write.partitionBy("file").text(path)
+
+
 def parse_graphml(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, label, color) and (src, tgt, weight) of GraphML lines with one element each (value)."""
     get = lambda p: F.regexp_extract("value", p, 1)
