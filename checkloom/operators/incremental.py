@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checkloom.operators.graph import REACH_CUT, reach
-from checkloom.plans.shared import cut
+from checkloom.plans.shared import bucketed, cut
 
 
-def kept_closure(before: DataFrame, edges: DataFrame, inserted: DataFrame, deleted: DataFrame, seeds: DataFrame) -> DataFrame:
+def kept_closure(before: DataFrame, edges: DataFrame, inserted: DataFrame, deleted: DataFrame, seeds: DataFrame, table: bool = False) -> DataFrame:
     """(ep, node): the closure of `seeds` (ep, node) over `edges` without `deleted` and with `inserted` (all src, tgt), from the
     closure `before` (ep, node) over `edges`; what a full closure gives.
 
     First all nodes behind a deleted edge are in doubt, for the entry points that had its source. Those of them that an edge
     which is still there leads to from a node without doubt (or that are seeds) are safe after all, and so is what they lead to;
     the rest goes. Then inserted edges grow the closure from where they begin. Only doubtful and new nodes move, so a small
-    change costs little, however large the closure is; `before` itself is joined by node, never rebuilt.
+    change costs little, however large the closure is; `before` itself is joined by node, never rebuilt. table: as in `reach`.
     """
     before = before.select("ep", "node")
-    gone = deleted.select("src", "tgt").distinct()
-    now = cut(edges.select("src", "tgt").distinct().join(gone, ["src", "tgt"], "left_anti").unionByName(inserted.select("src", "tgt")).distinct(), "edges")
+    gone, inserted = cut(deleted.select("src", "tgt").distinct(), "gone"), cut(inserted.select("src", "tgt").distinct(), "inserted")
+    edges = edges.select("src", "tgt") if table else bucketed(edges.select("src", "tgt"), "src", label="edges")
+    # an inserted edge that was there already comes twice, which no step minds
+    now = cut(edges.join(gone, ["src", "tgt"], "left_anti").unionByName(inserted), "edges")
     seeds = seeds.select("ep", "node").distinct()
     hit = before.join(gone, F.col("node") == F.col("src")).select("ep", F.col("tgt").alias("node")).distinct()
     # what was behind a deleted edge, over the edges of before
-    doubt = cut(reach(edges, hit).select("ep", "node"), "doubt")
+    doubt = cut(reach(edges, hit, table=True).select("ep", "node"), "doubt")
     sure = before.join(doubt, ["ep", "node"], "left_anti")
-    into = now.join(doubt.select(F.col("node").alias("tgt")).distinct(), "tgt", "left_semi")
+    into = cut(now.join(doubt.select(F.col("node").alias("tgt")).distinct(), "tgt", "left_semi"), "into")
     held = sure.join(into, F.col("node") == F.col("src")).select("ep", F.col("tgt").alias("node")).unionByName(seeds).distinct().join(doubt, ["ep", "node"], "left_semi")
     safe = cut(held, "safe")
     frontier, level = safe, 0
@@ -36,8 +38,8 @@ def kept_closure(before: DataFrame, edges: DataFrame, inserted: DataFrame, delet
         safe, level = safe.unionByName(frontier), level + 1
         safe = cut(safe, "safe") if level % REACH_CUT == 0 else safe
     lost = cut(doubt.join(safe, ["ep", "node"], "left_anti"), "lost")
-    left = before.join(lost, ["ep", "node"], "left_anti")
-    starts = left.join(inserted.select("src", "tgt").distinct(), F.col("node") == F.col("src")).select("ep", F.col("tgt").alias("node")).unionByName(seeds).distinct()
+    left = cut(before.join(lost, ["ep", "node"], "left_anti"), "left")
+    starts = left.join(inserted, F.col("node") == F.col("src")).select("ep", F.col("tgt").alias("node")).unionByName(seeds).distinct()
     frontier = cut(starts.join(left, ["ep", "node"], "left_anti"), "grown")
     grown, level = frontier, 0
     while not frontier.isEmpty():
