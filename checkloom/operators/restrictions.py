@@ -31,11 +31,29 @@ def used_nodes(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return r.select(part("ep", 0).alias("ep"), part("ep", 1).cast("long").alias("start"), part("node", 1).cast("long").alias("node"))
 
 
+def used_values(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ep, start, kind, value): the kinds and values of what each start uses, once each; nodes: ep, node, kind, value. Values go up
+    to the starts, so many nodes of one value are one row from their first common user on."""
+    keys = ["ep", "node", "kind", "value"]
+    up = edges.select("ep", F.col("def").alias("node"), "use")
+    seen = frontier = cut(nodes.select(*keys).distinct(), "values")
+    level = 0
+    while True:
+        step = up.join(frontier, ["ep", "node"]).select("ep", F.col("use").alias("node"), "kind", "value").distinct()
+        same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in keys]
+        frontier = cut(step.join(seen.select(*[F.col(c).alias(f"_{c}") for c in keys]), same, "left_anti"), "values")
+        if frontier.isEmpty():
+            break
+        seen, level = seen.unionByName(frontier), level + 1
+        seen = cut(seen, "values") if level % REACH_CUT == 0 else seen
+    return starts.select("ep", "start").distinct().join(seen.withColumnRenamed("node", "start"), ["ep", "start"]).select("ep", "start", "kind", "value")
+
+
 def users(edges: DataFrame, hits: DataFrame, through: DataFrame | None = None) -> DataFrame:
     """(ep, node): `hits` (ep, node) and all nodes from which one of them is reached by use -> def; with `through` (ep, node) only
     over nodes of that, though the last one may be any. A node is met once, whichever hits it leads to, so this grows with the
-    graph and not with the pairs of starts and hits."""
-    up = cut(edges.select("ep", F.col("def").alias("node"), "use"), "users")
+    graph and not with the pairs of starts and hits. Every level meets the edges: a table of them in buckets by (ep, def) is best."""
+    up = edges.select("ep", F.col("def").alias("node"), "use")
     seen = frontier = cut(hits.select("ep", "node").distinct(), "users")
     level = 0
     while True:
@@ -253,7 +271,9 @@ def used_beside(nodes: DataFrame, edges: DataFrame, kind: str, matcher: Column)
     """Nodes whose user also uses a node of `kind` (invoke, field) that `matcher` picks, other than the node itself."""
     def run(x):
         other = edges.join(nodes.where((F.col("kind") == kind) & matcher).select("ep", F.col("node").alias("def")), ["ep", "def"], "left_semi").select("ep", "use", F.col("def").alias("other"))
-        own = edges.select("ep", "use", F.col("def").alias("node")).join(other, ["ep", "use"]).where("node <> other").select("ep", "node").distinct()
+        # both sides are narrowed to what fits before they meet by their user
+        mine = edges.select("ep", "use", F.col("def").alias("node")).join(x.select("ep", "node").distinct(), ["ep", "node"], "left_semi")
+        own = mine.join(other, ["ep", "use"]).where("node <> other").select("ep", "node").distinct()
         return x.join(own, ["ep", "node"], "left_semi").select("ep", "start", "node")
 
     return _by_nodes(run)
