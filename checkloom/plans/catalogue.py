@@ -375,6 +375,7 @@ _COMMON = f"WITH {B.RING}, o AS (SELECT DISTINCT o_orderpriority AS ep, src, tgt
 
 def _common(s, d):
     o = B.ring(s, d).join(B.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("ep"), "src", "tgt").distinct()
+    o = cut(o, "edges")
     return graph.common_edges(o, o.select("ep").distinct())
 
 
