@@ -1,8 +1,8 @@
 """Definitions and uses of locals: reaching definitions over each method's flow, and what aliases add to them.
 
-A method's reaching definitions are a gen/kill problem over bit vectors, solved in one group of applyInArrow (a method is
-small). Which definitions lead to which over aliases (`x = y`, `x = (T) y`, `x = a[i]`) is a closure over links, for all
-methods at once.
+A method's reaching definitions are a gen/kill problem over bit vectors, and which definitions lead to which over aliases
+(`x = y`, `x = (T) y`, `x = a[i]`) is a closure over links. A method is small, so it is one row of arrays; Python gets batches
+of methods.
 
 Tables. flow: method, src, tgt (null behind a method's ends); defs: method, stmt, local, kind, source: what a statement
 defines, kind "local", "cast" or "array" if it copies, casts or reads an element of the local `source`, anything else if it
@@ -11,19 +11,28 @@ makes a value; uses: method, stmt, local.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checkloom.operators.graph import components, reach
-from checkloom.plans.shared import cut
+from checkloom.operators.graph import components, union_all
 
 ALIASES = ("local", "cast", "array")
 
 
-def _reaching(flow: pa.Table, defs: pa.Table) -> pa.Table:
-    """(method, stmt, local, def) at the entry of the statements of one method."""
-    made = sorted({(s, v) for s, v in zip(defs.column("stmt").to_pylist(), defs.column("local").to_pylist(), strict=True)})
+def _bits(bits: int) -> list[int]:
+    out = []
+    while bits:
+        out.append((bits & -bits).bit_length() - 1)
+        bits &= bits - 1
+    return out
+
+
+def _solved(flow: list[tuple], defs: list[tuple]) -> tuple[list[tuple], dict[str, int], dict[int, int]]:
+    """Definitions (stmt, local) in order, the bits of each local's, and the bits that reach the entry of each statement."""
+    made = sorted(set(defs))
     of_local: dict[str, int] = {}
     gen: dict[int, int] = {}
     kill: dict[int, int] = {}
@@ -33,9 +42,8 @@ def _reaching(flow: pa.Table, defs: pa.Table) -> pa.Table:
         gen[s] = gen.get(s, 0) | 1 << k
         kill[s] = kill.get(s, 0) | of_local[v]
     after: dict[int, set[int]] = {}
-    for a, b in zip(flow.column("src").to_pylist(), flow.column("tgt").to_pylist(), strict=True):
-        if b is not None:
-            after.setdefault(a, set()).add(b)
+    for a, b in flow:
+        after.setdefault(a, set()).add(b)
     come: dict[int, int] = {}
     todo = sorted(gen)
     while todo:
@@ -45,54 +53,90 @@ def _reaching(flow: pa.Table, defs: pa.Table) -> pa.Table:
             if out & ~come.get(t, 0):
                 come[t] = come.get(t, 0) | out
                 todo.append(t)
-    rows = [(t, made[k]) for t, bits in come.items() for k in range(bits.bit_length()) if bits >> k & 1]
-    method = (defs if defs.num_rows else flow).column("method")[0].as_py()
-    return pa.table({"method": pa.array([method] * len(rows), pa.string()), "stmt": pa.array([t for t, _ in rows], pa.int64()), "local": pa.array([v for _, (_, v) in rows], pa.string()), "def": pa.array([s for _, (s, _) in rows], pa.int64())})
+    return made, of_local, come
+
+
+def _by_method(flow: DataFrame, defs: DataFrame, uses: DataFrame | None = None) -> DataFrame:
+    """A row for each method: src, tgt of its flow; stmt, local, kind, source of its definitions; use, used of its uses."""
+    long = lambda c: F.col(c).cast("long")
+    none = lambda t: F.lit(None).cast(t)
+    f, d, u = "struct<src:bigint,tgt:bigint>", "struct<stmt:bigint,local:string,kind:string,source:string>", "struct<use:bigint,used:string>"
+    extra = [F.col(c) if c in defs.columns else none("string").alias(c) for c in ("kind", "source")]
+    parts = [
+        flow.where("src is not null and tgt is not null").select("method", F.struct(long("src").alias("src"), long("tgt").alias("tgt")).alias("f"), none(d).alias("d"), none(u).alias("u")),
+        defs.where("stmt is not null and local is not null").select("method", none(f).alias("f"), F.struct(long("stmt").alias("stmt"), "local", *extra).alias("d"), none(u).alias("u")),
+    ]
+    if uses is not None:
+        parts.append(uses.where("stmt is not null and local is not null").select("method", none(f).alias("f"), none(d).alias("d"), F.struct(long("stmt").alias("use"), F.col("local").alias("used")).alias("u")))
+    one = union_all(parts).where("method is not null").groupBy("method").agg(*[F.collect_list(c).alias(c) for c in ("f", "d", "u")])
+    return one.select("method", "f.src", "f.tgt", "d.stmt", "d.local", "d.kind", "d.source", "u.use", "u.used")
+
+
+def _over_methods(rows: DataFrame, solve) -> DataFrame:
+    """(method, stmt, local, def) of every method: `solve` takes its lists and gives (stmt, local, def)."""
+    names = rows.columns[1:]
+
+    def run(batches):
+        # small methods often look alike
+        solved = lru_cache(maxsize=1 << 14)(solve)
+        for b in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for method, *lists in zip(b.column("method").to_pylist(), *[b.column(c).to_pylist() for c in names], strict=True):
+                for s, v, k in solved(*map(tuple, lists)):
+                    for column, x in zip(out, (method, s, v, k), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["method", "stmt", "local", "def"])
+
+    return rows.mapInArrow(run, "method string, stmt long, local string, def long")
 
 
 def reaching_definitions(flow: DataFrame, defs: DataFrame) -> DataFrame:
     """(method, stmt, local, def): the definitions of each local that reach the entry of each statement."""
-    f = flow.select("method", F.col("src").cast("long").alias("src"), F.col("tgt").cast("long").alias("tgt"))
-    d = defs.select("method", F.col("stmt").cast("long").alias("stmt"), "local")
-    return f.groupBy("method").cogroup(d.groupBy("method")).applyInArrow(_reaching, "method string, stmt long, local string, def long")
 
+    def solve(src, tgt, stmt, local, *_):
+        made, _, come = _solved(zip(src, tgt, strict=True), zip(stmt, local, strict=True))
+        return [(t, made[k][1], made[k][0]) for t, bits in come.items() for k in _bits(bits)]
 
-def _at(stmt: str) -> Column:
-    return F.struct("method", F.col(stmt).cast("long").alias("stmt"))
-
-
-def _alias_links(reaching: DataFrame, defs: DataFrame, arrays: bool) -> DataFrame:
-    """(method, def, from): an aliasing definition and those of what it copies, where it stands."""
-    kinds = ALIASES if arrays else ALIASES[:2]
-    own = defs.where(F.col("kind").isin(*kinds)).select("method", F.col("stmt").cast("long").alias("stmt"), F.col("source").alias("local")).distinct()
-    return own.join(reaching, ["method", "stmt", "local"]).select("method", F.col("stmt").alias("def"), F.col("def").alias("from"))
+    return _over_methods(_by_method(flow, defs.select("method", "stmt", "local")), solve)
 
 
-def local_definitions(flow: DataFrame, defs: DataFrame, uses: DataFrame, aliases: bool = False, arrays: bool = False, remove: tuple[str, ...] = ()) -> DataFrame:
+def local_definitions(flow: DataFrame, defs: DataFrame, uses: DataFrame, aliases: bool = False, arrays: bool = False, remove: tuple[str, ...] = (), remove_uses: tuple[str, ...] = ()) -> DataFrame:
     """(method, stmt, local, def): the definitions of each used local where it is used. With `aliases` also those of the locals
     that these copy or cast, and so on (with `arrays` those of arrays they read from as well); `remove` names the kinds of
-    aliasing definitions that are left out of the result, but not out of the way."""
-    reaching = cut(reaching_definitions(flow, defs), "reaching")
-    used = cut(uses.select("method", F.col("stmt").cast("long").alias("stmt"), "local").distinct().join(reaching, ["method", "stmt", "local"]), "used")
-    if aliases or arrays:
-        links = cut(_alias_links(reaching, defs, arrays), "aliases")
-        starts = used.select(_at("def").alias("ep"), _at("def").alias("node")).distinct()
-        far = reach(links.select(_at("def").alias("src"), _at("from").alias("tgt")), starts)
-        far = far.select(F.col("ep.method").alias("method"), F.col("ep.stmt").alias("def"), F.col("node.stmt").alias("far"))
-        used = used.join(far, ["method", "def"]).select("method", "stmt", "local", F.col("far").alias("def")).distinct()
-    if remove:
-        gone = defs.where(F.col("kind").isin(*remove)).select("method", F.col("stmt").cast("long").alias("def")).distinct()
-        used = used.join(gone, ["method", "def"], "left_anti").select("method", "stmt", "local", "def")
-    return used
+    aliasing definitions that are left out of the result, but not out of the way; `remove_uses` those of statements whose uses
+    are. A method is one row, so definitions, aliases and uses meet within it, without a join."""
+    kinds = (ALIASES if arrays else ALIASES[:2]) if aliases or arrays else ()
+
+    def solve(src, tgt, stmt, local, kind, source, use, used):
+        made, of_local, come = _solved(zip(src, tgt, strict=True), zip(stmt, local, strict=True))
+        at = lambda s, v: {made[k][0] for k in _bits(come.get(s, 0) & of_local.get(v, 0))}
+        gone = {s for s, k in zip(stmt, kind, strict=True) if k in remove}
+        unused = {s for s, k in zip(stmt, kind, strict=True) if k in remove_uses}
+        links: dict[int, set[int]] = {}
+        for s, k, v in zip(stmt, kind, source, strict=True):
+            if k in kinds and v is not None:
+                links.setdefault(s, set()).update(at(s, v))
+        out = []
+        for s, v in set(zip(use, used, strict=True)):
+            if s in unused:
+                continue
+            seen = at(s, v)
+            stack = list(seen)
+            while stack:
+                for t in links.get(stack.pop(), ()):
+                    if t not in seen:
+                        seen.add(t)
+                        stack.append(t)
+            out += [(s, v, k) for k in seen if k not in gone]
+        return out
+
+    return _over_methods(_by_method(flow, defs, uses), solve)
 
 
 def local_uses(flow: DataFrame, defs: DataFrame, uses: DataFrame, aliases: bool = False, arrays: bool = False, remove: tuple[str, ...] = ()) -> DataFrame:
     """(method, def, stmt, local): where what a statement defines is used, by itself or over aliases; `remove` names the kinds of
     aliasing statements that do not count as uses, but are followed."""
-    found = local_definitions(flow, defs, uses, aliases, arrays)
-    if remove:
-        gone = defs.where(F.col("kind").isin(*remove)).select("method", F.col("stmt").cast("long").alias("stmt")).distinct()
-        found = found.join(gone, ["method", "stmt"], "left_anti")
+    found = local_definitions(flow, defs, uses, aliases, arrays, remove_uses=remove)
     return found.select("method", "def", "stmt", "local")
 
 
