@@ -1,29 +1,27 @@
-"""Phrase rules over the words of names: an ordered table of patterns compiled into one automaton, walked natively.
+"""Phrase rules over the words of names: an ordered table of patterns compiled into one automaton, walked by batches.
 
 A pattern is words, `(a b|c)` for alternatives, `?` behind what may be missing and `*` for any run of words, none too; it
 starts anywhere unless it begins with `^`, and ends anywhere unless it ends with `$`. All patterns of a table become one
 deterministic automaton over words (subset construction; words that every state treats alike are one class). A name is
-walked once: each word's class is looked up in a bucket of few words, each step is one look-up in an array, and what has
-matched so far is a bit mask. So the cost of a name is its number of words, whatever the number of patterns. A table whose
+walked once: each step is one look-up in an array, taken by all names of a batch together, and what has matched so far is a
+bit mask. So the cost of a name is its number of words, whatever the number of patterns. A table whose
 automaton would have more than STATES states is walked by two automata of half the rules each, and so on.
 """
 
 from __future__ import annotations
 
-import json
 import re
-import zlib
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checkloom.functions.text import split_words
 
 STATES = 4000
-BUCKETS = 512
 #: Rules whose bits share one BIGINT.
 BITS = 62
 ANY = "*"
@@ -191,28 +189,43 @@ def compiled(patterns: list[str]) -> list[Automaton]:
     return [Automaton(len(patterns), words, columns[:, order], [bits(x, False) for x in ids], [bits(x, True) for x in ids])]
 
 
-def _ints(values) -> Column:
-    """An array literal, however long: a text that is split once, when the plan is made."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
-def _walk(a: Automaton, words: Column) -> Column:
-    """The bits that `words` set, BITS of them in each element."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for w, c in a.words.items():
-        buckets[zlib.crc32(w.encode()) % BUCKETS][w] = c
-    vocabulary = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,bigint>>")
-    n, parts, low = a.table.shape[1], range(0, a.count, BITS), (1 << BITS) - 1
-    table, ever, last = _ints(a.table.ravel().tolist()), [_ints(x >> g & low for x in a.ever) for g in parts], [_ints(x >> g & low for x in a.last) for g in parts]
-    at = lambda values, i: F.element_at(values, (i + 1).cast("int"))
-
-    def step(acc: Column, word: Column) -> Column:
-        kind = F.coalesce(F.try_element_at(at(vocabulary, F.crc32(word) % BUCKETS), word), F.lit(n - 1).cast("bigint"))
-        state = at(table, acc["s"] * n + kind)
-        return F.struct(state.alias("s"), *[acc[f"m{i}"].bitwiseOR(at(e, state)).alias(f"m{i}") for i, e in enumerate(ever)])
-
-    begin = F.struct(F.lit(0).cast("bigint").alias("s"), *[F.lit(a.ever[0] >> g & low).cast("bigint").alias(f"m{i}") for i, g in enumerate(parts)])
-    return F.aggregate(words, begin, step, lambda acc: F.array(*[acc[f"m{i}"].bitwiseOR(at(x, acc["s"])) for i, x in enumerate(last)]))
+def _walk(automata: list[Automaton], words: Column) -> Column:
+    """The bits that `words` set, BITS of them in each element: all names of a batch take their k-th step at once."""
+    tables = [a.table.astype(np.int64) for a in automata]
+    masks = [[[np.array([x >> g & (1 << BITS) - 1 for x in of], np.int64) for of in (a.ever, a.last)] for g in range(0, a.count, BITS)] for a in automata]
+    known = [a.words for a in automata]
+
+    @F.arrow_udf("array<bigint>")
+    def bits(lists: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes, own = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        ends = np.cumsum(sizes)
+        # names by falling length, so those that take a k-th step are the first ones
+        order = np.argsort(-sizes, kind="stable")
+        begin, long = (ends - sizes)[order], -sizes[order]
+        steps = int(-long[0]) if len(long) else 0
+        left = np.searchsorted(long, -np.arange(1, steps + 1), side="right")
+        columns = []
+        for table, words_, parts in zip(tables, known, masks, strict=True):
+            other = table.shape[1] - 1
+            kind = np.array([*(words_.get(w, other) for w in own), other], np.int64)[codes]
+            state = np.zeros(len(sizes), np.int64)
+            met = [np.full(len(sizes), ever[0]) for ever, _ in parts]
+            for k in range(steps):
+                n = left[k]
+                state[:n] = table[state[:n], kind[begin[:n] + k]]
+                for m, (ever, _) in zip(met, parts, strict=True):
+                    m[:n] |= ever[state[:n]]
+            columns += [m | last[state] for m, (_, last) in zip(met, parts, strict=True)]
+        out = np.empty((len(sizes), len(columns)), np.int64)
+        out[order] = np.stack(columns, 1)
+        offsets = np.arange(len(sizes) + 1, dtype=np.int32) * len(columns)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()), mask=pc.is_null(lists))
+
+    return bits(words)
 
 
 class Phrases:
@@ -227,7 +240,7 @@ class Phrases:
             part += -(-a.count // BITS)
 
     def bits(self, words: Column) -> Column:
-        return F.concat(*[_walk(a, words) for a in self.automata]) if self.automata else F.array().cast("array<bigint>")
+        return _walk(self.automata, words) if self.automata else F.array().cast("array<bigint>")
 
     def hit(self, bits: Column, pattern: str) -> Column:
         part, k = self.place[pattern]
